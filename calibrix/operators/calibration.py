@@ -23,7 +23,7 @@ ACC_HIGH, ACC_LOW = 110.0, 90.0
 
 def calibrators(runs: DataFrame, batches: DataFrame) -> DataFrame:
     """Cal rows with Response_Ratio and Conc_Ratio (TC_Conc / intstd_conc)."""
-    params = batches.select("BatchID", "intstd_conc")
+    params = batches.select("BatchID", "intstd_conc", "conc_digits")
     cal = runs.filter(F.col("Type") == CAL).join(params, "BatchID", "left")
     return (cal.withColumn("Response_Ratio", ieee_div("TC_Response", "IS_Response"))
             .withColumn("Conc_Ratio", ieee_div("TC_Conc", "intstd_conc")))
@@ -86,7 +86,8 @@ def fit_calibration(cal: DataFrame) -> DataFrame:
         strict_mean("IS_Response").alias("mean_is_response"),
         F.count(F.lit(1)).alias("n_calibrators"),
     )
-    return agg.select("BatchID", *line_fit_result("_f0_", ""), "mean_is_response",
+    return agg.select("BatchID", *line_fit_result("_f0_", ""),
+                      F.col("_f0_nonfinite").alias("n_nonfinite"), "mean_is_response",
                       "n_calibrators")
 
 
@@ -153,3 +154,25 @@ def batch_fits(runs: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFram
     sets = fit_sets(scored)
     summary = (batches.join(fit0, "BatchID", "left").join(sets, "BatchID", "left"))
     return scored, summary
+
+
+def score_by_set(scored: DataFrame, summary: DataFrame) -> DataFrame:
+    """Calibrators of each set back-calculated through their own set's line.
+
+    Output: the calibrator columns, cal_set, and Measured_TC_Conc / Accuracy_Pct
+    under the set's fit (a calibrator in neither set is left out).
+    """
+    coef = summary.select("BatchID", "intercept_1", "slope_1", "intercept_2", "slope_2")
+    s = F.col("cal_set")
+
+    def pick(name):
+        return F.when(s == SET1, F.col(f"{name}_1")).when(s == SET2, F.col(f"{name}_2"))
+
+    base = scored.filter(s.isNotNull()).drop("Measured_TC_Conc", "Accuracy_Pct",
+                                             "slope", "intercept")
+    out = base.join(coef, "BatchID", "left")
+    out = out.withColumn("Measured_TC_Conc",
+                         inverse_predict("Response_Ratio", pick("intercept"), pick("slope"),
+                                         "intstd_conc"))
+    return (out.withColumn("Accuracy_Pct", accuracy_pct("Measured_TC_Conc", "TC_Conc"))
+            .drop("intercept_1", "slope_1", "intercept_2", "slope_2"))

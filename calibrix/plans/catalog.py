@@ -308,3 +308,214 @@ def q_result_dilution(spark, sf_dir):
     "FROM fin WHERE unit_mode = 'plain' ORDER BY BatchID, RowIndex", _FINAL_CTE))
 def q_result_plain(spark, sf_dir):
     return results.result_plain(pipeline(spark, sf_dir).finalized)
+
+
+# --- gates -------------------------------------------------------------------
+
+from calibrix.operators import gates, plots, report  # noqa: E402
+
+
+@register("duplicate_samples", S.with_base(
+    "SELECT BatchID, SampleID, count(*) AS n FROM runs WHERE Type = 'Sample' "
+    "GROUP BY BatchID, SampleID HAVING count(*) > 1"))
+def q_duplicate_samples(spark, sf_dir):
+    return gates.duplicate_samples(adapter.runs(spark, sf_dir))
+
+
+@register("correction_required", S.with_base(
+    "SELECT BatchID, CASE WHEN n_calibrators > 0 THEN n_set1 > 0 END AS correction_required "
+    "FROM summary"))
+def q_correction_required(spark, sf_dir):
+    return gates.correction_required(pipeline(spark, sf_dir).summary)
+
+
+_STATUS_CTE = """
+sc AS (
+  SELECT BatchID, CAST(sum(n) AS BIGINT) AS n_samples,
+         count(CASE WHEN n > 1 THEN 1 END) AS n_duplicate_ids
+  FROM (SELECT BatchID, SampleID, count(*) AS n FROM runs WHERE Type = 'Sample'
+        GROUP BY BatchID, SampleID) AS per_id
+  GROUP BY BatchID)
+"""
+
+_STATUS_SQL = """
+SELECT s.BatchID, coalesce(s.n_calibrators, 0) AS n_calibrators,
+       coalesce(c.n_samples, 0) AS n_samples, coalesce(c.n_duplicate_ids, 0) AS n_duplicate_ids,
+       coalesce(s.correct, FALSE) AS correct,
+       CASE WHEN coalesce(s.n_calibrators, 0) = 0 THEN 'no_calibrators'
+            WHEN s.n_nonfinite > 0 THEN 'non_finite_calibrator'
+            WHEN s.n_fit = 0 THEN 'no_usable_calibrator'
+            WHEN s.slope IS NULL THEN 'degenerate_fit'
+            WHEN coalesce(c.n_samples, 0) = 0 THEN 'no_samples'
+            WHEN c.n_duplicate_ids > 0 THEN 'duplicate_sample_ids'
+            WHEN coalesce(s.correct, FALSE) AND s.n_set1 = 0 THEN 'empty_set1'
+            WHEN coalesce(s.correct, FALSE) AND s.n_set2 = 0 THEN 'empty_set2'
+            WHEN coalesce(s.correct, FALSE) AND s.slope_1 IS NULL THEN 'degenerate_set1'
+            WHEN coalesce(s.correct, FALSE) AND s.slope_2 IS NULL THEN 'degenerate_set2'
+            ELSE 'ok' END AS status
+FROM summary s LEFT JOIN sc c ON s.BatchID = c.BatchID
+"""
+
+
+@register("batch_status", S.with_base(_STATUS_SQL, _STATUS_CTE))
+def q_batch_status(spark, sf_dir):
+    r = adapter.runs(spark, sf_dir)
+    p = Quantification(r, adapter.batches(spark, sf_dir))
+    return gates.batch_status(p.summary, gates.sample_counts(r))
+
+
+# --- per-set calibration tables ----------------------------------------------
+
+_BY_SET_CTE = f"""
+bys0 AS (
+  SELECT c.BatchID, c.cal_set, c.RowIndex, c.TC_Conc, c.TC_Response, c.IS_Response,
+         c.Response_Ratio, c.Conc_Ratio,
+         {S.inverse_predict('c.Response_Ratio',
+                            'CASE WHEN c.cal_set = 1 THEN s.intercept_1 WHEN c.cal_set = 2 THEN s.intercept_2 END',
+                            'CASE WHEN c.cal_set = 1 THEN s.slope_1 WHEN c.cal_set = 2 THEN s.slope_2 END',
+                            'c.intstd_conc')} AS Measured_TC_Conc
+  FROM scored c LEFT JOIN sets s ON c.BatchID = s.BatchID
+  WHERE c.cal_set IS NOT NULL),
+bys AS (SELECT *, {S.accuracy('Measured_TC_Conc', 'TC_Conc')} AS Accuracy_Pct FROM bys0)
+"""
+
+
+@register("cal_accuracy_by_set", S.with_base("SELECT * FROM bys", _BY_SET_CTE))
+def q_cal_accuracy_by_set(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return cal_ops.score_by_set(p.scored_calibrators, p.summary).select(
+        "BatchID", "cal_set", "RowIndex", "TC_Conc", "TC_Response", "IS_Response",
+        "Response_Ratio", "Conc_Ratio", "Measured_TC_Conc", "Accuracy_Pct")
+
+
+# --- acquisition order and plot data ----------------------------------------
+
+_ORDER_CTE = f"""
+ord AS (SELECT *, CAST(row_number() OVER (PARTITION BY BatchID ORDER BY RowIndex) AS BIGINT)
+               AS "Order" FROM qz),
+bm AS (SELECT BatchID, {S.strict_mean('IS_Recovery')} AS mean_is_recovery,
+              {S.strict_mean('Measured_TC_Conc')} AS mean_tc_conc FROM qz GROUP BY BatchID)
+"""
+
+
+@register("sample_order", S.with_base(
+    'SELECT BatchID, SampleID, RowIndex, "Order" FROM ord', _ORDER_CTE))
+def q_sample_order(spark, sf_dir):
+    smp = cal_ops.samples(adapter.runs(spark, sf_dir)).select("BatchID", "SampleID", "RowIndex")
+    return plots.with_sample_order(smp)
+
+
+@register("recovery_by_order", S.with_base(
+    'SELECT o.BatchID, o.SampleID, o."Order", o.IS_Recovery, b.mean_is_recovery '
+    'FROM ord o LEFT JOIN bm b ON o.BatchID = b.BatchID', _ORDER_CTE))
+def q_recovery_by_order(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return plots.recovery_by_order(plots.with_sample_order(p.samples), p.batch_means())
+
+
+@register("conc_by_order", S.with_base(
+    'SELECT o.BatchID, o.SampleID, o."Order", o.TC_Conc_Uncorrected AS Measured_TC_Conc, '
+    'b.mean_tc_conc FROM ord o LEFT JOIN bm b ON o.BatchID = b.BatchID', _ORDER_CTE))
+def q_conc_by_order(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return plots.conc_by_order(plots.with_sample_order(p.samples), p.batch_means())
+
+
+@register("cal_low_end", S.with_base("""
+SELECT BatchID, CalPosition, Conc_Ratio, Response_Ratio, intercept, slope
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY BatchID ORDER BY RowIndex) AS BIGINT)
+             AS CalPosition FROM scored) AS ranked
+WHERE CalPosition <= 4"""))
+def q_cal_low_end(spark, sf_dir):
+    return plots.low_end(pipeline(spark, sf_dir).scored_calibrators)
+
+
+@register("plot_points", S.with_base("""
+SELECT BatchID, RowIndex, 'Sample' AS Category, Conc_Ratio_Uncorrected AS Conc_Ratio,
+       Response_Ratio, intercept, slope FROM qz
+UNION ALL
+SELECT BatchID, RowIndex, 'Calibration' AS Category, Conc_Ratio, Response_Ratio, intercept, slope
+FROM scored"""))
+def q_plot_points(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return plots.calibration_points(p.scored_calibrators, p.samples)
+
+
+@register("plot_points_by_set", S.with_base("""
+SELECT BatchID, RowIndex, "Set", 'Sample' AS Category, Measured_Conc_Ratio_Corrected AS Conc_Ratio,
+       Response_Ratio,
+       CASE WHEN cal_set = 1 THEN intercept_1 WHEN cal_set = 2 THEN intercept_2 END AS intercept,
+       CASE WHEN cal_set = 1 THEN slope_1 WHEN cal_set = 2 THEN slope_2 END AS slope
+FROM qz WHERE cal_set IS NOT NULL
+UNION ALL
+SELECT c.BatchID, c.RowIndex, CASE WHEN c.cal_set = 1 THEN 'Set 1' ELSE 'Set 2' END AS "Set",
+       'Calibration' AS Category, c.Conc_Ratio, c.Response_Ratio,
+       CASE WHEN c.cal_set = 1 THEN s.intercept_1 WHEN c.cal_set = 2 THEN s.intercept_2 END,
+       CASE WHEN c.cal_set = 1 THEN s.slope_1 WHEN c.cal_set = 2 THEN s.slope_2 END
+FROM scored c LEFT JOIN sets s ON c.BatchID = s.BatchID WHERE c.cal_set IS NOT NULL"""))
+def q_plot_points_by_set(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return plots.calibration_points_by_set(p.scored_calibrators, p.samples, p.summary)
+
+
+# --- report tables -------------------------------------------------------------
+
+def _sql_signif(x: str, d: int) -> str:
+    k = f"(floor(log10(abs({x}))) - {d - 1})"
+    scale = f"pow(10.0, -{k})"
+    return (f"(CASE WHEN {x} = 0 THEN 0.0 WHEN isinf({x}) THEN {x} "
+            f"ELSE round_even({x} * {scale}, 0) / {scale} END)")
+
+
+@register("fit_report", S.with_base(f"""
+SELECT s.BatchID, {_sql_signif('s.r_squared', 4)} AS r_squared,
+       {_sql_signif('s.r_squared_1', 4)} AS r_squared_set1,
+       {_sql_signif('s.r_squared_2', 4)} AS r_squared_set2,
+       {_sql_signif('b.mean_is_recovery', 2)} AS mean_is_recovery
+FROM summary s LEFT JOIN bm b ON s.BatchID = b.BatchID""", _ORDER_CTE))
+def q_fit_report(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return report.fit_report(p.summary, p.batch_means())
+
+
+def _sql_conc_round(x: str) -> str:
+    return f"CASE WHEN conc_digits = 3 THEN {S.bround(x, 3)} ELSE {S.bround(x, 1)} END"
+
+
+@register("cal_accuracy_report", S.with_base(f"""
+SELECT BatchID, RowIndex, {_sql_conc_round('TC_Conc')} AS TC_Conc,
+       {S.bround('TC_Response', 0)} AS TC_Response, {S.bround('IS_Response', 0)} AS IS_Response,
+       {S.bround('Response_Ratio', 2)} AS Response_Ratio, {S.bround('Conc_Ratio', 2)} AS Conc_Ratio,
+       {_sql_conc_round('Measured_TC_Conc')} AS Measured_TC_Conc,
+       {S.bround('Accuracy_Pct', 0)} AS Accuracy_Pct
+FROM scored"""))
+def q_cal_accuracy_report(spark, sf_dir):
+    return report.cal_accuracy_report(pipeline(spark, sf_dir).scored_calibrators)
+
+
+@register("comparison_report", S.with_base(f"""
+SELECT BatchID, SampleID, {S.bround('IS_Recovery_Corrected', 0)} AS IS_Recovery,
+       {S.bround('TC_Conc_Uncorrected', 4)} AS TC_Conc_Uncorrected,
+       {S.bround('TC_Conc_MassHunter', 4)} AS TC_Conc_MassHunter,
+       {S.bround('TC_Conc_Corrected', 4)} AS TC_Conc_Corrected, "Set",
+       {S.bround(_DIFF_SQL, 0)} AS Difference_Pct
+FROM qz"""))
+def q_comparison_report(spark, sf_dir):
+    return report.comparison_report(pipeline(spark, sf_dir).comparison(sort=False))
+
+
+@register("comparison_nocorr_report", S.with_base(f"""
+SELECT BatchID, SampleID, {S.bround('IS_Recovery', 0)} AS IS_Recovery,
+       {S.bround('TC_Conc_Uncorrected', 4)} AS TC_Conc_Uncorrected,
+       {S.bround('TC_Conc_MassHunter', 4)} AS TC_Conc_MassHunter
+FROM qz"""))
+def q_comparison_nocorr_report(spark, sf_dir):
+    return report.comparison_nocorr_report(pipeline(spark, sf_dir).comparison_nocorr())
+
+
+@register("result_report", S.with_base(f"""
+SELECT BatchID, Batch, SampleID, IS_Recovery, {S.bround('Concentration', 2)} AS Concentration,
+       {S.bround('Factor', 1)} AS Factor, {S.bround('Reported', 2)} AS Reported
+FROM fin""", _FINAL_CTE))
+def q_result_report(spark, sf_dir):
+    return report.result_report(pipeline(spark, sf_dir).finalized)

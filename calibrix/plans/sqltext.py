@@ -72,7 +72,10 @@ def zero_rule(v: str) -> str:
 
 
 def bround(x: str, d: int) -> str:
-    return f"round_even(CAST({x} AS DOUBLE), {d})"
+    """Half-to-even on the shortest decimal form of the double (Spark's bround)."""
+    v = f"CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN isinf({v}) OR abs({v}) >= 1e15 THEN {v} ELSE CAST(round_even("
+            f"CAST(CAST({v} AS VARCHAR) AS DECIMAL(38, 18)), {d}) AS DOUBLE) END)")
 
 
 # --- the shared CTE chain -------------------------------------------------
@@ -81,7 +84,7 @@ BASE_CTES = f"""
 runs AS ({RUNS_SQL}),
 batches AS ({batches_sql()}),
 cal AS (
-  SELECT r.*, b.intstd_conc,
+  SELECT r.*, b.intstd_conc, b.conc_digits,
          {ieee_div('r.TC_Response', 'r.IS_Response')} AS Response_Ratio,
          {ieee_div('r.TC_Conc', 'b.intstd_conc')} AS Conc_Ratio
   FROM runs r LEFT JOIN batches b ON r.BatchID = b.BatchID
@@ -95,7 +98,7 @@ fit0_m AS (
 fit0 AS (
   SELECT BatchID,
   {fit_result('_f0_', '')},
-  mean_is_response, n_calibrators
+  _f0_nonfinite AS n_nonfinite, mean_is_response, n_calibrators
   FROM fit0_m),
 scored0 AS (
   SELECT c.*, f.slope, f.intercept,
@@ -125,7 +128,8 @@ sets AS (
   selection_value, n_scored
   FROM sets_m),
 summary AS (
-  SELECT b.*, f.slope, f.intercept, f.r_squared, f.n_fit, f.mean_is_response, f.n_calibrators,
+  SELECT b.*, f.slope, f.intercept, f.r_squared, f.n_fit, f.n_nonfinite, f.mean_is_response,
+         f.n_calibrators,
          s.slope_1, s.intercept_1, s.r_squared_1, s.n_fit_1, s.mean_is_response_1, s.n_set1,
          s.slope_2, s.intercept_2, s.r_squared_2, s.n_fit_2, s.mean_is_response_2, s.n_set2,
          s.selection_value, s.n_scored
