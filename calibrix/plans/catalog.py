@@ -519,3 +519,50 @@ SELECT BatchID, Batch, SampleID, IS_Recovery, {S.bround('Concentration', 2)} AS
 FROM fin""", _FINAL_CTE))
 def q_result_report(spark, sf_dir):
     return report.result_report(pipeline(spark, sf_dir).finalized)
+
+
+# --- recovery trend ----------------------------------------------------------
+
+from calibrix.operators import trend  # noqa: E402
+
+_TREND_CTE = f"""
+pts AS (SELECT BatchID, CAST("Order" AS DOUBLE) AS x, IS_Recovery AS y FROM ord
+        WHERE IS_Recovery IS NOT NULL AND NOT isinf(IS_Recovery)),
+st AS (SELECT BatchID, count(*) AS m, min(x) AS xmin, max(x) AS xmax,
+              CAST(floor(count(*) * 0.75) AS BIGINT) AS q
+       FROM pts GROUP BY BatchID HAVING count(*) >= 2),
+grid AS (SELECT st.*, CAST(t.j AS INTEGER) AS j,
+                CASE WHEN t.j = 0 THEN xmin WHEN t.j = 79 THEN xmax
+                     ELSE xmin + CAST(t.j AS INTEGER) * ((xmax - xmin) / 79.0) END AS v
+         FROM st CROSS JOIN range(80) AS t(j)),
+dist AS (SELECT g.BatchID, g.j, g.v, g.q, p.x, p.y, abs(p.x - g.v) AS d,
+                row_number() OVER (PARTITION BY g.BatchID, g.j ORDER BY abs(p.x - g.v), p.x) AS rk
+         FROM grid g JOIN pts p ON g.BatchID = p.BatchID),
+hh AS (SELECT BatchID, j, max(d) AS h FROM dist WHERE rk <= q GROUP BY BatchID, j),
+wu0 AS (SELECT t.BatchID, t.j, t.y, (t.x - t.v) / h.h AS u
+        FROM dist t JOIN hh h ON t.BatchID = h.BatchID AND t.j = h.j
+        WHERE h.h > 0 AND t.rk <= t.q),
+wu1 AS (SELECT *, CASE WHEN abs(u) < 1.0 THEN (1.0 - abs(u) * abs(u) * abs(u))
+                                           * (1.0 - abs(u) * abs(u) * abs(u))
+                                           * (1.0 - abs(u) * abs(u) * abs(u)) ELSE 0.0 END AS w
+        FROM wu0),
+mom AS (SELECT BatchID, j, sum(w) AS S0, sum(w * u) AS S1, sum(w * u * u) AS S2,
+               sum(w * u * u * u) AS S3, sum(w * u * u * u * u) AS S4,
+               sum(w * y) AS T0, sum(w * u * y) AS T1, sum(w * u * u * y) AS T2
+        FROM wu1 GROUP BY BatchID, j),
+sol AS (SELECT BatchID, j,
+               S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2) AS det,
+               T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2) AS det_a,
+               S0 FROM mom)
+"""
+
+
+@register("recovery_trend", S.with_base("""
+SELECT g.BatchID, CAST(g.j + 1 AS BIGINT) AS grid_index, g.v AS "Order",
+       CASE WHEN s.S0 > 0 AND s.det > 1e-10 * s.S0 * s.S0 * s.S0 THEN s.det_a / s.det END
+           AS IS_Recovery_Trend
+FROM grid g LEFT JOIN sol s ON g.BatchID = s.BatchID AND g.j = s.j""",
+    _ORDER_CTE + "," + _TREND_CTE))
+def q_recovery_trend(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return trend.recovery_trend(p.samples)

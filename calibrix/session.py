@@ -68,3 +68,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df):
+    """Cut the lineage of a frame that several branches of a plan consume.
+
+    Writes it once with ``checkpoint()`` into the shared checkpoint folder, so
+    the branches read the written partitions instead of each recomputing the
+    upstream plan (and a lost executor does not replay that plan either).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
