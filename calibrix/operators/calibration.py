@@ -91,10 +91,18 @@ def fit_calibration(cal: DataFrame) -> DataFrame:
                       "n_calibrators")
 
 
-def score_calibrators(cal: DataFrame, fit: DataFrame, suffix: str = "") -> DataFrame:
-    """Back-calculated calibrator concentration and its accuracy under ``fit``."""
-    slope, intercept = f"slope{suffix}", f"intercept{suffix}"
-    scored = cal.join(fit.select("BatchID", slope, intercept), "BatchID", "left")
+FIT0_COLUMNS = ("slope", "intercept", "r_squared", "n_fit", "n_nonfinite", "mean_is_response",
+                "n_calibrators")
+
+
+def score_calibrators(cal: DataFrame, fit: DataFrame) -> DataFrame:
+    """Back-calculated calibrator concentration and its accuracy under ``fit``.
+
+    All of the fit's columns come along, so later per-batch aggregates can
+    carry them instead of joining the fit table a second time.
+    """
+    slope, intercept = "slope", "intercept"
+    scored = cal.join(fit.select("BatchID", *FIT0_COLUMNS), "BatchID", "left")
     measured = inverse_predict("Response_Ratio", intercept, slope, "intstd_conc")
     return (scored.withColumn("Measured_TC_Conc", measured)
             .withColumn("Accuracy_Pct", accuracy_pct("Measured_TC_Conc", "TC_Conc")))
@@ -134,8 +142,10 @@ def fit_sets(scored: DataFrame) -> DataFrame:
     aggs.append(F.max_by(F.col("Response_Ratio"),
                          F.when(F.col("cal_set") == SET1, F.col("RowIndex"))).alias("selection_value"))
     aggs.append(F.count(F.col("Accuracy_Pct")).alias("n_scored"))
+    carried = [c for c in FIT0_COLUMNS if c in scored.columns]
+    aggs += [F.any_value(c).alias(c) for c in carried]  # constant per batch
     agg = scored.groupBy("BatchID").agg(*aggs)
-    cols = ["BatchID"]
+    cols = ["BatchID", *carried]
     for s in (SET1, SET2):
         cols += line_fit_result(f"_f{s}_", f"_{s}")
         cols += [f"mean_is_response_{s}", f"n_set{s}"]
@@ -151,8 +161,7 @@ def batch_fits(runs: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFram
     cal = calibrators(runs, batches)
     fit0 = fit_calibration(cal)
     scored = assign_cal_set(score_calibrators(cal, fit0))
-    sets = fit_sets(scored)
-    summary = (batches.join(fit0, "BatchID", "left").join(sets, "BatchID", "left"))
+    summary = batches.join(fit_sets(scored), "BatchID", "left")
     return scored, summary
 
 

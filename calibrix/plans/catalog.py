@@ -33,8 +33,13 @@ def register(name: str, sql: str | None):
     return deco
 
 
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ingested (runs, batches) tables for ``sf_dir``."""
+    return adapter.ingest(spark, sf_dir)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> Quantification:
-    return Quantification(adapter.runs(spark, sf_dir), adapter.batches(spark, sf_dir))
+    return Quantification(*tables(spark, sf_dir))
 
 
 # --- sources and parameters ------------------------------------------------
@@ -55,7 +60,7 @@ def q_method_params(spark, sf_dir):
     "SELECT BatchID, RowIndex, SampleID, TC_Response, IS_Response, TC_Conc "
     "FROM runs WHERE Type = 'Cal'"))
 def q_calibrators(spark, sf_dir):
-    r = adapter.runs(spark, sf_dir)
+    r = tables(spark, sf_dir)[0]
     return r.filter(F.col("Type") == cal_ops.CAL).select(
         "BatchID", "RowIndex", "SampleID", "TC_Response", "IS_Response", "TC_Conc")
 
@@ -64,7 +69,7 @@ def q_calibrators(spark, sf_dir):
     "SELECT BatchID, RowIndex, SampleID, TC_Response, IS_Response "
     "FROM runs WHERE Type = 'Sample'"))
 def q_samples(spark, sf_dir):
-    r = adapter.runs(spark, sf_dir)
+    r = tables(spark, sf_dir)[0]
     return r.filter(F.col("Type") == cal_ops.SAMPLE).select(
         "BatchID", "RowIndex", "SampleID", "TC_Response", "IS_Response")
 
@@ -73,7 +78,7 @@ def q_samples(spark, sf_dir):
     "SELECT BatchID, SampleID, Analyte_CalcConc AS TC_Conc_MassHunter "
     "FROM runs WHERE Type = 'Sample'"))
 def q_vendor_conc(spark, sf_dir):
-    r = adapter.runs(spark, sf_dir)
+    r = tables(spark, sf_dir)[0]
     return (r.filter(F.col("Type") == cal_ops.SAMPLE)
             .select("BatchID", "SampleID", "Analyte_CalcConc")
             .withColumnRenamed("Analyte_CalcConc", "TC_Conc_MassHunter"))
@@ -85,7 +90,7 @@ def q_vendor_conc(spark, sf_dir):
     f"SELECT BatchID, RowIndex, Type, {S.ieee_div('TC_Response', 'IS_Response')} AS Response_Ratio "
     "FROM runs WHERE Type IN ('Cal', 'Sample')"))
 def q_response_ratio(spark, sf_dir):
-    r = adapter.runs(spark, sf_dir)
+    r = tables(spark, sf_dir)[0]
     return (r.filter(F.col("Type").isin(cal_ops.CAL, cal_ops.SAMPLE))
             .select("BatchID", "RowIndex", "Type",
                     ieee_div("TC_Response", "IS_Response").alias("Response_Ratio")))
@@ -94,7 +99,7 @@ def q_response_ratio(spark, sf_dir):
 @register("conc_ratio", S.with_base(
     "SELECT BatchID, RowIndex, TC_Conc, intstd_conc, Conc_Ratio FROM cal"))
 def q_conc_ratio(spark, sf_dir):
-    c = cal_ops.calibrators(adapter.runs(spark, sf_dir), adapter.batches(spark, sf_dir))
+    c = cal_ops.calibrators(*tables(spark, sf_dir))
     return c.select("BatchID", "RowIndex", "TC_Conc", "intstd_conc", "Conc_Ratio")
 
 
@@ -102,7 +107,7 @@ def q_conc_ratio(spark, sf_dir):
 
 @register("cal_fit", S.with_base("SELECT * FROM fit0"))
 def q_cal_fit(spark, sf_dir):
-    c = cal_ops.calibrators(adapter.runs(spark, sf_dir), adapter.batches(spark, sf_dir))
+    c = cal_ops.calibrators(*tables(spark, sf_dir))
     return cal_ops.fit_calibration(c)
 
 
@@ -145,7 +150,7 @@ def q_cal_set2(spark, sf_dir):
     "SELECT BatchID, RowIndex, SampleID, TC_Conc, "
     "CASE WHEN TC_Conc <= 1.0 THEN 1 WHEN TC_Conc > 1.0 THEN 2 END AS cal_set FROM cal"))
 def q_cal_split_by_conc(spark, sf_dir):
-    c = cal_ops.calibrators(adapter.runs(spark, sf_dir), adapter.batches(spark, sf_dir))
+    c = cal_ops.calibrators(*tables(spark, sf_dir))
     return cal_ops.assign_cal_set_by_conc(c, 1.0).select(
         "BatchID", "RowIndex", "SampleID", "TC_Conc", "cal_set")
 
@@ -319,7 +324,7 @@ from calibrix.operators import gates, plots, report  # noqa: E402
     "SELECT BatchID, SampleID, count(*) AS n FROM runs WHERE Type = 'Sample' "
     "GROUP BY BatchID, SampleID HAVING count(*) > 1"))
 def q_duplicate_samples(spark, sf_dir):
-    return gates.duplicate_samples(adapter.runs(spark, sf_dir))
+    return gates.duplicate_samples(tables(spark, sf_dir)[0])
 
 
 @register("correction_required", S.with_base(
@@ -359,8 +364,8 @@ FROM summary s LEFT JOIN sc c ON s.BatchID = c.BatchID
 
 @register("batch_status", S.with_base(_STATUS_SQL, _STATUS_CTE))
 def q_batch_status(spark, sf_dir):
-    r = adapter.runs(spark, sf_dir)
-    p = Quantification(r, adapter.batches(spark, sf_dir))
+    r, b = tables(spark, sf_dir)
+    p = Quantification(r, b)
     return gates.batch_status(p.summary, gates.sample_counts(r))
 
 
@@ -401,7 +406,7 @@ bm AS (SELECT BatchID, {S.strict_mean('IS_Recovery')} AS mean_is_recovery,
 @register("sample_order", S.with_base(
     'SELECT BatchID, SampleID, RowIndex, "Order" FROM ord', _ORDER_CTE))
 def q_sample_order(spark, sf_dir):
-    smp = cal_ops.samples(adapter.runs(spark, sf_dir)).select("BatchID", "SampleID", "RowIndex")
+    smp = cal_ops.samples(tables(spark, sf_dir)[0]).select("BatchID", "SampleID", "RowIndex")
     return plots.with_sample_order(smp)
 
 
