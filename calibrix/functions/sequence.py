@@ -36,41 +36,62 @@ def position_chunk(position: str | Column, width: int = DEFAULT_CHUNK_ROWS) -> C
 
 
 def sequence_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                    name: str, chunk_cols: Sequence[Column]) -> DataFrame:
+                    name: str, chunk_cols: Sequence[Column],
+                    flag: Column | None = None, flag_name: str | None = None) -> DataFrame:
     """Add ``name`` = dense 1-based position of each row inside its group.
 
     ``chunk_cols`` must be non-decreasing along ``order_cols`` within a group
     (the order is (chunk_cols, order_cols) lexicographically). Ties in
     ``order_cols`` are numbered arbitrarily but completely, like ``row_number``.
+    With ``flag`` (a boolean column), ``flag_name`` is also added: the position
+    among the flagged rows of the group (NULL on unflagged rows), in the same
+    pass.
     """
     chunk_names = [f"_seq_c{i}" for i in range(len(chunk_cols))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(chunk_cols, chunk_names)])
+    if flag is not None:
+        keyed = keyed.withColumn("_seq_f", F.when(flag, F.lit(1)).otherwise(F.lit(0)))
     local_w = Window.partitionBy(*group_cols, *chunk_names).orderBy(*order_cols)
     local = keyed.withColumn("_seq_local", F.row_number().over(local_w))
+    if flag is not None:
+        running = local_w.rowsBetween(Window.unboundedPreceding, 0)
+        local = local.withColumn("_seq_flocal", F.sum("_seq_f").over(running))
 
     g_alias = [f"_seq_g{i}" for i in range(len(group_cols))]
     c_alias = [f"_seq_k{i}" for i in range(len(chunk_names))]
-    sizes = keyed.groupBy(*group_cols, *chunk_names).agg(F.count(F.lit(1)).alias("_seq_n"))
+    size_aggs = [F.count(F.lit(1)).alias("_seq_n")]
+    if flag is not None:
+        size_aggs.append(F.sum("_seq_f").alias("_seq_fn"))
+    sizes = keyed.groupBy(*group_cols, *chunk_names).agg(*size_aggs)
     before = Window.partitionBy(*group_cols).orderBy(*chunk_names) \
         .rowsBetween(Window.unboundedPreceding, -1)
+    offset_cols = [F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_before")]
+    if flag is not None:
+        offset_cols.append(F.coalesce(F.sum("_seq_fn").over(before), F.lit(0))
+                           .alias("_seq_fbefore"))
     offsets = sizes.select(
         *[F.col(g).alias(a) for g, a in zip(group_cols, g_alias)],
         *[F.col(c).alias(a) for c, a in zip(chunk_names, c_alias)],
-        F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_before"),
+        *offset_cols,
     )
     cond = [local[g].eqNullSafe(offsets[a]) for g, a in zip(group_cols, g_alias)]
     cond += [local[c].eqNullSafe(offsets[a]) for c, a in zip(chunk_names, c_alias)]
     out = local.join(offsets, on=cond, how="inner")
-    return (out.withColumn(name, (F.col("_seq_before") + F.col("_seq_local")).cast("long"))
-            .drop("_seq_local", "_seq_before", *chunk_names, *g_alias, *c_alias))
+    out = out.withColumn(name, (F.col("_seq_before") + F.col("_seq_local")).cast("long"))
+    if flag is not None:
+        out = out.withColumn(flag_name, F.when(F.col("_seq_f") == 1, (
+            F.col("_seq_fbefore") + F.col("_seq_flocal")).cast("long")))
+    return out.drop("_seq_local", "_seq_before", "_seq_f", "_seq_flocal", "_seq_fbefore",
+                    *chunk_names, *g_alias, *c_alias)
 
 
 def rank_positions(df: DataFrame, group_cols: Sequence[str], position: str, name: str,
-                   width: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   width: int = DEFAULT_CHUNK_ROWS, flag: Column | None = None,
+                   flag_name: str | None = None) -> DataFrame:
     """Dense rank of a unique position column among the rows of ``df``.
 
     With ``position`` = the row's place in its export (dense 1..n over all rows
     of the batch), each chunk holds at most ``width`` rows of ``df``.
     """
     return sequence_within(df, group_cols, [position], name,
-                           [position_chunk(position, width)])
+                           [position_chunk(position, width)], flag, flag_name)

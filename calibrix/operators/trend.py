@@ -18,10 +18,11 @@ Batches with fewer than two finite points get no curve.
 
 Scale: the q nearest points of v_j are the ranks [s_j, s_j + q - 1] with
 s_j = 1 + #{r <= m - q : x_r + x_(r+q) < 2 v_j}. That count is a histogram
-over an 80-entry array (partial aggregation), the windows are exploded per
-point (each point joins the ~0.75 * 80 grid points whose window holds it) and
-the weighted moments are partial aggregates per (batch, grid point). No task
-holds a whole batch; the per-batch tables have 80 rows or one row of arrays.
+(partial aggregation) of each pair sum's grid index, which is computed
+arithmetically; each point then joins the ~0.75 * 80 grid points whose window
+holds it, and the weighted moments are partial aggregates per (batch, grid
+point). Everything stays in generated code (no lambdas over arrays), no task
+holds a whole batch, and the per-batch grid table has 80 rows.
 """
 
 from __future__ import annotations
@@ -52,30 +53,47 @@ def recovery_trend(samples: DataFrame, span: float = SPAN,
     the plan reads it from several branches.
     """
     last = n_grid - 1
-    base = materialize(samples.select("BatchID", "RowIndex", "IS_Recovery"))
-    ordered = rank_positions(base, ["BatchID"], "RowIndex", "Order")
     y = F.col("IS_Recovery")
-    pts = (ordered.filter(y.isNotNull() & (F.abs(y) != F.lit(float("inf"))))
-           .select("BatchID", F.col("Order").cast("double").alias("x"),
-                   F.col("Order").alias("pos"), y.alias("y")))
-    pts = materialize(rank_positions(pts, ["BatchID"], "pos", "r").drop("pos"))
+    finite = y.isNotNull() & (F.abs(y) != F.lit(float("inf")))
+    base = materialize(samples.select("BatchID", "RowIndex", "IS_Recovery"))
+    # Order over all samples and rank r over the finite ones, in one pass.
+    ranked = rank_positions(base, ["BatchID"], "RowIndex", "Order", flag=finite, flag_name="r")
+    pts = ranked.filter(F.col("r").isNotNull()).select(
+        "BatchID", F.col("Order").cast("double").alias("x"), y.alias("y"), "r")
+    # The point table feeds six branches and a 60-fold explode: spread it over
+    # at least the cluster's cores, keyed so one batch spans many partitions.
+    spark = samples.sparkSession
+    n_parts = max(spark.sparkContext.defaultParallelism, base.rdd.getNumPartitions())
+    pts = materialize(pts.repartition(n_parts, "BatchID", "r"))
 
     stats = (pts.groupBy("BatchID")
              .agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
              .filter(F.col("m") >= 2)
              .withColumn("q", F.floor(F.col("m") * F.lit(span)).cast("long"))
-             .withColumn("v_arr", F.transform(
-                 F.sequence(F.lit(0), F.lit(last)),
-                 lambda j: _grid_value(j, F.col("xmin"), F.col("xmax"), last))))
+             .withColumn("step", (F.col("xmax") - F.col("xmin")) / F.lit(float(last))))
 
-    # s_j from the pair sums x_r + x_(r+q).
-    left = pts.join(stats.select("BatchID", "q", "v_arr"), "BatchID")
+    # s_j from the pair sums x_r + x_(r+q): k = #{j : 2 v_j <= pair sum} is
+    # found arithmetically (the grid is evenly spaced) and corrected by one
+    # step against the exact grid values; a histogram of k gives every s_j.
+    left = pts.join(stats.select("BatchID", "q"), "BatchID")
     right = pts.select("BatchID", F.col("r").alias("r2"), F.col("x").alias("x2"))
     pairs = left.join(right, (left.BatchID == right.BatchID) &
-                      (left.r + left.q == right.r2)).select(left.BatchID, "x", "x2", "v_arr")
-    pairs = pairs.withColumn("k", F.size(F.filter(
-        "v_arr", lambda v: F.lit(2.0) * v <= F.col("x") + F.col("x2"))))
-    hist = pairs.groupBy("BatchID", "k").agg(F.count(F.lit(1)).alias("cnt"))
+                      (left.r + left.q == right.r2)).select(
+        left.BatchID, (F.col("x") + F.col("x2")).alias("ps"))
+    pairs = pairs.join(stats.select("BatchID", "xmin", "xmax", "step"), "BatchID")
+    xmin, xmax, ps = F.col("xmin"), F.col("xmax"), F.col("ps")
+
+    def twice_v(j):
+        return F.lit(2.0) * _grid_value(j, xmin, xmax, last)
+
+    guess = F.floor((ps / F.lit(2.0) - xmin) / F.col("step")).cast("int") + F.lit(1)
+    k0 = F.least(F.greatest(guess, F.lit(0)), F.lit(n_grid))
+    pairs = pairs.withColumn("k0", k0)
+    k = (F.when((F.col("k0") > 0) & (twice_v(F.col("k0") - 1) > ps), F.col("k0") - 1)
+         .when((F.col("k0") < n_grid) & (twice_v(F.col("k0")) <= ps), F.col("k0") + 1)
+         .otherwise(F.col("k0")))
+    hist = (pairs.select("BatchID", k.alias("k"))
+            .groupBy("BatchID", "k").agg(F.count(F.lit(1)).alias("cnt")))
 
     grid = stats.select("BatchID", "q", "xmin", "xmax",
                         F.explode(F.sequence(F.lit(0), F.lit(last))).alias("j"))
@@ -89,26 +107,15 @@ def recovery_trend(samples: DataFrame, span: float = SPAN,
     lo = pts.select("BatchID", F.col("r").alias("s"), F.col("x").alias("x_lo"))
     hi = pts.select("BatchID", F.col("r").alias("s_end"), F.col("x").alias("x_hi"))
     grid = (grid.join(lo, ["BatchID", "s"], "left").join(hi, ["BatchID", "s_end"], "left")
-            .withColumn("h", F.greatest(F.col("v") - F.col("x_lo"), F.col("x_hi") - F.col("v"))))
-
-    arrays = grid.groupBy("BatchID").agg(
-        F.array_sort(F.collect_list(F.struct("j", "s", "v", "h"))).alias("g"),
-        F.first("q").alias("q"))
-    arrays = arrays.select("BatchID", "q",
-                           F.transform("g", lambda e: e["s"]).alias("s_arr"),
-                           F.transform("g", lambda e: e["v"]).alias("v_arr"),
-                           F.transform("g", lambda e: e["h"]).alias("h_arr"))
-
-    # Each point joins the grid points whose window [s_j, s_j + q - 1] holds it.
-    pj = pts.join(arrays, "BatchID")
-    r, q = F.col("r"), F.col("q")
-    j_lo = F.size(F.filter("s_arr", lambda s: s + q - 1 < r))
-    j_hi = F.size(F.filter("s_arr", lambda s: s <= r)) - 1
-    pj = (pj.withColumn("j", F.explode(F.when(j_lo <= j_hi, F.sequence(j_lo, j_hi))
-                                       .otherwise(F.array().cast("array<int>"))))
-          .withColumn("v", F.element_at("v_arr", F.col("j") + 1))
-          .withColumn("h", F.element_at("h_arr", F.col("j") + 1))
-          .filter(F.col("h") > 0))
+            .withColumn("h", F.greatest(F.col("v") - F.col("x_lo"), F.col("x_hi") - F.col("v")))
+            .select("BatchID", "j", "v", "h", "s", "s_end"))
+
+    # Each point meets the grid points whose window [s_j, s_j + q - 1] holds it
+    # (an equi-join on the batch with a range condition on the rank).
+    g = grid.filter(F.col("h") > 0).alias("g")
+    pj = pts.alias("p").join(g, (F.col("p.BatchID") == F.col("g.BatchID")) &
+                             (F.col("p.r") >= F.col("g.s")) & (F.col("p.r") <= F.col("g.s_end")))
+    pj = pj.select(F.col("p.BatchID").alias("BatchID"), "x", "y", "j", "v", "h")
     u = (F.col("x") - F.col("v")) / F.col("h")
     pj = pj.withColumn("u", u).withColumn("a", F.abs(F.col("u")))
     t = F.lit(1.0) - F.col("a") * F.col("a") * F.col("a")
