@@ -64,8 +64,12 @@ def quantify_samples(smp: DataFrame, summary: DataFrame) -> DataFrame:
                      ieee_div("Measured_TC_Conc_Corrected", "intstd_conc"))
          .withColumn("IS_Recovery_Corrected",
                      recovery("IS_Response", by_set("mean_is_response_1", "mean_is_response_2")))
-         .withColumn("TC_Conc_Corrected", zero_rule("Measured_TC_Conc_Corrected"))
-         .withColumn("Conc_Ratio_Corrected", zero_rule("Measured_Conc_Ratio_Corrected")))
+         # The zero rule runs on the routed samples only: a sample in neither
+         # set stays missing even when its target response is 0.
+         .withColumn("TC_Conc_Corrected", F.when(F.col("cal_set").isNotNull(),
+                                                 zero_rule("Measured_TC_Conc_Corrected")))
+         .withColumn("Conc_Ratio_Corrected", F.when(F.col("cal_set").isNotNull(),
+                                                    zero_rule("Measured_Conc_Ratio_Corrected"))))
     return q.withColumnRenamed("Analyte_CalcConc", "TC_Conc_MassHunter")
 
 

@@ -17,24 +17,37 @@ def finalize(q: DataFrame) -> DataFrame:
     against the sample's own calibration set; otherwise the uncorrected ones.
     A sample routed to neither set keeps only its SampleID (Batch, recovery,
     concentration and factor are missing), as the scripts' final join leaves it.
-    Output: BatchID, RowIndex, method columns, Batch, SampleID, IS_Recovery
-    (rounded half to even), Concentration, Factor, Reported.
+    Output: BatchID, RowIndex, method columns, batch_label (the batch's name,
+    never blanked), Batch, SampleID, IS_Recovery (rounded half to even),
+    Concentration, Factor, Reported.
     """
     corr = F.coalesce(F.col("correct"), F.lit(False))
     present = ~corr | F.col("cal_set").isNotNull()
     conc = F.when(corr, F.col("TC_Conc_Corrected")).otherwise(F.col("TC_Conc_Uncorrected"))
     rec = F.when(corr, F.col("IS_Recovery_Corrected")).otherwise(F.col("IS_Recovery"))
-    mode = F.col("unit_mode")
-    factor = (F.when(mode == MASS, F.col("extract_vol"))
-              .when(mode == DILUTION, F.col("dilution_fac")))
-    return q.select(
-        "BatchID", "RowIndex", "method_id", "unit_mode", "analyte",
+    out = q.select(
+        "BatchID", "RowIndex", "method_id", "unit_mode", "analyte", "extract_vol",
+        "dilution_fac",
+        F.col("Batch").alias("batch_label"),
         F.when(present, F.col("Batch")).alias("Batch"),
         "SampleID",
         round_half_even(rec, 0).alias("IS_Recovery"),
         conc.alias("Concentration"),
-        F.when(present, factor).alias("Factor"),
-    ).withColumn("Reported", nan_null(F.col("Concentration") * F.col("Factor")))
+        present.alias("_present"))
+    return with_units(out).drop("_present", "extract_vol", "dilution_fac")
+
+
+def with_units(df: DataFrame) -> DataFrame:
+    """Factor (extraction volume or dilution factor, by unit_mode) and
+    Reported = Concentration x Factor; a row flagged not ``_present`` gets no
+    factor (the scripts add it before the join that brings such rows back)."""
+    mode = F.col("unit_mode")
+    factor = (F.when(mode == MASS, F.col("extract_vol"))
+              .when(mode == DILUTION, F.col("dilution_fac")))
+    if "_present" in df.columns:
+        factor = F.when(F.col("_present"), factor)
+    return (df.withColumn("Factor", factor)
+            .withColumn("Reported", nan_null(F.col("Concentration") * F.col("Factor"))))
 
 
 def in_acquisition_order(df: DataFrame) -> DataFrame:

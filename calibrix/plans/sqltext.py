@@ -162,10 +162,12 @@ q AS (
          {zero_rule('Measured_TC_Conc')} AS TC_Conc_Uncorrected,
          {zero_rule('Measured_Conc_Ratio')} AS Conc_Ratio_Uncorrected,
          {ieee_div('Measured_TC_Conc_Corrected', 'intstd_conc')} AS Measured_Conc_Ratio_Corrected,
-         {zero_rule('Measured_TC_Conc_Corrected')} AS TC_Conc_Corrected
+         CASE WHEN cal_set IS NOT NULL THEN {zero_rule('Measured_TC_Conc_Corrected')} END
+             AS TC_Conc_Corrected
   FROM q1),
 qz AS (
-  SELECT *, {zero_rule('Measured_Conc_Ratio_Corrected')} AS Conc_Ratio_Corrected FROM q)
+  SELECT *, CASE WHEN cal_set IS NOT NULL THEN {zero_rule('Measured_Conc_Ratio_Corrected')} END
+             AS Conc_Ratio_Corrected FROM q)
 """
 
 
