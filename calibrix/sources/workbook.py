@@ -130,6 +130,13 @@ def _convert(value, dtype: T.DataType):
 def read_workbooks(spark: SparkSession, path: str, layout: str = "A") -> DataFrame:
     """All workbooks under ``path`` (a file, folder or glob) as typed rows:
     the layout's columns plus Batch (file name without extension) and RowIndex."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+             .option("recursiveFileLookup", True).load(path))
+    return parse_files(files, layout)
+
+
+def parse_files(files: DataFrame, layout: str = "A") -> DataFrame:
+    """A ``binaryFile`` frame (batch or streaming) -> typed export rows."""
     schema = layout_schema(layout)
     names = [f.name for f in schema.fields]
     out_schema = T.StructType(list(schema.fields) + [
@@ -148,9 +155,7 @@ def read_workbooks(spark: SparkSession, path: str, layout: str = "A") -> DataFra
                     records.append(rec)
             yield pd.DataFrame.from_records(records, columns=names + ["Batch", "RowIndex"])
 
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
-             .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    return files.mapInPandas(parse, out_schema)
+    return files.select("path", "content").mapInPandas(parse, out_schema)
 
 
 def to_runs(rows: DataFrame) -> DataFrame:
@@ -167,4 +172,5 @@ def to_batches(rows: DataFrame, methods: DataFrame, method_id: int) -> DataFrame
         "dilution_fac", "unit_mode", "correct", "conc_digits")
 
 
-__all__ = ["read_workbooks", "to_runs", "to_batches", "parse_workbook", "LAYOUTS"]
+__all__ = ["read_workbooks", "parse_files", "to_runs", "to_batches", "parse_workbook",
+           "LAYOUTS"]
