@@ -87,3 +87,16 @@ def batch_means(q: DataFrame) -> DataFrame:
         strict_mean("Measured_TC_Conc").alias("mean_tc_conc"),
         F.count(F.lit(1)).alias("n_samples"),
     )
+
+
+def uncorrected_recovery(runs: DataFrame) -> DataFrame:
+    """Samples with IS_Recovery against the mean IS response of all calibrators.
+
+    The same value as ``quantify_samples(...).IS_Recovery`` without the line
+    fits: one partial aggregate over the calibrators and one join.
+    """
+    from calibrix.operators.calibration import CAL
+    mean_is = (runs.filter(F.col("Type") == CAL).groupBy("BatchID")
+               .agg(strict_mean("IS_Response").alias("mean_is_response")))
+    return (samples(runs).join(mean_is, "BatchID", "left")
+            .withColumn("IS_Recovery", recovery("IS_Response", "mean_is_response")))

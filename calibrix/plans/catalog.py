@@ -569,5 +569,4 @@ SELECT g.BatchID, CAST(g.j + 1 AS BIGINT) AS grid_index, g.v AS "Order",
 FROM grid g LEFT JOIN sol s ON g.BatchID = s.BatchID AND g.j = s.j""",
     _ORDER_CTE + "," + _TREND_CTE))
 def q_recovery_trend(spark, sf_dir):
-    p = pipeline(spark, sf_dir)
-    return trend.recovery_trend(p.samples)
+    return trend.recovery_trend(quantify.uncorrected_recovery(tables(spark, sf_dir)[0]))
