@@ -158,6 +158,38 @@ def parse_files(files: DataFrame, layout: str = "A") -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, out_schema)
 
 
+def read_csv_exports(spark: SparkSession, path: str, layout: str = "A") -> DataFrame:
+    """Exports saved as CSV (same layout: two header rows, then one row per
+    injection, names by position) -> the same typed rows as ``read_workbooks``.
+
+    Read per file (``binaryFile``) so each row keeps its position in its file.
+    """
+    schema = layout_schema(layout)
+    names = [f.name for f in schema.fields]
+    out_schema = T.StructType(list(schema.fields) + [
+        T.StructField("Batch", T.StringType(), False),
+        T.StructField("RowIndex", T.LongType(), False)])
+
+    def parse(batches):
+        for pdf in batches:
+            frames = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                raw = pd.read_csv(io.BytesIO(bytes(content)), header=None, skiprows=HEADER_ROWS,
+                                  names=names, usecols=range(len(names)), dtype=str,
+                                  keep_default_na=True, encoding="utf-8-sig")
+                out = pd.DataFrame({n: [_convert(None if pd.isna(v) else v, f.dataType)
+                                        for v in raw[n]] for n, f in zip(names, schema.fields)})
+                out["Batch"] = posixpath.splitext(posixpath.basename(p))[0]
+                out["RowIndex"] = range(1, len(out) + 1)
+                frames.append(out)
+            if frames:
+                yield pd.concat(frames, ignore_index=True)
+
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+             .option("recursiveFileLookup", True).load(path))
+    return files.select("path", "content").mapInPandas(parse, out_schema)
+
+
 def to_runs(rows: DataFrame) -> DataFrame:
     """Typed export rows -> the engine's run table (BatchID from the file name)."""
     return rows.withColumn("BatchID", F.xxhash64("Batch")).select(*RUN_COLUMNS)
@@ -172,5 +204,5 @@ def to_batches(rows: DataFrame, methods: DataFrame, method_id: int) -> DataFrame
         "dilution_fac", "unit_mode", "correct", "conc_digits")
 
 
-__all__ = ["read_workbooks", "parse_files", "to_runs", "to_batches", "parse_workbook",
-           "LAYOUTS"]
+__all__ = ["read_workbooks", "read_csv_exports", "parse_files", "to_runs", "to_batches",
+           "parse_workbook", "LAYOUTS"]

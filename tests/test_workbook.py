@@ -90,3 +90,19 @@ def test_read_workbooks_and_quantify(spark, tmp_path):
     res = {(r.SampleID): r for r in q.filter(F.col("SampleID").startswith("S")).collect()}
     assert res["S1"].TC_Conc_Uncorrected == pytest.approx(5.0)  # (2.1 - 0.1) / 2 * 5
     assert res["S2"].TC_Conc_Uncorrected == 0.0 and res["S2"].IS_Recovery == pytest.approx(50.0)
+
+
+def test_read_csv_exports_layout_b(spark, tmp_path):
+    names = [n for n, _ in LAYOUTS["B"]]
+    lines = ["export header line", ",".join(names)]
+    for sid, typ, conc, tc, isr in [("C1", "Cal", "1", "500", "1000"), ("S1", "Sample", "", "700", "")]:
+        r = [""] * len(names)
+        r[names.index("SampleID")], r[names.index("Type")] = sid, typ
+        r[names.index("TC_Conc")], r[names.index("TC_Response")] = conc, tc
+        r[names.index("IS_Response")] = isr
+        lines.append(",".join(r))
+    (tmp_path / "Batch_C.csv").write_text("\n".join(lines) + "\n")
+    rows = workbook.read_csv_exports(spark, str(tmp_path), "B").orderBy("RowIndex").collect()
+    assert [(r.SampleID, r.Type, r.TC_Conc, r.TC_Response, r.IS_Response, r.RowIndex, r.Batch)
+            for r in rows] == [("C1", "Cal", 1.0, 500.0, 1000.0, 1, "Batch_C"),
+                               ("S1", "Sample", None, 700.0, None, 2, "Batch_C")]
