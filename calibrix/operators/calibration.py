@@ -76,9 +76,6 @@ def line_fit_result(prefix: str, out: str) -> list[Column]:
             nan_null(r2).alias(f"r_squared{out}"), n.alias(f"n_fit{out}")]
 
 
-_MOMENTS = ("n", "nonfinite", "mx", "my", "vx", "vy", "cxy")
-
-
 def fit_calibration(cal: DataFrame) -> DataFrame:
     """One row per batch: the fit over all calibrators and their mean IS response."""
     agg = cal.groupBy("BatchID").agg(
@@ -101,9 +98,8 @@ def score_calibrators(cal: DataFrame, fit: DataFrame) -> DataFrame:
     All of the fit's columns come along, so later per-batch aggregates can
     carry them instead of joining the fit table a second time.
     """
-    slope, intercept = "slope", "intercept"
     scored = cal.join(fit.select("BatchID", *FIT0_COLUMNS), "BatchID", "left")
-    measured = inverse_predict("Response_Ratio", intercept, slope, "intstd_conc")
+    measured = inverse_predict("Response_Ratio", "intercept", "slope", "intstd_conc")
     return (scored.withColumn("Measured_TC_Conc", measured)
             .withColumn("Accuracy_Pct", accuracy_pct("Measured_TC_Conc", "TC_Conc")))
 

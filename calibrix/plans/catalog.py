@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrix.functions.numeric import ieee_div, round_half_even
+from calibrix.functions.numeric import ieee_div
 from calibrix.operators import calibration as cal_ops
-from calibrix.operators import compare, quantify, results
+from calibrix.operators import quantify, results
 from calibrix.plans import sqltext as S
 from calibrix.plans.pipeline import Quantification
 from calibrix.sources import adapter

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from calibrix.operators import calibration as C
 from calibrix.operators import gates
