@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calibrix.llm.text import (batch_limits, lowered, mix, owner_of, pieces, ranges, span_hash,
                                word_bounds)
@@ -189,8 +190,8 @@ def featurised(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in more),
                          F.col(text_col).cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("_text").schema)
-    return source.mapInArrow(run, schema + ", ids binary")
+    schema = T.StructType([*source.drop("_text").schema.fields, T.StructField("ids", T.BinaryType())])
+    return source.mapInArrow(run, schema)
 
 
 def class_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +272,9 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in keep),
                          F.col(text_col).cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("_text").schema)
-    return source.mapInArrow(run, schema + ", score double, predicted int")
+    schema = T.StructType([*source.drop("_text").schema.fields, T.StructField("score", T.DoubleType()),
+                           T.StructField("predicted", T.IntegerType())])
+    return source.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

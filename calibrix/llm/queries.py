@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrix.llm import byte_bpe, host_rules, license_scan, quality_classifier, token_count
+from calibrix.llm import (byte_bpe, decontaminate, host_rules, license_scan, line_dedup, near_dedup, quality_classifier,
+                          substring_dedup, token_count)
 from calibrix.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,54 @@ def op2(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+_UP, _LOW = line_dedup._UPPER, line_dedup._LOWER
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_OP3_SQL = f"""
+WITH l AS (SELECT doc_id, i, ls[i] AS line, len(ls) AS n,
+                  translate(trim(ls[i], {_STRIP}), '{_UP}', '{_LOW}') AS key
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, any_value(n)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.key = f.key GROUP BY doc_id
+"""
+
+
+@register("op3_line_dedup", _OP3_SQL)
+def op3(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_docs=10).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op4_decontaminate")
+def op4(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP5_SQL = rf"""
+WITH l AS (SELECT doc_id, i, ls[i] AS line, len(ls) AS n,
+                  translate(array_to_string(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'), ' '), '{_UP}', '{_LOW}') AS key,
+                  len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS words
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+m AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0,
+             words >= {substring_dedup.MIN_WORDS}
+             AND row_number() OVER (PARTITION BY key, words >= {substring_dedup.MIN_WORDS} ORDER BY doc_id, i) > 1 AS gone FROM l)
+SELECT doc_id, any_value(n)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256,
+       coalesce(string_agg(pos0::BIGINT || '-' || (pos0 + strlen(line))::BIGINT, ',' ORDER BY i) FILTER (WHERE gone), '') AS removed
+FROM m GROUP BY doc_id
+"""
+
+
+@register("op5_substring_dedup", _OP5_SQL)
+def op5(spark, sf_dir):
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed"))
+
+
 @register("op6_quality_classifier")
 def op6(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -86,3 +135,27 @@ def op8(spark, sf_dir):
 @register("op9_token_count")
 def op9(spark, sf_dir):
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_OP10_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)
+      UNION ALL SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1),
+n AS (SELECT w.doc_id, coalesce(c.n, 0) AS n FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) c
+      ON w.doc_id = c.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+      FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT doc_id, any_value(n.n)::BIGINT AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept
+FROM n JOIN r ON r.node = n.doc_id GROUP BY doc_id
+"""
+
+
+@register("op10_minhash", _OP10_SQL)
+def op10(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
