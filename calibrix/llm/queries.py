@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrix.llm import (byte_bpe, decontaminate, host_rules, license_scan, line_dedup, near_dedup, quality_classifier,
-                          substring_dedup, token_count)
+                          substring_dedup, suffix_dedup, token_count)
 from calibrix.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op2_license_scan")
 def op2(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))

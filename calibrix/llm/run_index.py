@@ -2,7 +2,7 @@
 
 The suffixes of all strings are ordered (a string's end sorts before any byte,
 ends among themselves by string number), the Burrows-Wheeler transform is kept
-as runs, and text positions are sampled at run ends only. Strings are streamed
+as runs, and text positions are sampled at run ends and string starts only. Strings are streamed
 through the index from their last byte to their first, all in step: each LF
 step yields the row of the next longer suffix, and a row's class (rows whose
 first ``reach`` bytes agree) tells which other places match that far.
@@ -17,7 +17,7 @@ from calibrix.llm.text import ranges
 
 class RunIndex:
     def __init__(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, reach: int):
-        """Index ``buf[s:s + n]`` of each pair; ``reach`` is the match length sought."""
+        """Index ``buf[s:s + n]`` of each pair; ``reach`` (7 or more) is the match length sought."""
         m = len(lens)
         total = int(lens.sum()) + m
         self.lens, self.reach = lens, reach
@@ -39,6 +39,9 @@ class RunIndex:
         self.target = before  # row that the run's first row maps to
         self.run_end = heads + length - 1
         self.sample = order[self.run_end] - 1  # text position of the character at the run's end
+        # A string's first byte follows no byte: its row and place are kept.
+        self.whole_row = np.flatnonzero(bwt == 0)
+        self.whole_at = order[self.whole_row]
         self.class_start = classes
 
     def _order(self, text: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +108,14 @@ class RunIndex:
                 yield order[:live], lens[:live] - t - 1, np.searchsorted(self.class_start, nxt, "right") - 1
 
     def locate(self, row: int) -> int:
-        """Text position of a row's suffix: LF steps up to a sampled run end."""
+        """Text position of a row's suffix: LF steps up to a sampled row."""
         steps = 0
         while True:
             nxt, run = self.back(np.array([row]))
             if row == self.run_end[run[0]]:
                 return int(self.sample[run[0]]) + 1 + steps
             if self.run_char[run[0]] == 0:
-                raise ValueError("the walk left its string without a sample")
+                return int(self.whole_at[np.searchsorted(self.whole_row, row)]) + steps
             row, steps = int(nxt[0]), steps + 1
 
 
