@@ -49,7 +49,7 @@ TASK_ANCHORS = 1_000_000
 
 # A segment's place: order of documents (null first, id, text hash), start.
 PLACE = [("some", "i1"), ("id", "i8"), ("key", "i8"), ("start", "i8")]
-ANCHORS = np.dtype([("h", "u8"), ("s", "u8"), *PLACE, ("row", "i4"), ("len", "i4")])
+ANCHORS = np.dtype([("h", "u8"), ("s", "u8"), *PLACE, ("row", "i4"), ("len", "i4"), ("loop", "i1")])
 # What returns to a piece: kind 0 removes a span; 1 and 2 want its bytes (2: hot anchor).
 NOTES = np.dtype([("kind", "i1"), ("h", "u8"), ("row", "i4"), ("start", "i8"), ("len", "i4")])
 SEGMENTS = np.dtype([("h", "u8"), *PLACE, ("piece", "i8"), ("row", "i4"), ("len", "i4")])
@@ -148,22 +148,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def segments(buf: np.ndarray, off: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, text, first window, windows) of each segment: windows in a
-    row with one anchor, cut after as many as an anchor can have (so repeats of
-    a short period stay bounded)."""
+def segments(buf: np.ndarray, off: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, text, first window, windows, loop) of each segment:
+    windows in a row with one anchor, cut after as many as an anchor can have
+    (so repeats of a short period stay bounded). A segment in which the anchor
+    stands twice may match itself (loop)."""
     width = reach - ANCHOR + 1
+    z = np.zeros(0, np.int64)
     if len(buf) < reach:
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
-    least = sliding_min(gram_hashes(buf, ANCHOR)[:len(buf) - ANCHOR + 1], width)
+        return z.astype(np.uint64), z, z, z, z.astype(bool)
+    grams = gram_hashes(buf, ANCHOR)[:len(buf) - ANCHOR + 1]
+    least = sliding_min(grams, width)
     # Windows inside one text, text by text.
     n = np.maximum(np.diff(off) - reach + 1, 0)
     at = ranges(off[:-1], n)
     text = np.repeat(np.arange(len(n)), n)
     if not len(at):
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z, z, z, z.astype(bool)
     value = least[at]
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
     begin = np.flatnonzero(new)
@@ -171,7 +172,18 @@ def segments(buf: np.ndarray, off: np.ndarray, reach: int) -> tuple[np.ndarray,
     parts = -(-size // width)
     begin = np.repeat(begin, parts) + ranges(np.zeros(len(parts), np.int64), parts) * width
     size = np.diff(np.append(begin, len(at)))
-    return value[begin], text[begin], at[begin], size
+    value, first = value[begin], at[begin]
+    # Anchors: grams that are the least of some window, so equal to the largest
+    # of the window minima around them.
+    none = np.zeros(width - 1, np.uint64)
+    most = ~sliding_min(~np.concatenate([none, least, none]), width)
+    anchors = np.flatnonzero(most == grams)
+    lo = np.searchsorted(anchors, first)
+    n = np.searchsorted(anchors, first + size + width - 1) - lo
+    hits = grams[anchors[ranges(lo, n)]] == np.repeat(value, n)
+    total = np.concatenate([[0], np.cumsum(hits)])
+    ends = np.cumsum(n)
+    return value, text[begin], first, size, total[ends] - total[ends - n] > 1
 
 
 def anchor_rows(packed: DataFrame, reach: int, tasks: int) -> DataFrame:
@@ -181,12 +193,12 @@ def anchor_rows(packed: DataFrame, reach: int, tasks: int) -> DataFrame:
     def run(batches):
         for row in _rows(batches):
             p = Piece(row)
-            h, text, at, windows = segments(p.buf, p.off, reach)
+            h, text, at, windows, loop = segments(p.buf, p.off, reach)
             x = np.empty(len(h), ANCHORS)
             x["h"], x["row"], x["len"] = h, text, windows + reach - 1
             x["s"] = span_hash(p.buf, at, at + windows + reach - 1, 5)
             x["some"], x["id"], x["key"] = p.some[text], p.ids[text], p.keys[text]
-            x["start"] = at - p.off[text]
+            x["start"], x["loop"] = at - p.off[text], loop
             x["len"][_copies(x)] *= -1
             task = (mix(x["h"]) % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(task, kind="stable")
@@ -247,7 +259,7 @@ def settle(anchors: DataFrame, tasks: int, hot: int) -> DataFrame:
         new = np.concatenate([[True], h[1:] != h[:-1]])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(by)))[np.cumsum(new) - 1] if len(by) else np.zeros(0, np.int64)
-        kind[by[size > 1]] = 1
+        kind[by[(size > 1) | (x["loop"][by] > 0)]] = 1
         kind[by[size > hot]] = 2
         use = np.flatnonzero(kind >= 0)
         use = use[np.argsort(piece[use], kind="stable")]

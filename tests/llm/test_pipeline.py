@@ -1,0 +1,99 @@
+"""The pipeline's stages against what each operator's brute force keeps."""
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from calibrix.llm import byte_bpe
+from tests.llm.conftest import NASTY
+from tests.llm.test_classifier import corpus
+from tests.llm.test_dedup import brute_near
+from tests.llm.test_decontaminate import overlaps
+
+ITEM = " ".join(f"item{i}" for i in range(30))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A small set of tables with planted copies, lines and benchmark text."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    rows, labels = corpus(300, 5)
+    rows = [(i, t, "en", "s", len(t)) for i, t, _, _ in rows]
+    extra = [
+        (1000, rows[1][1], "en", "s", 1), (1001, rows[1][1] + " more words here", "en", "s", 1),
+        (1002, "clean start " + ITEM + " and an end", "en", "s", 1),
+        (1003, ITEM.replace("item7 ", "other ").replace("item20", "x"), "en", "s", 1),
+        (1004, None, None, None, None), (1005, "", "en", "s", 0),
+        *((1010 + k, f"shared boiler line\nown words number {k} of a text that is clean\nSHARED boiler line ", "en", "s", 0)
+          for k in range(12)),
+        *((1030 + k, "only a shared line", "en", "s", 18) for k in range(12)),
+    ]
+    spark.createDataFrame([*rows, *extra], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+                          ).repartition(2).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+def read(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_quality_keeps_columns_and_clean_rows(spark, folder):
+    docs = read(spark, folder)
+    out = corpus_pipeline.quality(spark, docs, folder)
+    assert out.schema == docs.schema
+    kept = {x.doc_id for x in out.collect()}
+    first = [x.doc_id for x in docs.collect() if x.doc_id < 300]
+    assert np.mean([(i in kept) == (i % 4 != 0) for i in first]) > 0.97
+
+
+def test_lines(spark, folder):
+    docs = read(spark, folder)
+    out = corpus_pipeline.lines(spark, docs, folder)
+    assert out.schema == docs.schema
+    got = {x.doc_id: x for x in out.collect()}
+    assert got[1010].text == "shared boiler line\nown words number 0 of a text that is clean"
+    assert all(got[1010 + k].text == f"own words number {k} of a text that is clean" for k in range(1, 12))
+    assert all(got[i].n_chars == len(got[i].text) for i in range(1010, 1022))
+    assert got[1030].text == "only a shared line" and not any(1030 + k in got for k in range(1, 12))
+    assert got[1004].text is None and got[1005].text == ""
+    same = {x.doc_id: x for x in docs.collect() if x.doc_id < 1010}
+    assert {i: got.get(i) for i in same} == same
+
+
+def test_near(spark, folder):
+    docs = read(spark, folder)
+    out = corpus_pipeline.near(spark, docs, folder)
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    want = {i for (i, _, _, kept), n in brute_near(rows, 5).items() if kept}
+    assert out.schema == docs.schema and {x.doc_id for x in out.collect()} == want
+
+
+def test_benchmark(spark, folder):
+    docs = read(spark, folder)
+    out = corpus_pipeline.benchmark(spark, docs, folder)
+    gone = {x.doc_id for x in docs.collect()} - {x.doc_id for x in out.collect()}
+    assert out.schema == docs.schema and gone == {1002, 1003}
+    assert all(overlaps(x.text, ITEM) for x in docs.filter("doc_id in (1002, 1003)").collect())
+
+
+def test_run(spark, folder):
+    out = {x.doc_id: x for x in corpus_pipeline.run(spark, folder).collect()}
+    assert not {1000, 1001, 1002, 1003} & set(out) and {1, 1005, 1010, 1030} <= set(out)
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = {x.doc_id: x.text for x in read(spark, folder).collect()}
+    assert np.frombuffer(out[1].ids, "<u4").tolist() == ref.encode_ordinary(text[1])
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality classifier", "line dedup", "near dedup", "benchmark decontamination", "byte BPE"]
+
+
+def test_stages_take_nasty_and_empty_tables(spark, folder, nasty, empty):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, folder).count() == 0
+        out = stage(spark, nasty, folder)
+        assert out.columns == nasty.columns and out.count() <= len(NASTY)
+    assert corpus_pipeline.tokens(spark, nasty, folder).count() == len(NASTY)

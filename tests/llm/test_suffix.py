@@ -96,6 +96,8 @@ def corpus(seed):
             t = " ".join(w)
         if i % 11 == 0:
             t += "xyz " * r.randint(0, 120)
+        if i % 13 == 0:  # a period that repeats inside one segment
+            t += prose(4) * 6
         texts.append(t)
     return texts
 
