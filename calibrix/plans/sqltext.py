@@ -10,17 +10,15 @@ from __future__ import annotations
 from calibrix.sources.adapter import RUNS_SQL, batches_sql
 
 INF = "CAST('inf' AS DOUBLE)"
-NINF = "CAST('-inf' AS DOUBLE)"
 
 
 def nan_null(x: str) -> str:
-    return f"(CASE WHEN isnan({x}) THEN NULL ELSE {x} END)"
+    return f"nullif({x}, CAST('nan' AS DOUBLE))"
 
 
 def ieee_div(a: str, b: str) -> str:
-    return nan_null(f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) "
-                    f"WHEN ({b}) = 0 AND ({a}) > 0 THEN {INF} "
-                    f"WHEN ({b}) = 0 AND ({a}) < 0 THEN {NINF} END)")
+    """a / b; x/0 is +-Inf by the sign of x, 0/0 and every NaN are NULL."""
+    return nan_null(f"coalesce(({a}) / nullif({b}, 0), CASE WHEN ({b}) = 0 THEN sign({a}) * {INF} END)")
 
 
 def is_inf(x: str) -> str:
@@ -79,11 +77,13 @@ def bround(x: str, d: int) -> str:
 
 
 # --- the shared CTE chain -------------------------------------------------
+# Steps are materialised: a value that later expressions repeat is a column by
+# then, never a nested copy of its expression.
 
 BASE_CTES = f"""
-runs AS ({RUNS_SQL}),
-batches AS ({batches_sql()}),
-cal AS (
+runs AS MATERIALIZED ({RUNS_SQL}),
+batches AS MATERIALIZED ({batches_sql()}),
+cal AS MATERIALIZED (
   SELECT r.*, b.intstd_conc, b.conc_digits,
          {ieee_div('r.TC_Response', 'r.IS_Response')} AS Response_Ratio,
          {ieee_div('r.TC_Conc', 'b.intstd_conc')} AS Conc_Ratio
@@ -95,18 +95,18 @@ fit0_m AS (
   {strict_mean('IS_Response')} AS mean_is_response,
   count(*) AS n_calibrators
   FROM cal GROUP BY BatchID),
-fit0 AS (
+fit0 AS MATERIALIZED (
   SELECT BatchID,
   {fit_result('_f0_', '')},
   _f0_nonfinite AS n_nonfinite, mean_is_response, n_calibrators
   FROM fit0_m),
-scored0 AS (
+scored0 AS MATERIALIZED (
   SELECT c.*, f.slope, f.intercept,
          {inverse_predict('c.Response_Ratio', 'f.intercept', 'f.slope', 'c.intstd_conc')} AS Measured_TC_Conc
   FROM cal c LEFT JOIN fit0 f ON c.BatchID = f.BatchID),
 scored1 AS (
   SELECT *, {accuracy('Measured_TC_Conc', 'TC_Conc')} AS Accuracy_Pct FROM scored0),
-scored AS (
+scored AS MATERIALIZED (
   SELECT *, CASE WHEN Accuracy_Pct >= 110.0 OR Accuracy_Pct <= 90.0 THEN 1
                  WHEN Accuracy_Pct < 110.0 AND Accuracy_Pct > 90.0 THEN 2 END AS cal_set
   FROM scored1),
@@ -121,13 +121,13 @@ sets_m AS (
   arg_max_null(Response_Ratio, CASE WHEN cal_set = 1 THEN RowIndex END) AS selection_value,
   count(Accuracy_Pct) AS n_scored
   FROM scored GROUP BY BatchID),
-sets AS (
+sets AS MATERIALIZED (
   SELECT BatchID,
   {fit_result('_f1_', '_1')}, mean_is_response_1, n_set1,
   {fit_result('_f2_', '_2')}, mean_is_response_2, n_set2,
   selection_value, n_scored
   FROM sets_m),
-summary AS (
+summary AS MATERIALIZED (
   SELECT b.*, f.slope, f.intercept, f.r_squared, f.n_fit, f.n_nonfinite, f.mean_is_response,
          f.n_calibrators,
          s.slope_1, s.intercept_1, s.r_squared_1, s.n_fit_1, s.mean_is_response_1, s.n_set1,
@@ -135,10 +135,10 @@ summary AS (
          s.selection_value, s.n_scored
   FROM batches b LEFT JOIN fit0 f ON b.BatchID = f.BatchID
                  LEFT JOIN sets s ON b.BatchID = s.BatchID),
-smp AS (
+smp AS MATERIALIZED (
   SELECT r.*, {ieee_div('r.TC_Response', 'r.IS_Response')} AS Response_Ratio
   FROM runs r WHERE r.Type = 'Sample'),
-q0 AS (
+q0 AS MATERIALIZED (
   SELECT p.BatchID, p.RowIndex, p.SampleID, p.TC_Response, p.IS_Response, p.Response_Ratio,
          p.Analyte_CalcConc AS TC_Conc_MassHunter,
          s.* EXCLUDE (BatchID),
@@ -146,7 +146,7 @@ q0 AS (
          CASE WHEN p.Response_Ratio <= s.selection_value THEN 1
               WHEN p.Response_Ratio > s.selection_value THEN 2 END AS cal_set
   FROM smp p LEFT JOIN summary s ON p.BatchID = s.BatchID),
-q1 AS (
+q1 AS MATERIALIZED (
   SELECT *,
          {ieee_div('Measured_TC_Conc', 'intstd_conc')} AS Measured_Conc_Ratio,
          {nan_null(ieee_div('IS_Response', 'mean_is_response') + ' * 100')} AS IS_Recovery,
@@ -165,7 +165,7 @@ q AS (
          CASE WHEN cal_set IS NOT NULL THEN {zero_rule('Measured_TC_Conc_Corrected')} END
              AS TC_Conc_Corrected
   FROM q1),
-qz AS (
+qz AS MATERIALIZED (
   SELECT *, CASE WHEN cal_set IS NOT NULL THEN {zero_rule('Measured_Conc_Ratio_Corrected')} END
              AS Conc_Ratio_Corrected FROM q)
 """
