@@ -1,4 +1,4 @@
-"""Column expressions with the reference's arithmetic semantics.
+"""Column expressions with the method scripts' arithmetic.
 
 The scripts compute in IEEE doubles: x/0 is +-Inf, 0/0 is NaN, and NaN then
 behaves as "missing" everywhere (dropped by predicates, sorted last, poisoning
@@ -80,7 +80,7 @@ def accuracy_pct(measured, target) -> Column:
     """abs((((M - T) / T) * 100) - 100), as written by the scripts.
 
     This is |100*M/T - 200|: M = T gives 100, M = 1.1 T gives 90, M = 2 T gives
-    0 and M = 3 T gives 100 again. The mirrored scale is the reference's and is
+    0 and M = 3 T gives 100 again. The mirrored scale is the scripts' and is
     reproduced, not corrected.
     """
     m, t = _c(measured), _c(target)

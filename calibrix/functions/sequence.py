@@ -47,42 +47,42 @@ def sequence_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     among the flagged rows of the group (NULL on unflagged rows), in the same
     pass.
     """
-    chunk_names = [f"_seq_c{i}" for i in range(len(chunk_cols))]
-    keyed = df.select("*", *[c.alias(n) for c, n in zip(chunk_cols, chunk_names)])
+    # Plain, never-null key columns: the join of the offsets then reuses the
+    # window's partitioning, so the rows are exchanged once.
+    keyed, keys, n_group = df, [], 0
+    for i, c in enumerate([*map(F.col, group_cols), *chunk_cols]):
+        field = df.select(c).schema[0]
+        if i < len(group_cols) and not field.nullable:
+            keys.append(group_cols[i])
+        else:
+            keyed = keyed.withColumns({f"_seq_k{i}": F.coalesce(c, F.lit(0).cast(field.dataType)),
+                                       f"_seq_z{i}": c.isNull()})
+            keys += [f"_seq_z{i}", f"_seq_k{i}"]
+        n_group = len(keys) if i < len(group_cols) else n_group
     if flag is not None:
         keyed = keyed.withColumn("_seq_f", F.when(flag, F.lit(1)).otherwise(F.lit(0)))
-    local_w = Window.partitionBy(*group_cols, *chunk_names).orderBy(*order_cols)
+    local_w = Window.partitionBy(*keys).orderBy(*order_cols)
     local = keyed.withColumn("_seq_local", F.row_number().over(local_w))
     if flag is not None:
         running = local_w.rowsBetween(Window.unboundedPreceding, 0)
         local = local.withColumn("_seq_flocal", F.sum("_seq_f").over(running))
 
-    g_alias = [f"_seq_g{i}" for i in range(len(group_cols))]
-    c_alias = [f"_seq_k{i}" for i in range(len(chunk_names))]
-    size_aggs = [F.count(F.lit(1)).alias("_seq_n")]
+    # Rows per chunk, from the numbered rows (same exchange, no second scan).
+    size_aggs = [F.max("_seq_local").alias("_seq_n")]
     if flag is not None:
-        size_aggs.append(F.sum("_seq_f").alias("_seq_fn"))
-    sizes = keyed.groupBy(*group_cols, *chunk_names).agg(*size_aggs)
-    before = Window.partitionBy(*group_cols).orderBy(*chunk_names) \
-        .rowsBetween(Window.unboundedPreceding, -1)
+        size_aggs.append(F.max("_seq_flocal").alias("_seq_fn"))
+    sizes = local.groupBy(*keys).agg(*size_aggs)
+    before = (Window.partitionBy(*keys[:n_group]).orderBy(*keys[n_group:])
+              .rowsBetween(Window.unboundedPreceding, -1))
     offset_cols = [F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_before")]
     if flag is not None:
-        offset_cols.append(F.coalesce(F.sum("_seq_fn").over(before), F.lit(0))
-                           .alias("_seq_fbefore"))
-    offsets = sizes.select(
-        *[F.col(g).alias(a) for g, a in zip(group_cols, g_alias)],
-        *[F.col(c).alias(a) for c, a in zip(chunk_names, c_alias)],
-        *offset_cols,
-    )
-    cond = [local[g].eqNullSafe(offsets[a]) for g, a in zip(group_cols, g_alias)]
-    cond += [local[c].eqNullSafe(offsets[a]) for c, a in zip(chunk_names, c_alias)]
-    out = local.join(offsets, on=cond, how="inner")
+        offset_cols.append(F.coalesce(F.sum("_seq_fn").over(before), F.lit(0)).alias("_seq_fbefore"))
+    out = local.join(sizes.select(*keys, *offset_cols), keys)
     out = out.withColumn(name, (F.col("_seq_before") + F.col("_seq_local")).cast("long"))
     if flag is not None:
         out = out.withColumn(flag_name, F.when(F.col("_seq_f") == 1, (
             F.col("_seq_fbefore") + F.col("_seq_flocal")).cast("long")))
-    return out.drop("_seq_local", "_seq_before", "_seq_f", "_seq_flocal", "_seq_fbefore",
-                    *chunk_names, *g_alias, *c_alias)
+    return out.select(*df.columns, name, *([flag_name] if flag is not None else []))
 
 
 def rank_positions(df: DataFrame, group_cols: Sequence[str], position: str, name: str,

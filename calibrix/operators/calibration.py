@@ -148,15 +148,18 @@ def fit_sets(scored: DataFrame) -> DataFrame:
     return agg.select(*cols, "selection_value", "n_scored")
 
 
-def batch_fits(runs: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scored calibrators, one row per batch with every coefficient).
+def batch_fits(runs: DataFrame, batches: DataFrame,
+               split_at: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored calibrators, one row per batch with every coefficient). Sets are
+    by accuracy, or by known concentration up to ``split_at`` if given.
 
     The per-batch table starts from ``batches`` so a batch without calibrators
     keeps a row (with NULL fits) and its samples keep their label.
     """
     cal = calibrators(runs, batches)
     fit0 = fit_calibration(cal)
-    scored = assign_cal_set(score_calibrators(cal, fit0))
+    scored = score_calibrators(cal, fit0)
+    scored = assign_cal_set(scored) if split_at is None else assign_cal_set_by_conc(scored, split_at)
     summary = batches.join(fit_sets(scored), "BatchID", "left")
     return scored, summary
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrix.functions.numeric import ieee_div, nan_null
@@ -19,12 +19,14 @@ def difference_pct(corrected="TC_Conc_Corrected", uncorrected="TC_Conc_Uncorrect
 
 
 def comparison(q: DataFrame, sort: bool = True) -> DataFrame:
-    """Seven-column comparison per sample (plus BatchID), largest difference first.
+    """Seven-column comparison per sample of the correcting methods' batches
+    (plus BatchID and RowIndex), largest difference first.
 
     Order: by batch, Difference_Pct descending with missing values last, ties
-    in acquisition order -- a distributed range sort, no per-batch window.
+    in acquisition order -- a distributed range sort, no per-batch window. The
+    sort keys are columns, so the order survives any later exchange.
     """
-    out = q.select(
+    out = q.filter(F.coalesce(F.col("correct"), F.lit(False))).select(
         "BatchID", "RowIndex", "SampleID",
         F.col("IS_Recovery_Corrected").alias("IS_Recovery"),
         "TC_Conc_Uncorrected", "TC_Conc_MassHunter", "TC_Conc_Corrected", "Set",
@@ -32,7 +34,7 @@ def comparison(q: DataFrame, sort: bool = True) -> DataFrame:
     )
     if sort:
         out = out.orderBy("BatchID", F.col("Difference_Pct").desc_nulls_last(), "RowIndex")
-    return out.drop("RowIndex")
+    return out
 
 
 def comparison_nocorr(q: DataFrame) -> DataFrame:
@@ -42,16 +44,23 @@ def comparison_nocorr(q: DataFrame) -> DataFrame:
 
 
 def full_join_by_sample(left: DataFrame, right: DataFrame,
-                        keys: Sequence[str] = KEYS) -> DataFrame:
+                        keys: Sequence[str] = KEYS, order: str | None = None) -> DataFrame:
     """Full outer join on (BatchID, SampleID) where a missing key matches a missing key.
 
     For tables supplied separately (e.g. vendor results exported on their own).
-    The key is expected to be unique per side (see ``duplicate_samples``).
+    The n-th row of a key meets the n-th row of the same key on the other side
+    (in the order of ``order``, a column of both, or of the rows' values), so k
+    missing or repeated IDs give k rows, never k * k. Numbering sorts the rows
+    of one sample ID, not of a batch.
     """
-    l_ = left.alias("_l")
-    r_ = right.alias("_r")
+    def numbered(df: DataFrame) -> DataFrame:
+        by = [order] if order else sorted(c for c in df.columns if c not in keys) or list(keys)
+        return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+
+    l_ = numbered(left).alias("_l")
+    r_ = numbered(right).alias("_r")
     cond = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
-    joined = l_.join(r_, on=cond, how="full")
+    joined = l_.join(r_, on=[*cond, F.col("_l._nth") == F.col("_r._nth")], how="full")
     others_l = [c for c in left.columns if c not in keys]
     others_r = [c for c in right.columns if c not in keys]
     return joined.select(

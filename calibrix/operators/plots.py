@@ -7,7 +7,7 @@ calibration sets. Positions come from ``rank_positions`` (bounded tasks).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrix.functions.sequence import rank_positions
@@ -48,12 +48,17 @@ def calibration_points_by_set(scored: DataFrame, q: DataFrame, summary: DataFram
     return smp.unionByName(cal)
 
 
-def low_end(scored: DataFrame, n: int = LOW_END_POINTS) -> DataFrame:
-    """The first ``n`` calibrators of each batch in acquisition order, with the line."""
-    ranked = rank_positions(scored.select("BatchID", "RowIndex", "Conc_Ratio",
-                                          "Response_Ratio", "intercept", "slope"),
-                            ["BatchID"], "RowIndex", "CalPosition")
-    return ranked.filter(F.col("CalPosition") <= n).select(
+def low_end(cal: DataFrame, fit: DataFrame, n: int = LOW_END_POINTS) -> DataFrame:
+    """The first ``n`` calibrators of each batch in acquisition order, with the line.
+
+    The rank is limited on the calibrators, before the fit joins: each task
+    sends at most ``n`` rows of a batch (a group limit below the exchange).
+    """
+    position = F.row_number().over(Window.partitionBy("BatchID").orderBy("RowIndex"))
+    ranked = (cal.select("BatchID", "RowIndex", "Conc_Ratio", "Response_Ratio")
+              .withColumn("CalPosition", position).filter(F.col("CalPosition") <= n)
+              .withColumn("CalPosition", F.col("CalPosition").cast("long")))
+    return ranked.join(fit.select("BatchID", "intercept", "slope"), "BatchID", "left").select(
         "BatchID", "CalPosition", "Conc_Ratio", "Response_Ratio", "intercept", "slope")
 
 

@@ -1,4 +1,4 @@
-"""Sample quantification: uncorrected (one line) and corrected (two sets).
+"""Sample concentrations: uncorrected (one line) and corrected (two sets).
 
 Both results are columns of one frame, one row per injection, so the
 comparison and the result table need no self-joins: the per-batch coefficient
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.functions.numeric import ieee_div, inverse_predict, nan_null, strict_mean
-from calibrix.operators.calibration import SET1, SET2, batch_fits, samples
+from calibrix.operators.calibration import SET1, SET2, samples
 
 SET_LABEL = {SET1: "Set 1", SET2: "Set 2"}
 
@@ -34,7 +34,7 @@ def route_samples(df: DataFrame, threshold: str = "selection_value") -> DataFram
 
 
 def quantify_samples(smp: DataFrame, summary: DataFrame) -> DataFrame:
-    """Every sample with its uncorrected and corrected quantification.
+    """Every sample with its uncorrected and corrected results.
 
     Uncorrected (whole calibration): Measured_TC_Conc, Measured_Conc_Ratio,
     IS_Recovery before the zero rule; TC_Conc_Uncorrected and
@@ -73,12 +73,6 @@ def quantify_samples(smp: DataFrame, summary: DataFrame) -> DataFrame:
     return q.withColumnRenamed("Analyte_CalcConc", "TC_Conc_MassHunter")
 
 
-def quantify_runs(runs: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scored calibrators, per-batch coefficients, quantified samples)."""
-    scored, summary = batch_fits(runs, batches)
-    return scored, summary, quantify_samples(samples(runs), summary)
-
-
 def batch_means(q: DataFrame) -> DataFrame:
     """Per batch: mean IS recovery and mean concentration, taken before the
     zero rule and NULL when any sample's value is missing."""

@@ -17,10 +17,12 @@ def _conc_round(col: str):
             .otherwise(round_half_even(col, 1)))
 
 
-def cal_accuracy_report(scored: DataFrame) -> DataFrame:
-    """Calibration accuracy table as printed: digits (c, 0, 0, 2, 2, c, 0)."""
+def cal_accuracy_report(scored: DataFrame, by_set: bool = False) -> DataFrame:
+    """Calibration accuracy table as printed: digits (c, 0, 0, 2, 2, c, 0);
+    ``by_set`` for the two sets' tables (``calibration.score_by_set``)."""
+    sets = ["cal_set"] if by_set else []
     return scored.select(
-        "BatchID", "RowIndex",
+        "BatchID", *sets, "RowIndex",
         _conc_round("TC_Conc").alias("TC_Conc"),
         round_half_even("TC_Response", 0).alias("TC_Response"),
         round_half_even("IS_Response", 0).alias("IS_Response"),
@@ -34,7 +36,7 @@ def comparison_report(comparison: DataFrame) -> DataFrame:
     """Comparison table as printed. The report's digit list has one entry fewer
     than the table has columns and is recycled, so Difference_Pct gets 0 digits."""
     return comparison.select(
-        "BatchID", "SampleID",
+        "BatchID", "RowIndex", "SampleID",
         round_half_even("IS_Recovery", 0).alias("IS_Recovery"),
         round_half_even("TC_Conc_Uncorrected", 4).alias("TC_Conc_Uncorrected"),
         round_half_even("TC_Conc_MassHunter", 4).alias("TC_Conc_MassHunter"),
@@ -54,7 +56,7 @@ def comparison_nocorr_report(comparison: DataFrame) -> DataFrame:
 def result_report(finalized: DataFrame) -> DataFrame:
     """Result table as printed: digits (0, 0, 0, 2, 1, 2)."""
     return finalized.select(
-        "BatchID", "Batch", "SampleID", "IS_Recovery",
+        "BatchID", "RowIndex", "Batch", "SampleID", "IS_Recovery",
         round_half_even("Concentration", 2).alias("Concentration"),
         round_half_even("Factor", 1).alias("Factor"),
         round_half_even("Reported", 2).alias("Reported"))

@@ -51,8 +51,9 @@ def with_units(df: DataFrame) -> DataFrame:
 
 
 def in_acquisition_order(df: DataFrame) -> DataFrame:
-    """Sort by batch and position (a distributed range sort), drop the position."""
-    return df.orderBy("BatchID", "RowIndex").drop("RowIndex")
+    """Sort by batch and position (a distributed range sort); the position stays
+    as a column, so the order survives any later exchange."""
+    return df.orderBy("BatchID", "RowIndex")
 
 
 def result_mass(res: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from calibrix.functions.sequence import rank_positions
 from calibrix.session import materialize
 
-# The smoother's defaults in the reference's report.
+# The smoother's defaults in the QC report.
 SPAN, GRID_POINTS = 0.75, 80
 # Relative determinant below which the local 3x3 system counts as singular.
 SINGULAR_TOL = 1e-10

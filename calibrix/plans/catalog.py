@@ -16,7 +16,7 @@ from calibrix.functions.numeric import ieee_div
 from calibrix.operators import calibration as cal_ops
 from calibrix.operators import quantify, results
 from calibrix.plans import sqltext as S
-from calibrix.plans.pipeline import Quantification
+from calibrix.plans.pipeline import BatchPipeline
 from calibrix.sources import adapter
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,13 @@ def register(name: str, sql: str | None):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The ingested (runs, batches) tables for ``sf_dir``."""
-    return adapter.ingest(spark, sf_dir)
+    """(runs, batches) for ``sf_dir``: the stored tables if ``adapter.ingest``
+    was called for it in this session, else built from the test tables."""
+    return adapter.stored(spark, sf_dir) or (adapter.runs(spark, sf_dir), adapter.batches(spark, sf_dir))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> Quantification:
-    return Quantification(*tables(spark, sf_dir))
+def pipeline(spark: SparkSession, sf_dir: str) -> BatchPipeline:
+    return BatchPipeline(*tables(spark, sf_dir))
 
 
 # --- sources and parameters ------------------------------------------------
@@ -187,7 +188,7 @@ def q_cal_fit_by_set(spark, sf_dir):
     return _sets_long(cal_ops.fit_sets(pipeline(spark, sf_dir).scored_calibrators))
 
 
-# --- quantification ------------------------------------------------------------
+# --- sample results ------------------------------------------------------------
 
 @register("sample_routing", S.with_base(
     'SELECT BatchID, RowIndex, SampleID, Response_Ratio, selection_value, "Set" FROM qz'))
@@ -246,16 +247,41 @@ def q_batch_means(spark, sf_dir):
 @register("quantify_corrected", S.with_base(
     'SELECT BatchID, RowIndex, SampleID, TC_Response, IS_Response, Response_Ratio, '
     'TC_Conc_Corrected AS Measured_TC_Conc, Conc_Ratio_Corrected AS Measured_Conc_Ratio, '
-    'IS_Recovery_Corrected AS IS_Recovery, "Set" FROM qz WHERE cal_set IS NOT NULL'))
+    'IS_Recovery_Corrected AS IS_Recovery, "Set" FROM qz WHERE cal_set IS NOT NULL AND correct'))
 def q_quantify_corrected(spark, sf_dir):
-    q = pipeline(spark, sf_dir).samples
-    return q.filter(F.col("cal_set").isNotNull()).select(
+    """Routed samples of the batches whose method corrects."""
+    return _corrected(pipeline(spark, sf_dir))
+
+
+def _corrected(p: BatchPipeline) -> DataFrame:
+    routed = F.col("cal_set").isNotNull() & F.coalesce(F.col("correct"), F.lit(False))
+    return p.samples.filter(routed).select(
         "BatchID", "RowIndex", "SampleID", "TC_Response", "IS_Response", "Response_Ratio",
         F.col("TC_Conc_Corrected").alias("Measured_TC_Conc"),
         F.col("Conc_Ratio_Corrected").alias("Measured_Conc_Ratio"),
         F.col("IS_Recovery_Corrected").alias("IS_Recovery"), "Set")
 
 
+# Sets by known concentration instead of accuracy (threshold 1.0).
+
+def _by_conc(sql: str) -> str:
+    return sql.replace(S.SETS_BY_ACCURACY, S.SETS_BY_CONCENTRATION)
+
+
+@register("cal_fit_by_set_conc", _by_conc(S.with_base(_BY_SET_SQL)))
+def q_cal_fit_by_set_conc(spark, sf_dir):
+    p = BatchPipeline(*tables(spark, sf_dir), split="concentration")
+    return _sets_long(cal_ops.fit_sets(p.scored_calibrators))
+
+
+@register("quantify_corrected_conc", _by_conc(S.with_base(
+    'SELECT BatchID, RowIndex, SampleID, TC_Response, IS_Response, Response_Ratio, '
+    'TC_Conc_Corrected AS Measured_TC_Conc, Conc_Ratio_Corrected AS Measured_Conc_Ratio, '
+    'IS_Recovery_Corrected AS IS_Recovery, "Set" FROM qz WHERE cal_set IS NOT NULL AND correct')))
+def q_quantify_corrected_conc(spark, sf_dir):
+    return _corrected(BatchPipeline(*tables(spark, sf_dir), split="concentration"))
+
+
 # --- comparison and results ------------------------------------------------
 
 _DIFF_SQL = S.nan_null(
@@ -264,8 +290,8 @@ _DIFF_SQL = S.nan_null(
 
 
 @register("comparison", S.with_base(
-    'SELECT BatchID, SampleID, IS_Recovery_Corrected AS IS_Recovery, TC_Conc_Uncorrected, '
-    f'TC_Conc_MassHunter, TC_Conc_Corrected, "Set", {_DIFF_SQL} AS Difference_Pct FROM qz '
+    'SELECT BatchID, RowIndex, SampleID, IS_Recovery_Corrected AS IS_Recovery, TC_Conc_Uncorrected, '
+    f'TC_Conc_MassHunter, TC_Conc_Corrected, "Set", {_DIFF_SQL} AS Difference_Pct FROM qz WHERE correct '
     'ORDER BY BatchID, Difference_Pct DESC NULLS LAST, RowIndex'))
 def q_comparison(spark, sf_dir):
     return pipeline(spark, sf_dir).comparison()
@@ -293,7 +319,7 @@ fin AS (SELECT *, {S.nan_null('Concentration * Factor')} AS Reported FROM fin0)
 
 
 @register("result_mass", S.with_base(
-    "SELECT BatchID, Batch, SampleID, IS_Recovery, Concentration AS Nicotine_Conc_ng_per_mL, "
+    "SELECT BatchID, RowIndex, Batch, SampleID, IS_Recovery, Concentration AS Nicotine_Conc_ng_per_mL, "
     "Factor AS Sample_Vol_mL, Reported AS Nicotine_Mass_ng FROM fin WHERE unit_mode = 'mass' "
     "ORDER BY BatchID, RowIndex", _FINAL_CTE))
 def q_result_mass(spark, sf_dir):
@@ -301,7 +327,7 @@ def q_result_mass(spark, sf_dir):
 
 
 @register("result_dilution", S.with_base(
-    "SELECT BatchID, Batch, SampleID, IS_Recovery, analyte AS Analyte, Concentration AS Conc_Vial, "
+    "SELECT BatchID, RowIndex, Batch, SampleID, IS_Recovery, analyte AS Analyte, Concentration AS Conc_Vial, "
     "Factor AS Dilution_Factor, Reported AS Conc_Urine FROM fin WHERE unit_mode = 'dilution' "
     "ORDER BY BatchID, RowIndex", _FINAL_CTE))
 def q_result_dilution(spark, sf_dir):
@@ -309,7 +335,7 @@ def q_result_dilution(spark, sf_dir):
 
 
 @register("result_plain", S.with_base(
-    "SELECT BatchID, Batch, SampleID, IS_Recovery, Concentration AS Cotinine_Conc_ng_per_mL_Urine "
+    "SELECT BatchID, RowIndex, Batch, SampleID, IS_Recovery, Concentration AS Cotinine_Conc_ng_per_mL_Urine "
     "FROM fin WHERE unit_mode = 'plain' ORDER BY BatchID, RowIndex", _FINAL_CTE))
 def q_result_plain(spark, sf_dir):
     return results.result_plain(pipeline(spark, sf_dir).finalized)
@@ -365,7 +391,7 @@ FROM summary s LEFT JOIN sc c ON s.BatchID = c.BatchID
 @register("batch_status", S.with_base(_STATUS_SQL, _STATUS_CTE))
 def q_batch_status(spark, sf_dir):
     r, b = tables(spark, sf_dir)
-    p = Quantification(r, b)
+    p = BatchPipeline(r, b)
     return gates.batch_status(p.summary, gates.sample_counts(r))
 
 
@@ -432,7 +458,8 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY BatchID ORDER BY RowIndex)
              AS CalPosition FROM scored) AS ranked
 WHERE CalPosition <= 4"""))
 def q_cal_low_end(spark, sf_dir):
-    return plots.low_end(pipeline(spark, sf_dir).scored_calibrators)
+    c = cal_ops.calibrators(*tables(spark, sf_dir))
+    return plots.low_end(c, cal_ops.fit_calibration(c))
 
 
 @register("plot_points", S.with_base("""
@@ -498,13 +525,25 @@ def q_cal_accuracy_report(spark, sf_dir):
     return report.cal_accuracy_report(pipeline(spark, sf_dir).scored_calibrators)
 
 
+@register("cal_accuracy_by_set_report", S.with_base(f"""
+SELECT BatchID, cal_set, RowIndex, {_sql_conc_round('TC_Conc')} AS TC_Conc,
+       {S.bround('TC_Response', 0)} AS TC_Response, {S.bround('IS_Response', 0)} AS IS_Response,
+       {S.bround('Response_Ratio', 2)} AS Response_Ratio, {S.bround('Conc_Ratio', 2)} AS Conc_Ratio,
+       {_sql_conc_round('Measured_TC_Conc')} AS Measured_TC_Conc,
+       {S.bround('Accuracy_Pct', 0)} AS Accuracy_Pct
+FROM bys JOIN (SELECT BatchID AS b, conc_digits FROM batches) AS m ON m.b = bys.BatchID""", _BY_SET_CTE))
+def q_cal_accuracy_by_set_report(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    return report.cal_accuracy_report(cal_ops.score_by_set(p.scored_calibrators, p.summary), by_set=True)
+
+
 @register("comparison_report", S.with_base(f"""
-SELECT BatchID, SampleID, {S.bround('IS_Recovery_Corrected', 0)} AS IS_Recovery,
+SELECT BatchID, RowIndex, SampleID, {S.bround('IS_Recovery_Corrected', 0)} AS IS_Recovery,
        {S.bround('TC_Conc_Uncorrected', 4)} AS TC_Conc_Uncorrected,
        {S.bround('TC_Conc_MassHunter', 4)} AS TC_Conc_MassHunter,
        {S.bround('TC_Conc_Corrected', 4)} AS TC_Conc_Corrected, "Set",
        {S.bround(_DIFF_SQL, 0)} AS Difference_Pct
-FROM qz"""))
+FROM qz WHERE correct"""))
 def q_comparison_report(spark, sf_dir):
     return report.comparison_report(pipeline(spark, sf_dir).comparison(sort=False))
 
@@ -519,7 +558,7 @@ def q_comparison_nocorr_report(spark, sf_dir):
 
 
 @register("result_report", S.with_base(f"""
-SELECT BatchID, Batch, SampleID, IS_Recovery, {S.bround('Concentration', 2)} AS Concentration,
+SELECT BatchID, RowIndex, Batch, SampleID, IS_Recovery, {S.bround('Concentration', 2)} AS Concentration,
        {S.bround('Factor', 1)} AS Factor, {S.bround('Reported', 2)} AS Reported
 FROM fin""", _FINAL_CTE))
 def q_result_report(spark, sf_dir):

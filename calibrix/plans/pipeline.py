@@ -1,6 +1,6 @@
 """User-level pipeline: one lazy plan per output, all batches at once.
 
-    p = Quantification(runs_df, batches_df)
+    p = BatchPipeline(runs_df, batches_df)
     p.results()          # final result rows for every batch, per its method
     p.comparison()       # uncorrected / vendor / corrected, per sample
 
@@ -15,16 +15,26 @@ from pyspark.sql import DataFrame
 
 from calibrix.operators import compare, quantify, results
 from calibrix.operators.calibration import batch_fits, samples
+from calibrix.session import split_hot_batches
 
 
-class Quantification:
-    def __init__(self, runs: DataFrame, batches: DataFrame):
+class BatchPipeline:
+    """``split`` says how calibrators form the two sets: by accuracy (outside or
+    inside the window) or by known concentration (up to ``threshold`` or above).
+    Fits, routing threshold and corrected results follow it."""
+
+    def __init__(self, runs: DataFrame, batches: DataFrame, split: str = "accuracy",
+                 threshold: float = 1.0):
+        if split not in ("accuracy", "concentration"):
+            raise ValueError(f"split must be 'accuracy' or 'concentration', not {split!r}")
         self.runs = runs
         self.batches = batches
+        self.split_at = threshold if split == "concentration" else None
+        split_hot_batches(runs.sparkSession)
 
     @cached_property
     def _fits(self) -> tuple[DataFrame, DataFrame]:
-        return batch_fits(self.runs, self.batches)
+        return batch_fits(self.runs, self.batches, self.split_at)
 
     @property
     def scored_calibrators(self) -> DataFrame:

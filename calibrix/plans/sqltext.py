@@ -76,6 +76,10 @@ def bround(x: str, d: int) -> str:
             f"CAST(CAST({v} AS VARCHAR) AS DECIMAL(38, 18)), {d}) AS DOUBLE) END)")
 
 
+SETS_BY_ACCURACY = """CASE WHEN Accuracy_Pct >= 110.0 OR Accuracy_Pct <= 90.0 THEN 1
+                 WHEN Accuracy_Pct < 110.0 AND Accuracy_Pct > 90.0 THEN 2 END"""
+SETS_BY_CONCENTRATION = "CASE WHEN TC_Conc <= 1.0 THEN 1 WHEN TC_Conc > 1.0 THEN 2 END"
+
 # --- the shared CTE chain -------------------------------------------------
 # Steps are materialised: a value that later expressions repeat is a column by
 # then, never a nested copy of its expression.
@@ -107,8 +111,7 @@ scored0 AS MATERIALIZED (
 scored1 AS (
   SELECT *, {accuracy('Measured_TC_Conc', 'TC_Conc')} AS Accuracy_Pct FROM scored0),
 scored AS MATERIALIZED (
-  SELECT *, CASE WHEN Accuracy_Pct >= 110.0 OR Accuracy_Pct <= 90.0 THEN 1
-                 WHEN Accuracy_Pct < 110.0 AND Accuracy_Pct > 90.0 THEN 2 END AS cal_set
+  SELECT *, {SETS_BY_ACCURACY} AS cal_set
   FROM scored1),
 sets_m AS (
   SELECT BatchID,

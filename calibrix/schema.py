@@ -53,9 +53,12 @@ BATCHES_SCHEMA = T.StructType([
     T.StructField("BatchID", T.LongType(), False),
     T.StructField("Batch", S, True),
     T.StructField("method_id", T.IntegerType(), True),
+    T.StructField("file_name", S, True),
+    T.StructField("analyte", S, True),
     T.StructField("intstd_conc", D, True),
     T.StructField("extract_vol", D, True),
     T.StructField("dilution_fac", D, True),
     T.StructField("unit_mode", S, True),
     T.StructField("correct", T.BooleanType(), True),
+    T.StructField("conc_digits", T.IntegerType(), True),
 ])

@@ -2,13 +2,14 @@
 
 The library never creates a session behind the caller's back: every public
 function takes DataFrames. ``build_session`` is for tests, the bench and
-command-line use; on a cluster the job's own session is used and only the
-settings below that are still unset get a value.
+command-line use; on a cluster the job's own session is used, and only
+``split_hot_batches`` sets what that session leaves unset.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,7 @@ ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -45,18 +47,22 @@ def build_session(cores: int | str = "*", app: str = "calibrix",
     return spark
 
 
-def apply_engine_conf(spark: SparkSession) -> None:
-    """Set the engine's settings only where the session leaves them unset."""
-    for key, value in ENGINE_CONF.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
+def split_hot_batches(spark: SparkSession) -> None:
+    """Let AQE split a skewed batch even where an aggregate by batch follows the
+    join (it then adds the exchange the aggregate needs). Set only where the
+    session does not say otherwise; ``BatchPipeline`` calls this."""
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, "true")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only a session without one (a local test) gets a fresh scratch folder.
+    Only a ``local`` session (one machine, as in tests) without one gets a
+    fresh scratch folder; on a cluster a missing setting is an error, since
+    executors could not read each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="calibrix-ckpt-",
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)

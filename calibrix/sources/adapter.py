@@ -2,7 +2,7 @@
 
 The repository's inputs are instrument exports; the test data are TPC-H-like
 tables. This adapter only maps rows of ``lineitem`` onto the run schema (it
-does none of the quantification): a batch is a supplier, line 1 of an order is
+computes none of the results): a batch is a supplier, line 1 of an order is
 a calibrator whose known concentration is the quantity, line 2 is a QC
 injection (ignored by the method, as any type other than Cal/Sample is), the
 rest are samples. Calibrators are acquired first, in ascending concentration,
@@ -120,7 +120,7 @@ _INGESTED: dict[tuple[str, str], str] = {}
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, batches) as written tables, built once per session and folder.
+    """Write (runs, batches) once per session and folder; an explicit step.
 
     The engine's input is a stored run table, as the workbook ingest writes
     it: parquet partitioned by Type (so calibrator scans read only Type=Cal),
@@ -139,5 +139,13 @@ def ingest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
          .write.partitionBy("Type").parquet(f"{path}/runs"))
         batches(spark, sf_dir).write.parquet(f"{path}/batches")
         _INGESTED[key] = path
+    return stored(spark, sf_dir)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame] | None:
+    """The tables that ``ingest`` wrote in this session, or None."""
+    path = _INGESTED.get((spark.sparkContext.applicationId, sf_dir.rstrip("/")))
+    if path is None:
+        return None
     r = spark.read.schema(RUNS_SCHEMA).parquet(f"{path}/runs").select(*RUN_COLUMNS)
     return r, spark.read.parquet(f"{path}/batches")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# The five methods of the reference scripts, in their order.
+# The five method scripts, in their order.
 # (method_id, file_name, analyte, intstd_conc, extract_vol, dilution_fac,
 #  unit_mode, correct, conc_digits)
 # unit_mode: 'mass' = conc x extract_vol, 'dilution' = conc x dilution_fac,

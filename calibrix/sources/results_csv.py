@@ -5,9 +5,9 @@ header row, missing values as ``NA``, numbers in their shortest round-trip
 form with whole numbers written without a decimal point, rows in acquisition
 order, file name ``<batch> Result.csv``.
 
-Spark writes a folder per batch (``batch=<batch> Result``) holding the part
-files in acquisition order; a batch larger than one task spans several part
-files, each with the header row.
+Spark writes a folder per batch (``batch=<batch> Result/BatchID=<id>``) holding
+the part files in acquisition order; a batch larger than one task spans several
+part files, the first of which starts with the header line.
 """
 
 from __future__ import annotations
@@ -38,38 +38,58 @@ def format_number(x) -> Column:
             .otherwise(text))
 
 
-def method_result_columns(finalized: DataFrame, method_id: int) -> DataFrame:
-    """The export's columns for one method, values formatted as text."""
-    conc, factor, reported = RESULT_COLUMNS[method_id]
-    cols = [F.col("Batch").alias(BOM + "Batch"), F.col("SampleID"),
-            format_number("IS_Recovery").alias("IS_Recovery"),
-            format_number("Concentration").alias(conc)]
-    if factor is not None:
-        cols += [format_number("Factor").alias(factor), format_number("Reported").alias(reported)]
-    return finalized.filter(F.col("method_id") == method_id).select(
-        F.concat(F.col("batch_label"), F.lit(" Result")).alias("batch"),
-        "BatchID", "RowIndex", *cols)
-
+def format_text(x) -> Column:
+    """A CSV field: missing is NA; quoted (quotes doubled) where it holds a
+    delimiter, a quote, a line break or outer blanks, or reads like missing."""
+    x = F.col(x) if isinstance(x, str) else x
+    quoted = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    return (F.when(x.isNull(), F.lit(NA))
+            .when(x.rlike('[",\\r\\n]|^\\s|\\s$') | (x == NA) | (x == ""), quoted)
+            .otherwise(x))
 
-def write_results(finalized: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """Write every batch's result file under ``out_dir/method=<id>/batch=<name> Result``.
 
+def result_names(method_id: int) -> list[str]:
+    """The header of one method's result file."""
+    conc, factor, reported = RESULT_COLUMNS[method_id]
+    return ["Batch", "SampleID", "IS_Recovery", conc, *([factor, reported] if factor is not None else [])]
+
+
+def result_lines(finalized: DataFrame, method_id: int) -> DataFrame:
+    """(batch, BatchID, RowIndex, value): the file's lines of one method, the
+    header as row 0 of each batch."""
+    rows = finalized.filter(F.col("method_id") == method_id)
+    label = F.concat(F.coalesce("batch_label", F.lit(NA)), F.lit(" Result")).alias("batch")
+    numbers = ["IS_Recovery", "Concentration"]
+    if RESULT_COLUMNS[method_id][1] is not None:
+        numbers += ["Factor", "Reported"]
+    line = F.concat_ws(",", format_text("Batch"), format_text("SampleID"),
+                       *(F.coalesce(format_number(c), F.lit(NA)) for c in numbers))
+    body = rows.select(label, "BatchID", "RowIndex", line.alias("value"))
+    head = rows.select(label, "BatchID").distinct().select(
+        "batch", "BatchID", F.lit(0).cast("long").alias("RowIndex"),
+        F.lit(BOM + ",".join(result_names(method_id))).alias("value"))
+    return head.unionByName(body)
+
+
+def write_results(finalized: DataFrame, out_dir: str) -> None:
+    """Write result files under ``out_dir/method=<id>/batch=<name> Result/BatchID=<id>``.
+
+    Only the batches in ``finalized`` are (re)written; every other result in
+    ``out_dir`` stays, so a repeated write of the same rows changes nothing.
     Range partitioning on (batch, position) keeps each task's rows contiguous
-    in acquisition order without putting a large batch into one task. The
-    final rows are checkpointed first so the five per-method writes read them
-    instead of recomputing the pipeline five times.
+    in acquisition order without putting a large batch into one task; part
+    files in name order are the file. The final rows are checkpointed first, so
+    each method's write reads them instead of recomputing the pipeline.
     """
     from calibrix.session import materialize
     finalized = materialize(finalized)
-    for method_id in RESULT_COLUMNS:  # the fixed method list, not data
-        df = method_result_columns(finalized, method_id)
-        ordered = (df.repartitionByRange("batch", "RowIndex")
-                   .sortWithinPartitions("batch", "RowIndex")
-                   .drop("BatchID", "RowIndex"))
-        (ordered.write.mode(mode).partitionBy("batch")
-         .option("header", True).option("nullValue", NA).option("emptyValue", "")
-         .option("quoteAll", False).option("escapeQuotes", False)
-         .csv(f"{out_dir.rstrip('/')}/method={method_id}"))
+    present = {r[0] for r in finalized.select("method_id").distinct().collect()}  # of five
+    for method_id in sorted(present & set(RESULT_COLUMNS)):
+        (result_lines(finalized, method_id)
+         .repartitionByRange("batch", "BatchID", "RowIndex")
+         .sortWithinPartitions("batch", "BatchID", "RowIndex").drop("RowIndex")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch", "BatchID").text(f"{out_dir.rstrip('/')}/method={method_id}"))
 
 
 def result_schema(method_id: int) -> T.StructType:
@@ -83,7 +103,21 @@ def result_schema(method_id: int) -> T.StructType:
 
 
 def read_results(spark: SparkSession, path: str, method_id: int) -> DataFrame:
-    """Read result files back with a declared schema (the header row and its
-    byte-order mark are skipped; ``NA`` is missing)."""
-    return (spark.read.schema(result_schema(method_id)).option("header", True)
-            .option("nullValue", NA).option("recursiveFileLookup", True).csv(path))
+    """Read result files back under the declared schema. Header lines are
+    skipped; an unquoted ``NA`` is missing, a quoted one is text. Lines are read
+    one by one: an ID with a line break in it does not come back whole."""
+    schema = result_schema(method_id)
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    text = text.filter(~F.col("value").startswith(BOM) & (F.col("value") != ",".join(schema.names)))
+    field = '("(?:[^"]|"")*"|[^,]*)'
+    pattern = "^" + ",".join([field] * len(schema)) + "$"
+    cols = []
+    for i, f in enumerate(schema.fields, start=1):
+        raw = F.regexp_extract("value", pattern, i)
+        quoted = raw.startswith('"')
+        bare = F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))
+                      ).when(raw == NA, F.lit(None).cast("string")).otherwise(raw)
+        if isinstance(f.dataType, T.DoubleType):
+            bare = F.when(bare == "Inf", F.lit("Infinity")).when(bare == "-Inf", F.lit("-Infinity")).otherwise(bare)
+        cols.append(bare.cast(f.dataType).alias(f.name))
+    return text.select(*cols)

@@ -6,7 +6,9 @@ read with ``binaryFile`` (Spark spreads them over tasks) and parsed inside the
 task by ``mapInPandas`` with the standard library's zip and XML readers. A
 workbook holds at most ~1M rows, so one file per task step is bounded; the
 row's position in the sheet becomes ``RowIndex`` (acquisition order is data).
-The batch key is a 64-bit hash of the file name.
+The batch key is a 64-bit hash of the file's path. ``write_runs`` parses each
+file once into a stored run table. Workers need this package (installed or
+shipped with the job), as the parser runs in their Python.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.schema import HEADER_ROWS, LAYOUTS, RUN_COLUMNS, layout_schema
+from calibrix.schema import HEADER_ROWS, LAYOUTS, RUN_COLUMNS, RUNS_SCHEMA, layout_schema
 
 SHEET = "Sheet1"  # fixed value: the sheet the exports use
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -66,20 +68,27 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
 
 
 def parse_workbook(content: bytes, n_cols: int, sheet: str = SHEET) -> list[list]:
-    """Rows of raw cell values (str / float / bool / None) after the header rows."""
+    """Rows of raw cell values (str / float / bool / None) after the header rows.
+
+    The column names (the last header row) must be exactly ``n_cols`` wide and
+    no value may stand beyond them; another width is another layout, whose
+    columns would be read under wrong names, so it raises ``ValueError``.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         strings = _shared_strings(z)
         root = ET.fromstring(z.read(_sheet_path(z, sheet)))
     rows: dict[int, list] = {}
     for row in root.iterfind("m:sheetData/m:row", _NS):
-        values = [None] * n_cols
+        values, wide = [None] * n_cols, 0
         r_num = int(row.get("r")) if row.get("r") else len(rows) + 1
         for pos, c in enumerate(row.iterfind("m:c", _NS)):
             ref = c.get("r")
             col = _col_index(_CELL.match(ref).group(1)) if ref else pos
+            t = c.get("t", "n")
+            if t == "inlineStr" or c.find("m:v", _NS) is not None:
+                wide = max(wide, col + 1)
             if col >= n_cols:
                 continue
-            t = c.get("t", "n")
             v = c.find("m:v", _NS)
             if t == "inlineStr":
                 values[col] = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
@@ -93,8 +102,12 @@ def parse_workbook(content: bytes, n_cols: int, sheet: str = SHEET) -> list[list
                 values[col] = v.text == "1"
             else:
                 values[col] = float(v.text)
+        if wide > n_cols or r_num == HEADER_ROWS and wide != n_cols:
+            raise ValueError(f"row {r_num} has {wide} columns, the layout has {n_cols}")
         rows[r_num] = values
-    last = max(rows) if rows else 0
+    if HEADER_ROWS not in rows:
+        raise ValueError(f"no column names in row {HEADER_ROWS}")
+    last = max(rows)
     out = []
     for r in range(HEADER_ROWS + 1, last + 1):
         vals = rows.get(r, [None] * n_cols)
@@ -129,7 +142,8 @@ def _convert(value, dtype: T.DataType):
 
 def read_workbooks(spark: SparkSession, path: str, layout: str = "A") -> DataFrame:
     """All workbooks under ``path`` (a file, folder or glob) as typed rows:
-    the layout's columns plus Batch (file name without extension) and RowIndex."""
+    the layout's columns plus Path, Batch (file name without extension) and
+    RowIndex. A file of another layout fails the job by name."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", True).load(path))
     return parse_files(files, layout)
@@ -140,69 +154,59 @@ def parse_files(files: DataFrame, layout: str = "A") -> DataFrame:
     schema = layout_schema(layout)
     names = [f.name for f in schema.fields]
     out_schema = T.StructType(list(schema.fields) + [
+        T.StructField("Path", T.StringType(), False),
         T.StructField("Batch", T.StringType(), False),
         T.StructField("RowIndex", T.LongType(), False)])
 
     def parse(batches):
         for pdf in batches:
-            records = []
             for p, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows = parse_workbook(bytes(content), len(names))
+                except Exception as e:
+                    raise ValueError(f"{p}: {e}") from e
                 stem = posixpath.splitext(posixpath.basename(p))[0]
-                for i, vals in enumerate(parse_workbook(bytes(content), len(names)), start=1):
-                    rec = {n: _convert(v, f.dataType)
-                           for n, v, f in zip(names, vals, schema.fields)}
-                    rec["Batch"], rec["RowIndex"] = stem, i
-                    records.append(rec)
-            yield pd.DataFrame.from_records(records, columns=names + ["Batch", "RowIndex"])
+                # One workbook at a time leaves the task.
+                yield pd.DataFrame.from_records(
+                    [[*(_convert(v, f.dataType) for v, f in zip(vals, schema.fields)), p, stem, i]
+                     for i, vals in enumerate(rows, start=1)],
+                    columns=[*names, "Path", "Batch", "RowIndex"])
 
     return files.select("path", "content").mapInPandas(parse, out_schema)
 
 
-def read_csv_exports(spark: SparkSession, path: str, layout: str = "A") -> DataFrame:
-    """Exports saved as CSV (same layout: two header rows, then one row per
-    injection, names by position) -> the same typed rows as ``read_workbooks``.
-
-    Read per file (``binaryFile``) so each row keeps its position in its file.
-    """
-    schema = layout_schema(layout)
-    names = [f.name for f in schema.fields]
-    out_schema = T.StructType(list(schema.fields) + [
-        T.StructField("Batch", T.StringType(), False),
-        T.StructField("RowIndex", T.LongType(), False)])
-
-    def parse(batches):
-        for pdf in batches:
-            frames = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                raw = pd.read_csv(io.BytesIO(bytes(content)), header=None, skiprows=HEADER_ROWS,
-                                  names=names, usecols=range(len(names)), dtype=str,
-                                  keep_default_na=True, encoding="utf-8-sig")
-                out = pd.DataFrame({n: [_convert(None if pd.isna(v) else v, f.dataType)
-                                        for v in raw[n]] for n, f in zip(names, schema.fields)})
-                out["Batch"] = posixpath.splitext(posixpath.basename(p))[0]
-                out["RowIndex"] = range(1, len(out) + 1)
-                frames.append(out)
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
-
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-             .option("recursiveFileLookup", True).load(path))
-    return files.select("path", "content").mapInPandas(parse, out_schema)
-
-
 def to_runs(rows: DataFrame) -> DataFrame:
-    """Typed export rows -> the engine's run table (BatchID from the file name)."""
-    return rows.withColumn("BatchID", F.xxhash64("Batch")).select(*RUN_COLUMNS)
+    """Typed export rows -> the engine's run table (BatchID from the file's path,
+    so equal names in two folders stay two batches)."""
+    return rows.withColumn("BatchID", F.xxhash64("Path")).select(*RUN_COLUMNS)
 
 
 def to_batches(rows: DataFrame, methods: DataFrame, method_id: int) -> DataFrame:
     """One batch row per workbook, all under one method (the folder's method)."""
-    labels = (rows.select(F.xxhash64("Batch").alias("BatchID"), "Batch").distinct()
+    labels = (rows.select(F.xxhash64("Path").alias("BatchID"), "Batch").distinct()
               .withColumn("method_id", F.lit(method_id)))
     return labels.join(F.broadcast(methods), "method_id").select(
         "BatchID", "Batch", "method_id", "file_name", "analyte", "intstd_conc", "extract_vol",
         "dilution_fac", "unit_mode", "correct", "conc_digits")
 
 
-__all__ = ["read_workbooks", "read_csv_exports", "parse_files", "to_runs", "to_batches",
+def write_runs(rows: DataFrame, methods: DataFrame, method_id: int, path: str,
+               mode: str = "errorifexists") -> None:
+    """Store the run table (``path``/runs, parquet by Type) and its batches
+    (``path``/batches). Each workbook is parsed once; what reads the stored
+    tables scans only the types and columns it uses."""
+    keyed = rows.withColumn("BatchID", F.xxhash64("Path"))
+    (keyed.select(*RUN_COLUMNS, "Path", "Batch").sortWithinPartitions("Type", "BatchID", "RowIndex")
+     .write.mode(mode).partitionBy("Type").parquet(f"{path.rstrip('/')}/runs"))
+    stored = rows.sparkSession.read.parquet(f"{path.rstrip('/')}/runs")
+    to_batches(stored, methods, method_id).write.mode(mode).parquet(f"{path.rstrip('/')}/batches")
+
+
+def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, batches) that ``write_runs`` stored."""
+    runs = spark.read.schema(RUNS_SCHEMA).parquet(f"{path.rstrip('/')}/runs").select(*RUN_COLUMNS)
+    return runs, spark.read.parquet(f"{path.rstrip('/')}/batches")
+
+
+__all__ = ["read_workbooks", "parse_files", "to_runs", "to_batches", "write_runs", "read_runs",
            "parse_workbook", "LAYOUTS"]

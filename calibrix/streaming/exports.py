@@ -3,8 +3,9 @@
 Structured Streaming watches the folder (``binaryFile`` source); every
 micro-batch holds whole workbooks, i.e. whole batches, and batches are
 independent, so the micro-batch runs the same batch pipeline and appends its
-result rows. The stream's checkpoint records which files were processed, so a
-restarted query (or a lost executor) neither skips nor repeats an export.
+result files. The stream's checkpoint records which files were processed. A
+micro-batch that fails halfway is run again on restart; it then rewrites the
+same batches' files and no others, so results are neither lost nor repeated.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from calibrix.operators import results
-from calibrix.plans.pipeline import Quantification
-from calibrix.session import ensure_checkpoint_dir
+from calibrix.plans.pipeline import BatchPipeline
+from calibrix.session import materialize
 from calibrix.sources import methods as method_table
 from calibrix.sources import results_csv, workbook
 
@@ -34,23 +35,22 @@ def process_exports(rows: DataFrame, method_id: int) -> DataFrame:
     spark = rows.sparkSession
     runs = workbook.to_runs(rows)
     batches = workbook.to_batches(rows, method_table.methods(spark), method_id)
-    return results.finalize(Quantification(runs, batches).samples)
+    return results.finalize(BatchPipeline(runs, batches).samples)
 
 
-def start(spark: SparkSession, in_dir: str, out_dir: str, method_id: int, layout: str = "A",
-          checkpoint: str | None = None, available_now: bool = False,
+def start(spark: SparkSession, in_dir: str, out_dir: str, method_id: int, checkpoint: str,
+          layout: str = "A", available_now: bool = False,
           max_files_per_trigger: int = 64) -> StreamingQuery:
-    """Start the stream: new ``*.xlsx`` in ``in_dir`` -> result CSVs in ``out_dir``."""
-    if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{method_id}"
+    """Start the stream: new ``*.xlsx`` in ``in_dir`` -> result CSVs in ``out_dir``.
+    ``checkpoint`` is this stream's own folder in shared storage."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", "*.xlsx")
              .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir))
     rows = workbook.parse_files(files, layout)
 
     def each(batch_rows: DataFrame, epoch_id: int) -> None:
-        final = process_exports(batch_rows, method_id)
-        results_csv.write_results(final, out_dir, mode="append")
+        # Each workbook is parsed once, whatever reads its rows afterwards.
+        results_csv.write_results(process_exports(materialize(batch_rows), method_id), out_dir)
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -5,8 +5,6 @@ from __future__ import annotations
 from calibrix.schema import BATCHES_SCHEMA, RUNS_SCHEMA
 from calibrix.sources.methods import METHODS
 
-EXTRA = ["file_name", "analyte", "conc_digits"]
-
 
 def runs_df(spark, rows):
     """rows: (BatchID, RowIndex, SampleID, Type, TC_Conc, TC_Response, IS_Response, vendor)."""
@@ -14,18 +12,12 @@ def runs_df(spark, rows):
 
 
 def batches_df(spark, batch_methods: dict[int, int]):
-    from pyspark.sql import functions as F
     by_id = {m[0]: m for m in METHODS}
     rows = []
     for bid, mid in batch_methods.items():
         m = by_id[mid]
-        rows.append((bid, f"{m[1]}_{bid}", mid, m[3], m[4], m[5], m[6], m[7]))
-    df = spark.createDataFrame(rows, BATCHES_SCHEMA)
-    meta = spark.createDataFrame([(m[0], m[1], m[2], m[8]) for m in METHODS],
-                                 "method_id int, file_name string, analyte string, conc_digits int")
-    return df.join(F.broadcast(meta), "method_id").select(
-        "BatchID", "Batch", "method_id", "file_name", "analyte", "intstd_conc", "extract_vol",
-        "dilution_fac", "unit_mode", "correct", "conc_digits")
+        rows.append((bid, f"{m[1]}_{bid}", mid, *m[1:]))
+    return spark.createDataFrame(rows, BATCHES_SCHEMA)
 
 
 def line_batch(bid=1, intercept=0.1, slope=2.0, concs=(1.0, 2.0, 5.0, 10.0, 20.0),

@@ -4,13 +4,13 @@ import pytest
 
 from calibrix.operators import calibration as C
 from calibrix.operators import gates
-from calibrix.plans.pipeline import Quantification
+from calibrix.plans.pipeline import BatchPipeline
 from tests.fixtures import batches_df, line_batch, runs_df
 
 
 def test_exact_line(spark):
     runs = runs_df(spark, line_batch())
-    p = Quantification(runs, batches_df(spark, {1: 0}))
+    p = BatchPipeline(runs, batches_df(spark, {1: 0}))
     s = p.summary.collect()[0]
     assert s.slope == pytest.approx(2.0) and s.intercept == pytest.approx(0.1)
     assert s.r_squared == pytest.approx(1.0)
@@ -59,7 +59,7 @@ def test_one_point_set(spark):
 def test_missing_is_poisons_mean(spark):
     rows = line_batch()
     rows[2] = rows[2][:6] + (None,) + rows[2][7:]
-    p = Quantification(runs_df(spark, rows), batches_df(spark, {1: 1}))
+    p = BatchPipeline(runs_df(spark, rows), batches_df(spark, {1: 1}))
     assert p.summary.collect()[0].mean_is_response is None
 
 
@@ -67,7 +67,7 @@ def test_non_finite_calibrator_refuses_fit(spark):
     rows = line_batch()
     rows[1] = rows[1][:6] + (0.0,) + rows[1][7:]  # IS = 0 -> ratio +Inf
     runs = runs_df(spark, rows + [(1, 9, "S1", "Sample", None, 500.0, 1000.0, 1.0)])
-    p = Quantification(runs, batches_df(spark, {1: 1}))
+    p = BatchPipeline(runs, batches_df(spark, {1: 1}))
     s = p.summary.collect()[0]
     assert s.slope is None and s.intercept is None and s.n_nonfinite == 1
     st = gates.batch_status(p.summary, gates.sample_counts(runs)).collect()[0]

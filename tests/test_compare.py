@@ -7,6 +7,7 @@ def test_comparison_sort_missing_last(spark):
             (1, 4, "d", 100.0, 88.0)]
     q = spark.createDataFrame(rows, "BatchID long, RowIndex long, SampleID string, "
                                     "TC_Conc_Uncorrected double, TC_Conc_Corrected double")
+    q = q.selectExpr("*", "true AS correct")
     for c, t in [("IS_Recovery_Corrected", "double"), ("TC_Conc_MassHunter", "double"),
                  ("Set", "string")]:
         q = q.selectExpr("*", f"CAST(NULL AS {t}) AS {c}")
@@ -20,3 +21,19 @@ def test_full_join_matches_missing_keys(spark):
     b = spark.createDataFrame([(1, None, 9.0), (1, "y", 8.0)], "BatchID long, SampleID string, v double")
     got = {(r.SampleID, r.u, r.v) for r in full_join_by_sample(a, b).collect()}
     assert got == {(None, 1.0, 9.0), ("x", 2.0, None), ("y", None, 8.0)}
+
+
+def test_full_join_pairs_repeated_keys_one_to_one(spark):
+    a = spark.createDataFrame([(1, None, float(i)) for i in range(30)], "BatchID long, SampleID string, u double")
+    b = spark.createDataFrame([(1, None, float(i)) for i in range(20)], "BatchID long, SampleID string, v double")
+    got = [(r.u, r.v) for r in full_join_by_sample(a, b).collect()]
+    assert sorted(got) == [(float(i), float(i) if i < 20 else None) for i in range(30)]
+
+
+def test_comparison_lists_correcting_methods_only(spark):
+    q = spark.createDataFrame([(1, 1, "a", True), (2, 1, "b", False), (3, 1, "c", None)],
+                              "BatchID long, RowIndex long, SampleID string, correct boolean")
+    for c, t in [("IS_Recovery_Corrected", "double"), ("TC_Conc_MassHunter", "double"), ("Set", "string"),
+                 ("TC_Conc_Uncorrected", "double"), ("TC_Conc_Corrected", "double")]:
+        q = q.selectExpr("*", f"CAST(NULL AS {t}) AS {c}")
+    assert [r.SampleID for r in comparison(q).collect()] == ["a"]

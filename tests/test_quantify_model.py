@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from calibrix.plans.pipeline import Quantification
+from calibrix.plans.pipeline import BatchPipeline
 from tests.fixtures import batches_df, runs_df
 
 
@@ -132,7 +132,7 @@ def test_pipeline_matches_model(spark):
         rows += random_batch(rng, bid)
     runs = runs_df(spark, rows)
     batches = batches_df(spark, {bid: 0 for bid in range(1, 41)})
-    got = {(r.BatchID, r.SampleID): r for r in Quantification(runs, batches).samples.collect()}
+    got = {(r.BatchID, r.SampleID): r for r in BatchPipeline(runs, batches).samples.collect()}
     n = 0
     for bid in range(1, 41):
         exp = model([r for r in rows if r[0] == bid], 5.0)
@@ -154,12 +154,12 @@ def test_batches_are_independent(spark):
     rows = random_batch(rng, 1) + random_batch(rng, 2)
     batches = batches_df(spark, {1: 0, 2: 0})
     cols = ["BatchID", "SampleID", "TC_Conc_Uncorrected", "TC_Conc_Corrected", "Set"]
-    together = Quantification(runs_df(spark, rows).repartition(3), batches).samples.select(cols)
+    together = BatchPipeline(runs_df(spark, rows).repartition(3), batches).samples.select(cols)
     shuffled = rows[:]
     rng.shuffle(shuffled)
     alone = None
     for bid in (1, 2):
-        part = Quantification(runs_df(spark, [r for r in shuffled if r[0] == bid]),
+        part = BatchPipeline(runs_df(spark, [r for r in shuffled if r[0] == bid]),
                               batches).samples.select(cols)
         alone = part if alone is None else alone.unionByName(part)
     assert sorted(map(tuple, together.collect()), key=repr) == \

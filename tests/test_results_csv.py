@@ -22,6 +22,43 @@ GOLDEN = os.environ.get("CALIBRIX_GOLDEN_DIR", "")
 FILES = {m[0]: os.path.join(GOLDEN, f"{m[1]} Result.csv") for m in METHODS}
 
 
+def final_rows(spark, method_id, bid, label, ids, conc=1.5):
+    m = [x for x in METHODS if x[0] == method_id][0]
+    rows = [(bid, i, method_id, m[6], m[4], m[5], label, label, s, 100.0, conc) for i, s in enumerate(ids, start=1)]
+    return with_units(spark.createDataFrame(
+        rows, "BatchID long, RowIndex long, method_id int, unit_mode string, extract_vol double, dilution_fac double, "
+              "batch_label string, Batch string, SampleID string, IS_Recovery double, Concentration double"))
+
+
+def read_back(spark, out, method_id):
+    path = os.path.join(out, f"method={method_id}")
+    return sorted(map(tuple, results_csv.read_results(spark, path, method_id).collect()), key=repr)
+
+
+def test_writes_leave_other_results_alone(spark, tmp_path):
+    out = str(tmp_path / "out")
+    results_csv.write_results(final_rows(spark, 0, 1, "A", ["a1", "a2"]), out)
+    results_csv.write_results(final_rows(spark, 1, 2, "B", ["b1"]), out)
+    results_csv.write_results(final_rows(spark, 0, 3, "C", ["c1"]), out)
+    results_csv.write_results(final_rows(spark, 0, 4, "A", ["other folder"]), out)
+    assert [r[1] for r in read_back(spark, out, 0)] == ["a1", "a2", "other folder", "c1"]
+    assert [r[1] for r in read_back(spark, out, 1)] == ["b1"]
+    results_csv.write_results(final_rows(spark, 0, 1, "A", ["a3"], conc=2.0), out)
+    assert [(r[1], r[3]) for r in read_back(spark, out, 0)] == [("a3", 2.0), ("other folder", 1.5), ("c1", 1.5)]
+
+
+@pytest.mark.parametrize("method_id", sorted(FILES))
+def test_text_comes_back_unchanged(spark, tmp_path, method_id):
+    ids = [" a\"b,c ", "NA", None, "", "plain", "Ünï", '"', "a b", "tab\t"]
+    out = str(tmp_path / "out")
+    results_csv.write_results(final_rows(spark, method_id, 1, "x, y", ids), out)
+    got = read_back(spark, out, method_id)
+    assert sorted((r[1] for r in got), key=repr) == sorted(ids, key=repr) and {r[0] for r in got} == {"x, y"}
+    lines = open(glob.glob(f"{out}/method={method_id}/batch=*/BatchID=1/*.txt")[0], encoding="utf-8").read().split("\n")
+    assert lines[0] == results_csv.BOM + ",".join(results_csv.result_names(method_id))
+    assert lines[1].startswith('"x, y"," a""b,c ",100,1.5') and '"NA"' in lines[2] and ",NA,100" in lines[3]
+
+
 @pytest.mark.parametrize("method_id", sorted(FILES))
 def test_golden_tail(spark, tmp_path, method_id):
     path = FILES[method_id]
@@ -40,7 +77,7 @@ def test_golden_tail(spark, tmp_path, method_id):
     res = with_units(df)
     out = str(tmp_path / "out")
     results_csv.write_results(res.coalesce(1), out)
-    written = glob.glob(f"{out}/method={method_id}/batch=*/*.csv")
+    written = glob.glob(f"{out}/method={method_id}/batch=*/BatchID=*/*.txt")
     assert len(written) == 1
     got = open(written[0], encoding="utf-8").read().splitlines()
     exp = open(path, encoding="utf-8").read().splitlines()

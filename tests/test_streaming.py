@@ -23,4 +23,4 @@ def test_stream_processes_new_exports(spark, tmp_path):
     assert set(got) == {"S1", "S9"}  # each export processed exactly once
     assert abs(got["S1"].Nicotine_Conc_ng_per_mL - 5.0) < 1e-9
     assert got["S1"].Nicotine_Mass_ng == got["S1"].Nicotine_Conc_ng_per_mL * 3
-    assert len(glob.glob(str(out / "method=1" / "batch=Run_1 Result" / "*.csv"))) >= 1
+    assert len(glob.glob(str(out / "method=1" / "batch=Run_1 Result" / "*" / "*.txt"))) >= 1

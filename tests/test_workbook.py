@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from calibrix.plans.pipeline import Quantification
+from calibrix.plans.pipeline import BatchPipeline
 from calibrix.schema import LAYOUTS
 from calibrix.sources import workbook
 from calibrix.sources.methods import methods
@@ -86,23 +86,50 @@ def test_read_workbooks_and_quantify(spark, tmp_path):
     assert got[0].DateTime.year == 2023
     runs = workbook.to_runs(rows)
     batches = workbook.to_batches(rows, methods(spark), 1)
-    q = Quantification(runs, batches).samples
+    q = BatchPipeline(runs, batches).samples
     res = {(r.SampleID): r for r in q.filter(F.col("SampleID").startswith("S")).collect()}
     assert res["S1"].TC_Conc_Uncorrected == pytest.approx(5.0)  # (2.1 - 0.1) / 2 * 5
     assert res["S2"].TC_Conc_Uncorrected == 0.0 and res["S2"].IS_Recovery == pytest.approx(50.0)
 
 
-def test_read_csv_exports_layout_b(spark, tmp_path):
-    names = [n for n, _ in LAYOUTS["B"]]
-    lines = ["export header line", ",".join(names)]
-    for sid, typ, conc, tc, isr in [("C1", "Cal", "1", "500", "1000"), ("S1", "Sample", "", "700", "")]:
-        r = [""] * len(names)
-        r[names.index("SampleID")], r[names.index("Type")] = sid, typ
-        r[names.index("TC_Conc")], r[names.index("TC_Response")] = conc, tc
-        r[names.index("IS_Response")] = isr
-        lines.append(",".join(r))
-    (tmp_path / "Batch_C.csv").write_text("\n".join(lines) + "\n")
-    rows = workbook.read_csv_exports(spark, str(tmp_path), "B").orderBy("RowIndex").collect()
-    assert [(r.SampleID, r.Type, r.TC_Conc, r.TC_Response, r.IS_Response, r.RowIndex, r.Batch)
-            for r in rows] == [("C1", "Cal", 1.0, 500.0, 1000.0, 1, "Batch_C"),
-                               ("S1", "Sample", None, 700.0, None, 2, "Batch_C")]
+def small_batch(slope=2.0, sample=2100.0):
+    cal = [(f"Cal{i}", "Cal", c, (0.1 + slope * c / 5) * 1000, 1000.0, None)
+           for i, c in enumerate([1.0, 2.0, 5.0, 10.0], start=1)]
+    return export_rows([*cal, ("S1", "Sample", None, sample, 1000.0, 5.0)])
+
+
+def test_wrong_layout_fails_by_name(spark, tmp_path):
+    write_xlsx(tmp_path / "Wide.xlsx", small_batch())
+    with pytest.raises(Exception, match="Wide.xlsx.*26 columns, the layout has 22"):
+        workbook.read_workbooks(spark, str(tmp_path), "B").collect()
+    rows = small_batch()
+    rows[3] = rows[3] + [7.0]
+    write_xlsx(tmp_path / "Wide.xlsx", rows)
+    with pytest.raises(Exception, match="27 columns"):
+        workbook.read_workbooks(spark, str(tmp_path), "A").collect()
+
+
+def test_equal_names_in_two_folders_stay_two_batches(spark, tmp_path):
+    for folder, slope in (("siteA", 2.0), ("siteB", 4.0)):
+        (tmp_path / folder).mkdir()
+        write_xlsx(tmp_path / folder / "Run_1.xlsx", small_batch(slope))
+    rows = workbook.read_workbooks(spark, str(tmp_path), "A")
+    p = BatchPipeline(workbook.to_runs(rows), workbook.to_batches(rows, methods(spark), 1))
+    got = p.summary.collect()
+    assert sorted(round(r.slope, 9) for r in got) == [2.0, 4.0] and {r.Batch for r in got} == {"Run_1"}
+
+
+def test_stored_runs_parse_each_file_once(spark, tmp_path, monkeypatch):
+    write_xlsx(tmp_path / "Run_1.xlsx", small_batch())
+    rows = workbook.read_workbooks(spark, str(tmp_path), "A")
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            parsed.add(pdf["Path"].nunique())
+            yield pdf
+
+    workbook.write_runs(rows.mapInPandas(counted, rows.schema), methods(spark), 1, str(tmp_path / "out"))
+    runs, batches = workbook.read_runs(spark, str(tmp_path / "out"))
+    got = BatchPipeline(runs, batches).samples.collect()
+    assert parsed.value == 1 and [round(r.TC_Conc_Uncorrected, 9) for r in got] == [5.0]
