@@ -7,11 +7,12 @@ character, length class, equal to the word before; one and two words), the
 latter also by share of the text's words (at least 1, 1/2, 1/4, ...), hashed
 to ``DIMENSIONS``. Labels, language, source and id are never inputs.
 
-Fitting: class log-count ratios come from all training rows (a grouped sum of
-at most ``DIMENSIONS`` rows); the model is fitted on a bounded sample of at
-most about ``SAMPLE`` training rows, taken by a hash of the id, in one task;
-a logistic curve fitted on training rows left out of the descent turns margins
-into scores.
+Fitting uses a bounded sample of about ``SAMPLE`` labelled rows, taken by a
+hash of the id (all of them if there are fewer). Its ids are broadcast, so only
+sampled documents are read into features and no text is shuffled. Class
+log-count ratios are a grouped sum of at most ``DIMENSIONS`` rows; the descent
+runs in one task; a logistic curve fitted on sampled rows left out of the
+descent turns margins into scores. Every document is scored.
 
 Cases: a null or empty text has the one feature "no words" and a score like
 any other; training rows without a label are left out; without rows of both
@@ -31,7 +32,7 @@ from calibrix.llm.text import (batch_limits, lowered, mix, owner_of, pieces, ran
                                word_bounds)
 
 DIMENSIONS = 1 << 18
-# Bound of the rows that the descent sees (documented parameter).
+# Bound of the labelled rows that the model is fitted on (documented parameter).
 SAMPLE = 20_000
 THRESHOLD = 0.3
 
@@ -218,17 +219,14 @@ def class_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pos, neg
 
 
-def train_model(train: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The model from (doc_id, y 0/1, ids); None without rows of both classes."""
+def train_model(train: DataFrame) -> dict | None:
+    """The model from the bounded rows (doc_id, y 0/1, ids) of ``labelled``;
+    None without rows of both classes."""
     per_class = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (per_class.get(0) and per_class.get(1)):
         return None
     pos, neg = class_counts(train)
     ratio = log_ratio(pos, neg)
-    total = sum(per_class.values())
-    # A hash of the features (of no id) picks rows: equal texts fall together.
-    place = F.pmod(F.xxhash64("ids"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = train if total <= sample else train.filter(place < sample / total)
 
     def run(batches):
         got = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
@@ -243,7 +241,7 @@ def train_model(train: DataFrame, sample: int = SAMPLE) -> dict | None:
             ["weights", "bias", "slope", "offset"])
 
     # One task for the bounded sample; what comes back is the weight vector.
-    row = (chosen.select("y", "ids").repartition(1)
+    row = (train.select("y", "ids").repartition(1)
            .mapInArrow(run, "weights binary, bias double, slope double, offset double").collect()[0])
     return {"weights": np.frombuffer(row["weights"], np.float64), "ratio": ratio,
             "bias": row["bias"], "slope": row["slope"], "offset": row["offset"]}
@@ -283,11 +281,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "quality") -> DataFrame:
-    """Training rows (doc_id, y, ids): labelled, not held out. Features are
-    made before the join, so no text is shuffled."""
+             label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` training rows (doc_id, y, ids): labelled, not held out."""
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y"))
              .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id"))
              .groupBy("doc_id").agg(F.max("y").alias("y")))
-    rows = featurised(docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()), id_col, text_col)
-    return rows.join(known, "doc_id").select("doc_id", "y", "ids")
+    total = known.count()
+    if total > sample:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        known = known.filter(place < sample / total)
+    # The sample's ids and labels: about `sample` rows of 12 bytes.
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = own.join(F.broadcast(known), "doc_id")
+    return featurised(rows, "doc_id", "text", "y").select("doc_id", "y", "ids")

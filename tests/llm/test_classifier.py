@@ -57,11 +57,13 @@ def test_classifier_on_held_out(spark, nasty, empty):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     known = spark.createDataFrame([*labels, (None, 1, 0), (2, None, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")
-    train = q.labelled(docs, known).cache()
+    train = q.labelled(docs, known)
     assert {x.doc_id for x in train.select("doc_id").collect()} == {
         i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5}
     for sample in (q.SAMPLE, 150):  # the bound may be under the number of rows
-        model = q.train_model(train, sample)
+        rows = q.labelled(docs, known, sample=sample)
+        assert sample > 150 or 90 < rows.count() < 210
+        model = q.train_model(rows)
         got = {x.doc_id: x for x in q.score(docs, model).collect()}
         held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
         assert np.mean([got[i].predicted == (i % 4 != 0) for i in held]) > 0.95
