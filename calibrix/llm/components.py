@@ -33,3 +33,19 @@ def components(edges: DataFrame) -> DataFrame:
         if not done.filter("root != old").limit(1).count():
             return done.select("node", "root")
         labels = done.select("node", "root")
+
+
+def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after ``edges`` (a, b) join the components of ``labels``;
+    only the roots they touch are labelled anew."""
+    left = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    known = edges.join(left, "a", "left").join(right, "b", "left").select(
+        "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    known = materialize(known)
+    fresh = known.select(F.col("a").alias("node")).union(known.select("b")).distinct().join(
+        labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    moved = components(known.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(
+        F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialize(labels.unionByName(fresh).join(moved, "root", "left")
+                       .select("node", F.coalesce("to", "root").alias("root")))

@@ -3,18 +3,23 @@
 A document's set holds its distinct word shingles (64-bit hashes). Documents
 of equal sets form a class, so exact copies cost one grouped minimum. Of each
 class ``HASHES`` MinHash values are banded (``BANDS`` x ``ROWS``; a pair at the
-threshold 0.8 shares no band with probability 3e-6), and candidates go through
-two rounds:
-
-1. in every band bucket, each member against the bucket's first class;
-2. in buckets where some member is still in another component than the first,
-   those members against all members of other components, in blocks.
-
-So a bucket of n copies that are alike costs n comparisons, not n^2, and every
-pair of a bucket is either in one component or compared. A comparison reads
-the signatures batch by batch and drops the pair once the posterior probability
-of reaching the threshold is under ``MISS``; survivors are confirmed on their
-full sets, rebuilt from the whole texts. Components are minimum labels.
+threshold 0.8 shares no band with probability 3e-6), and candidates meet in two
+rounds:
+
+1. in every band bucket, each member against the bucket's first class; then,
+   where members of a bucket are still in different components, against the
+   bucket's class with the most links (``HUBS`` times);
+2. in buckets that are still open, the members outside the first class's
+   component against all members of other components, in blocks.
+
+A comparison reads the signatures batch by batch and drops the pair once the
+posterior probability of reaching the threshold is under ``MISS``; survivors
+are confirmed on their full sets, rebuilt from the whole texts. In round 2 a
+pair is taken in the first band it shares, its sets meet inside the block, and
+a member stops at its first link to a component: what leaves a block is at most
+one link for each member and component, not the pairs. So a bucket of n copies
+that are alike costs n comparisons, and every pair of a bucket is either in one
+component or compared. Components are minimum labels.
 
 Cases: null, empty and word-less texts have an empty set and are linked with
 nothing; a text shorter than a shingle is one shingle; rows may repeat and ids
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrix.llm.components import components
+from calibrix.llm.components import components, merge
 from calibrix.llm.text import batch_limits, lowered, mix, ngram_hash, owner_of, pieces, span_hash, word_bounds
 from calibrix.session import materialize
 
@@ -44,8 +49,11 @@ HASHES = BANDS * ROWS
 # pair is dropped.
 BATCH = 32
 MISS = 1e-6
-# Members of a bucket that one block of round 2 holds.
-CHUNK = 4096
+# Members of a bucket that one block of round 2 holds, of those asking and of
+# those asked.
+CHUNK = 2048
+# Passes of round 1 against the most linked class of open buckets.
+HUBS = 2
 
 _rng = np.random.default_rng(20_240_601)
 _A = _rng.integers(1, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -171,12 +179,11 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Sets are rebuilt only for
-    the classes in ``pairs``, from their first document's whole text."""
-    wanted = (pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "c")
-              .join(classes.select("c", "first"), "c")
-              .select(F.col("first").alias("_id"), F.col("c").alias("_c")))
+def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(c, set) of the classes in ``wanted`` (c), from their first document's
+    whole text; written once."""
+    first = (wanted.join(classes.select("c", "first"), "c")
+             .select(F.col("first").alias("_id"), F.col("c").alias("_c")))
 
     def rebuild(batches):
         for rows, buf, off in pieces(batches, "text", 2 << 20):
@@ -191,9 +198,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], ["c", "set"])
 
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select(F.col("_c").alias("c"), "text")
+    found = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"])).select(F.col("_c").alias("c"), "text")
     # Rows that repeat an id and text give the set twice; one stays.
-    sets = materialize(found.mapInArrow(rebuild, "c binary, set binary").groupBy("c").agg(F.max("set").alias("set")))
+    return materialize(found.mapInArrow(rebuild, "c binary, set binary").dropDuplicates(["c"]))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
     def meet(batches):
         for rows in batches:
@@ -210,50 +221,80 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, c, first, leader, n_members) of band buckets with two classes or more."""
+    """(key, band, c, leader, n_members) of band buckets with two classes or more."""
     size = 2 * ROWS  # bytes of a band
     rows = classes.select("c", "first", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(
-        "c", "first", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
+        "c", "first", "band", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
     leaders = (rows.groupBy("key").agg(F.min(F.struct("first", "c")).alias("leader"), F.count("*").alias("n_members"))
                .filter("n_members > 1").select("key", F.col("leader.c").alias("leader"), "n_members"))
-    return rows.join(leaders, "key")
+    return rows.drop("first").join(leaders, "key")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Round 2: surviving pairs across components inside buckets of three or more.
-
-    A bucket larger than ``CHUNK`` is dealt out as a grid of blocks, so no task
-    holds a whole bucket."""
-    big = members.filter("n_members > 2")
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, band, c, root, leader, apart, n_members) of the buckets of three or
+    more in which some member is apart: not in the first class's component."""
     root = labels.select(F.col("node").alias("c"), "root")
     lead = labels.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
-    big = (big.join(root, "c", "left").join(lead, "leader", "left")
-           .withColumns({"root": F.coalesce("root", "c"), "lead": F.coalesce("lead", "leader")})
-           .withColumn("apart", F.col("root") != F.col("lead")))
-    big = materialize(big.select("key", "c", "root", "apart", "n_members"))
-    open_keys = big.filter("apart").select("key").distinct()
-    rows = big.join(open_keys, "key", "left_semi").join(classes.select("c", "n", "sig"), "c")
-    grid = F.ceil(F.col("n_members") / CHUNK).cast("int")
-    rows = rows.withColumns({"grid": grid, "own": F.pmod(F.xxhash64("c"), grid).cast("int")})
-    others = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
-    cols = ["key", "i", "j", "c", "root", "n", "sig", "apart"]
-    asking = rows.filter("apart").withColumn("i", F.col("own")).withColumn("j", others).select(*cols)
-    asked = rows.withColumn("apart", F.lit(False)).withColumn("j", F.col("own")).withColumn("i", others).select(*cols)
+    rows = (members.filter("n_members > 2").join(root, "c", "left").join(lead, "leader", "left")
+            .withColumns({"root": F.coalesce("root", "c"), "lead": F.coalesce("lead", "leader")})
+            .withColumn("apart", F.col("root") != F.col("lead")))
+    rows = materialize(rows.select("key", "band", "c", "root", "leader", "apart", "n_members"))
+    return rows.join(rows.filter("apart").select("key").distinct(), "key", "left_semi")
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of the members of open buckets with their bucket's most linked class."""
+    degree = (links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("degree")))
+    known = rows.join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = known.groupBy("key").agg(F.max(F.struct("degree", "c", "root")).alias("hub"))
+    pairs = rows.join(hubs, "key").filter(F.col("root") != F.col("hub.root"))
+    return pairs.select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
+
+
+def rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Round 2: confirmed links (a, b) across components inside open buckets.
+
+    A bucket is dealt out as a grid of blocks by the members that ask (those
+    apart) and those asked, so no task holds a whole bucket; members are sent
+    more than once only where a bucket has over ``CHUNK`` of the other kind."""
+    n_apart = rows.groupBy("key").agg(F.count_if("apart").alias("n_apart"))
+    rows = (rows.join(n_apart, "key").join(classes.select("c", "n", "sig"), "c").join(sets, "c")
+            .withColumns({"gi": F.ceil(F.col("n_apart") / CHUNK).cast("int"),
+                          "gj": F.ceil(F.col("n_members") / CHUNK).cast("int")}))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    cols = ["key", "band", "i", "j", "c", "root", "n", "sig", "set", "apart"]
+    asking = rows.filter("apart").withColumn("i", own("gi")).withColumn("j", every("gj")).select(*cols)
+    asked = rows.withColumn("apart", F.lit(False)).withColumn("j", own("gj")).withColumn("i", every("gi")).select(*cols)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, all_ = pdf[pdf.apart], pdf[~pdf.apart]
         out = []
         if len(ask) and len(all_):
             sig, n = _matrix(all_.sig), all_.n.to_numpy()
-            root, c = all_.root.to_numpy(), all_.c.to_numpy()
-            for s, m, r, x in zip(_matrix(ask.sig), ask.n, ask.root, ask.c, strict=True):
-                live = np.flatnonzero(root != r)
+            bands = np.ascontiguousarray(sig).view(f"V{2 * ROWS}")
+            roots, root = np.unique(all_.root.to_numpy(), return_inverse=True)
+            held = [np.frombuffer(x, np.uint64) for x in all_.set]
+            c, band = all_.c.to_numpy(), int(all_.band.iloc[0])
+            for s, m, r, x, mine in zip(_matrix(ask.sig), ask.n, ask.root, ask.c, ask.set, strict=True):
+                live = np.flatnonzero(roots[root] != r)
+                # Pairs that share an earlier band meet in that band's bucket.
+                early = (bands[live, :band] == s.view(f"V{2 * ROWS}")[None, :band]).any(axis=1)
+                live = live[~early]
                 live = live[plausible(sig[live], np.broadcast_to(s, (len(live), HASHES)), n[live],
                                       np.full(len(live), m), percent)]
-                out += [(min(x, y), max(x, y)) for y in c[live]]
+                mine, linked = np.frombuffer(mine, np.uint64), set()
+                for y in live[np.argsort(-(sig[live] == s).sum(axis=1), kind="stable")]:
+                    if root[y] in linked:
+                        continue
+                    at = np.searchsorted(mine, held[y])
+                    both = int((mine[np.minimum(at, len(mine) - 1)] == held[y]).sum())
+                    if 100 * both >= percent * (len(mine) + len(held[y]) - both):
+                        linked.add(root[y])
+                        out.append((min(x, c[y]), max(x, c[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return (asking.unionByName(asked).groupBy("key", "i", "j").applyInPandas(block, "a binary, b binary").distinct())
+    return asking.unionByName(asked).groupBy("key", "i", "j").applyInPandas(block, "a binary, b binary").distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -272,15 +313,22 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     classes = materialize(sets.filter("c is not null").groupBy("c").agg(
         F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig")))
     members = materialize(buckets(classes))
-    stars = members.filter("c != leader").select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"))
-    links = materialize(confirm(materialize(bayes_filter(stars.distinct(), classes, percent)),
-                                own, classes, words, percent))
+    full = full_sets(members.select("c").distinct(), own, classes, words)
+
+    def verified(pairs):
+        return materialize(confirm(bayes_filter(pairs, classes, percent), full, percent))
+
+    links = verified(members.filter("c != leader").select(
+        F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct())
     labels = components(links)
-    rest = materialize(rest_pairs(members, labels, classes, percent))
+    for _ in range(HUBS):
+        more = verified(hub_pairs(open_buckets(members, labels), links))
+        if not more.limit(1).count():
+            break
+        links, labels = links.union(more), merge(labels, more)
+    rest = materialize(rest_links(open_buckets(members, labels), classes, full, percent))
     if rest.limit(1).count():
-        more = materialize(confirm(rest, own, classes, words, percent))
-        if more.limit(1).count():
-            labels = components(links.union(more))
+        labels = merge(labels, rest)
     roots = (classes.join(labels.withColumnRenamed("node", "c"), "c", "left")
              .select("c", "first", F.coalesce("root", "c").alias("root")))
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
