@@ -54,9 +54,13 @@ def sequence_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         field = df.select(c).schema[0]
         if i < len(group_cols) and not field.nullable:
             keys.append(group_cols[i])
+        elif not field.nullable:
+            keyed = keyed.withColumn(f"_seq_k{i}", c)
+            keys.append(f"_seq_k{i}")
         else:
             keyed = keyed.withColumns({f"_seq_k{i}": F.coalesce(c, F.lit(0).cast(field.dataType)),
                                        f"_seq_z{i}": c.isNull()})
+            # A missing value sorts before all others, as in the order itself.
             keys += [f"_seq_z{i}", f"_seq_k{i}"]
         n_group = len(keys) if i < len(group_cols) else n_group
     if flag is not None:
@@ -67,12 +71,14 @@ def sequence_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         running = local_w.rowsBetween(Window.unboundedPreceding, 0)
         local = local.withColumn("_seq_flocal", F.sum("_seq_f").over(running))
 
-    # Rows per chunk, from the numbered rows (same exchange, no second scan).
-    size_aggs = [F.max("_seq_local").alias("_seq_n")]
+    # Rows per chunk: tasks count their own rows of the key columns first, so
+    # only the (group, chunk) counts are exchanged.
+    size_aggs = [F.count(F.lit(1)).alias("_seq_n")]
     if flag is not None:
-        size_aggs.append(F.max("_seq_flocal").alias("_seq_fn"))
-    sizes = local.groupBy(*keys).agg(*size_aggs)
-    before = (Window.partitionBy(*keys[:n_group]).orderBy(*keys[n_group:])
+        size_aggs.append(F.sum("_seq_f").alias("_seq_fn"))
+    sizes = keyed.groupBy(*keys).agg(*size_aggs)
+    before = (Window.partitionBy(*keys[:n_group]).orderBy(*(
+        F.col(k).desc() if k.startswith("_seq_z") else F.col(k) for k in keys[n_group:]))
               .rowsBetween(Window.unboundedPreceding, -1))
     offset_cols = [F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_before")]
     if flag is not None:
