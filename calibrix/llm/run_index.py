@@ -42,7 +42,10 @@ class RunIndex:
         # A string's first byte follows no byte: its row and place are kept.
         self.whole_row = np.flatnonzero(bwt == 0)
         self.whole_at = order[self.whole_row]
-        self.class_start = classes
+        # Directories for the block's rows: run and class by one look-up.
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), length)
+        self.n_classes = len(classes)
+        self.class_of = np.repeat(np.arange(len(classes), dtype=np.int32), np.diff(np.append(classes, total)))
 
     def _order(self, text: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
         """(suffix order, first rows of the classes) by prefix doubling from
@@ -56,24 +59,31 @@ class RunIndex:
                 part[left < j] = 0  # beyond the string's end nothing counts
             key = key << np.uint64(9) | part
         known, rank_half, half = 7, None, 0
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        bits = int(n + 1).bit_length()
         while True:
-            order = np.argsort(key)
-            sorted_key = key[order]
-            new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+            # Ranks of the first `known` symbols; equal ones stand by place.
+            new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = new
             if known <= self.reach < 2 * known:
                 rank_half, half = rank, known
-            if known > longest and known > self.reach // 2 or new[-1] == n - 1 and rank_half is not None:
+            if rank_half is not None and (known > longest or new[-1] == n - 1):
                 break
             after = np.zeros(n, np.int64)
-            has = left >= known
-            at = np.flatnonzero(has)
+            at = np.flatnonzero(left >= known)
             after[at] = rank[at + known] + 1
-            key = rank.astype(np.uint64) * np.uint64(n + 1) + after.astype(np.uint64)
             known *= 2
-        # Equal strings: by place, as their ends are ordered by string number.
-        order = np.argsort(rank, kind="stable")
+            if 3 * bits <= 64:  # place packed below the key: sorting values beats sorting indexes
+                key = (rank << bits | after).astype(np.uint64) << np.uint64(bits) | np.arange(n, dtype=np.uint64)
+                key.sort()
+                order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+                key >>= np.uint64(bits)
+            else:
+                key = rank.astype(np.uint64) * np.uint64(n + 1) + after.astype(np.uint64)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
         a, b = order[:-1], order[1:]
         far = self.reach - half
         same = (left[a] >= self.reach) & (left[b] >= self.reach) & (rank_half[a] == rank_half[b])
@@ -86,7 +96,7 @@ class RunIndex:
 
     def back(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(LF rows, runs) of some rows."""
-        run = np.searchsorted(self.run_start, rows, "right") - 1
+        run = self.run_of[rows]
         return self.target[run] + rows - self.run_start[run], run
 
     def stream(self):
@@ -105,7 +115,7 @@ class RunIndex:
                 raise RuntimeError("a sampled run end disagrees with the streamed place")
             rows[:live] = nxt
             if t + 1 >= self.reach:
-                yield order[:live], lens[:live] - t - 1, np.searchsorted(self.class_start, nxt, "right") - 1
+                yield order[:live], lens[:live] - t - 1, self.class_of[nxt]
 
     def locate(self, row: int) -> int:
         """Text position of a row's suffix: LF steps up to a sampled row."""
@@ -130,7 +140,7 @@ def later_matches(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, reach:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     string, offset, classes = (np.concatenate(x) for x in zip(*got, strict=True))
     place = index.first[string] + offset
-    first = np.full(len(index.class_start), np.iinfo(np.int64).max)
+    first = np.full(index.n_classes, np.iinfo(np.int64).max)
     np.minimum.at(first, classes, place)
     later = place > first[classes]
     return string[later], offset[later]
