@@ -29,7 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@register("op1_suffix_dedup")
+# Windows by their first place; bytes as hexadecimal digits, two a byte.
+_OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, base, least(256, length(x) // 2 - 99 - base) AS n, substr(x, 2 * base + 1, 710) AS y
+      FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 99, 0), 256)) AS base FROM d)),
+w AS (SELECT doc_id, base + j AS i, hash(substr(y, 2 * j + 1, 200)) AS s
+      FROM (SELECT doc_id, base, y, unnest(range(n)) AS j FROM c)),
+f AS (SELECT s, min(doc_id * 1000000000 + i) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s WHERE w.doc_id * 1000000000 + w.i <> f.first),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END)
+             OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+p AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM p),
+k AS (SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+             string_agg(substr(d.x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head
+      FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.x ELSE head || substr(d.x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@register("op1_suffix_dedup", _OP1_SQL)
 def op1(spark, sf_dir):
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
