@@ -10,14 +10,16 @@ rounds:
    where members of a bucket are still in different components, against the
    bucket's class with the most links (``HUBS`` times);
 2. in buckets that are still open, the members outside the first class's
-   component against all members of other components, in blocks.
+   component against all members of other components, in blocks. Buckets whose
+   first classes are in one component are taken together, so a member is sent
+   once and not once a bucket.
 
 A comparison reads the signatures batch by batch and drops the pair once the
 posterior probability of reaching the threshold is under ``MISS``; survivors
-are confirmed on their full sets, rebuilt from the whole texts. In round 2 a
-pair is taken in the first band it shares, its sets meet inside the block, and
-a member stops at its first link to a component: what leaves a block is at most
-one link for each member and component, not the pairs. So a bucket of n copies
+are confirmed on their full sets, rebuilt from the whole texts. In round 2 the
+sets meet inside the block, and a member stops at its first link to a
+component: what leaves a block is at most one link for each member and
+component, not the pairs. So a bucket of n copies
 that are alike costs n comparisons, and every pair of a bucket is either in one
 component or compared. Components are minimum labels.
 
@@ -221,24 +223,24 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, band, c, leader, n_members) of band buckets with two classes or more."""
+    """(key, c, leader, n_members) of band buckets with two classes or more."""
     size = 2 * ROWS  # bytes of a band
     rows = classes.select("c", "first", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(
-        "c", "first", "band", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
+        "c", "first", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
     leaders = (rows.groupBy("key").agg(F.min(F.struct("first", "c")).alias("leader"), F.count("*").alias("n_members"))
                .filter("n_members > 1").select("key", F.col("leader.c").alias("leader"), "n_members"))
     return rows.drop("first").join(leaders, "key")
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, band, c, root, leader, apart, n_members) of the buckets of three or
-    more in which some member is apart: not in the first class's component."""
+    """(key, c, root, lead, apart) of the buckets of three or more in which some
+    member is apart: not in ``lead``, the first class's component."""
     root = labels.select(F.col("node").alias("c"), "root")
     lead = labels.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
     rows = (members.filter("n_members > 2").join(root, "c", "left").join(lead, "leader", "left")
             .withColumns({"root": F.coalesce("root", "c"), "lead": F.coalesce("lead", "leader")})
             .withColumn("apart", F.col("root") != F.col("lead")))
-    rows = materialize(rows.select("key", "band", "c", "root", "leader", "apart", "n_members"))
+    rows = materialize(rows.select("key", "c", "root", "lead", "apart"))
     return rows.join(rows.filter("apart").select("key").distinct(), "key", "left_semi")
 
 
@@ -254,33 +256,31 @@ def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
 def rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Round 2: confirmed links (a, b) across components inside open buckets.
 
-    A bucket is dealt out as a grid of blocks by the members that ask (those
-    apart) and those asked, so no task holds a whole bucket; members are sent
-    more than once only where a bucket has over ``CHUNK`` of the other kind."""
-    n_apart = rows.groupBy("key").agg(F.count_if("apart").alias("n_apart"))
-    rows = (rows.join(n_apart, "key").join(classes.select("c", "n", "sig"), "c").join(sets, "c")
-            .withColumns({"gi": F.ceil(F.col("n_apart") / CHUNK).cast("int"),
-                          "gj": F.ceil(F.col("n_members") / CHUNK).cast("int")}))
+    The members of the open buckets under one leading component are dealt out
+    as a grid of blocks, by the members that ask (those apart) and those asked,
+    so no task holds them all; a member is sent more than once only where there
+    are over ``CHUNK`` of the other kind."""
+    rows = materialize(rows.select("lead", "c", "root", "apart").distinct())
+    size = rows.groupBy("lead").agg(F.count("*").alias("n_all"), F.count_if("apart").alias("n_apart"))
+    rows = rows.join(size, "lead").withColumns({"gi": F.ceil(F.col("n_apart") / CHUNK).cast("int"),
+                                                "gj": F.ceil(F.col("n_all") / CHUNK).cast("int")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
-    cols = ["key", "band", "i", "j", "c", "root", "n", "sig", "set", "apart"]
+    cols = ["lead", "i", "j", "c", "root", "apart"]
     asking = rows.filter("apart").withColumn("i", own("gi")).withColumn("j", every("gj")).select(*cols)
     asked = rows.withColumn("apart", F.lit(False)).withColumn("j", own("gj")).withColumn("i", every("gi")).select(*cols)
+    dealt = asking.unionByName(asked).join(classes.select("c", "n", "sig"), "c").join(sets, "c")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, all_ = pdf[pdf.apart], pdf[~pdf.apart]
         out = []
         if len(ask) and len(all_):
             sig, n = _matrix(all_.sig), all_.n.to_numpy()
-            bands = np.ascontiguousarray(sig).view(f"V{2 * ROWS}")
             roots, root = np.unique(all_.root.to_numpy(), return_inverse=True)
             held = [np.frombuffer(x, np.uint64) for x in all_.set]
-            c, band = all_.c.to_numpy(), int(all_.band.iloc[0])
+            c = all_.c.to_numpy()
             for s, m, r, x, mine in zip(_matrix(ask.sig), ask.n, ask.root, ask.c, ask.set, strict=True):
                 live = np.flatnonzero(roots[root] != r)
-                # Pairs that share an earlier band meet in that band's bucket.
-                early = (bands[live, :band] == s.view(f"V{2 * ROWS}")[None, :band]).any(axis=1)
-                live = live[~early]
                 live = live[plausible(sig[live], np.broadcast_to(s, (len(live), HASHES)), n[live],
                                       np.full(len(live), m), percent)]
                 mine, linked = np.frombuffer(mine, np.uint64), set()
@@ -294,7 +294,7 @@ def rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                         out.append((min(x, c[y]), max(x, c[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return asking.unionByName(asked).groupBy("key", "i", "j").applyInPandas(block, "a binary, b binary").distinct()
+    return dealt.groupBy("lead", "i", "j").applyInPandas(block, "a binary, b binary").distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
