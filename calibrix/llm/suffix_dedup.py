@@ -21,8 +21,8 @@ input. Texts are packed into pieces of a few MB, written once. Then:
 4. The marked spans return to their pieces, and each text is cut.
 
 Cases: null and empty texts have no bytes; a null id comes before all others;
-rows of the same id and text are one document (the order of rows of one id
-with different texts follows a hash of the text); matches never cross
+rows of the same id and text are one document, indexed once and cut alike (the
+order of rows of one id with different texts follows a hash of the text); matches never cross
 documents; extra columns are ignored.
 """
 
@@ -237,6 +237,15 @@ def _copies(x: np.ndarray) -> np.ndarray:
     return some[~same]
 
 
+def _new_places(x: np.ndarray) -> np.ndarray:
+    """Indexes of segments, ordered by anchor and place, that start a new place."""
+    new = np.zeros(len(x), bool)
+    new[:1] = True
+    for n in ("h", *(n for n, _ in PLACE)):
+        new[1:] |= x[n][1:] != x[n][:-1]
+    return np.flatnonzero(new)
+
+
 def settle(anchors: DataFrame, tasks: int, hot: int) -> DataFrame:
     """(piece, notes): step 2, and which segments step 3 must compare."""
 
@@ -259,8 +268,14 @@ def settle(anchors: DataFrame, tasks: int, hot: int) -> DataFrame:
         new = np.concatenate([[True], h[1:] != h[:-1]])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(by)))[np.cumsum(new) - 1] if len(by) else np.zeros(0, np.int64)
-        kind[by[(size > 1) | (x["loop"][by] > 0)]] = 1
-        kind[by[size > hot]] = 2
+        # Anchors with one place only, however many rows repeat it, have nothing to compare.
+        other = np.zeros(len(by), bool)
+        for n, _ in PLACE:
+            other |= x[n][by] != x[n][by[first]][np.cumsum(new) - 1] if len(by) else False
+        many = np.logical_or.reduceat(other, first)[np.cumsum(new) - 1] if len(by) else other
+        asks = many | (x["loop"][by] > 0)
+        kind[by[asks]] = 1
+        kind[by[asks & (size > hot)]] = 2
         use = np.flatnonzero(kind >= 0)
         use = use[np.argsort(piece[use], kind="stable")]
         owner, y = piece[use], np.empty(len(use), NOTES)
@@ -332,8 +347,12 @@ def index_blocks(cut: DataFrame, tasks: int, reach: int) -> DataFrame:
         starts = np.cumsum(lens) - lens
         order = _place_order(x, x["h"])
         x, starts, lens = x[order], starts[order], lens[order]
-        edge = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]))
-        edge = np.append(edge, len(x))
+        # Rows of one place (a repeated document) are indexed once.
+        lead = _new_places(x)
+        rows = np.diff(np.append(lead, len(x)))
+        h, starts, lens = x["h"][lead], starts[lead], lens[lead]
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        edge = np.append(edge, len(h))
         total = np.concatenate([[0], np.cumsum(lens)])
         found, a = [], 0
         while a < len(edge) - 1:  # whole anchors, up to BLOCK_BYTES
@@ -342,10 +361,12 @@ def index_blocks(cut: DataFrame, tasks: int, reach: int) -> DataFrame:
             # Anchors cannot match each other, so places may be told apart by any
             # order that keeps each anchor's own segments in theirs.
             string, offset = later_matches(buf, starts[lo:hi], lens[lo:hi], reach)
-            y = np.empty(len(string), NOTES)
-            y["kind"], y["h"], y["row"] = 0, 0, x["row"][lo + string]
-            y["start"], y["len"] = x["start"][lo + string] + offset, reach
-            found.append((x["piece"][lo + string], y))
+            n = rows[lo + string]
+            own, offset = ranges(lead[lo + string], n), np.repeat(offset, n)
+            y = np.empty(len(own), NOTES)
+            y["kind"], y["h"], y["row"] = 0, 0, x["row"][own]
+            y["start"], y["len"] = x["start"][own] + offset, reach
+            found.append((x["piece"][own], y))
             a = b
         owner, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         order = np.lexsort((y["start"], y["row"], owner))

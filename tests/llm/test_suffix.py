@@ -120,3 +120,19 @@ def test_suffix_nasty(nasty, empty):
     # A long text of one period keeps its first 100 + 11 bytes of each pattern.
     assert rows[6][1] == 106_005 and rows[6][2] >= 105_900 and rows[5][2] > 100_000
     assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3, 1])
+def test_repeated_rows_are_one_document(spark, monkeypatch, hot):
+    """Rows of the same id and text keep what occurs in them first, alike."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 500)
+    texts = corpus(9)[:24]
+    alone = " ".join(f"only{i} here{i * i}" for i in range(60))
+    rows = [(0, alone), (0, alone), (1, texts[0]), (None, alone[50:600]), (None, alone[50:600]), (90, alone[300:] + texts[1]),
+            (91, "xyz " * 90), (91, "xyz " * 90), (92, "z" * 400), (92, "z" * 400), (92, "z" * 400)]
+    rows += [(i + 2, t) for i, t in enumerate(texts)] + [(i + 2, t) for i, t in enumerate(texts) if i % 3 == 0]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA).repartition(5)
+    assert got(suffix_dedup.suffix_dedup(df, hot=hot)) == brute(rows, 100)
+    twins = [(5, alone), (5, alone)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in twins], SCHEMA).repartition(2)
+    assert [x.n_removed for x in suffix_dedup.suffix_dedup(df, hot=hot).collect()] == [0, 0]
