@@ -7,12 +7,13 @@ character, length class, equal to the word before; one and two words), the
 latter also by share of the text's words (at least 1, 1/2, 1/4, ...), hashed
 to ``DIMENSIONS``. Labels, language, source and id are never inputs.
 
-Fitting uses a bounded sample of about ``SAMPLE`` labelled rows, taken by a
-hash of the id (all of them if there are fewer). Its ids are broadcast, so only
-sampled documents are read into features and no text is shuffled. Class
-log-count ratios are a grouped sum of at most ``DIMENSIONS`` rows; the descent
-runs in one task; a logistic curve fitted on sampled rows left out of the
-descent turns margins into scores. Every document is scored.
+Class log-count ratios come from all labelled training rows: labels meet texts
+by id, a task counts the features of its texts itself, and a grouped sum of at
+most ``DIMENSIONS`` rows remains, so no features are shuffled. The descent uses
+a bounded sample of about ``SAMPLE`` labelled rows, taken by a hash of the id
+(all of them if there are fewer), whose ids are broadcast; it runs in one task,
+and a logistic curve fitted on sampled rows left out of the descent turns
+margins into scores. Every document is scored.
 
 Cases: a null or empty text has the one feature "no words" and a score like
 any other; training rows without a label are left out; without rows of both
@@ -30,9 +31,10 @@ from pyspark.sql import types as T
 
 from calibrix.llm.text import (batch_limits, lowered, mix, owner_of, pieces, ranges, span_hash,
                                word_bounds)
+from calibrix.session import materialize
 
 DIMENSIONS = 1 << 18
-# Bound of the labelled rows that the model is fitted on (documented parameter).
+# Bound of the labelled rows that the descent runs on (documented parameter).
 SAMPLE = 20_000
 THRESHOLD = 0.3
 
@@ -219,13 +221,14 @@ def class_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pos, neg
 
 
-def train_model(train: DataFrame) -> dict | None:
-    """The model from the bounded rows (doc_id, y 0/1, ids) of ``labelled``;
-    None without rows of both classes."""
+def train_model(train: DataFrame, every: DataFrame | None = None) -> dict | None:
+    """The model from the bounded rows (doc_id, y 0/1, ids) of ``labelled``,
+    with the class counts of all labelled rows if ``every`` has them; None
+    without rows of both classes."""
     per_class = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (per_class.get(0) and per_class.get(1)):
         return None
-    pos, neg = class_counts(train)
+    pos, neg = class_counts(train if every is None else every)
     ratio = log_ratio(pos, neg)
 
     def run(batches):
@@ -281,16 +284,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """About ``sample`` training rows (doc_id, y, ids): labelled, not held out."""
+             label_col: str = "quality", sample: int | None = SAMPLE) -> DataFrame:
+    """About ``sample`` training rows (doc_id, y, ids), or with None all of
+    them: labelled, not held out."""
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y"))
              .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id"))
              .groupBy("doc_id").agg(F.max("y").alias("y")))
-    total = known.count()
-    if total > sample:
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        known = known.filter(place < sample / total)
-    # The sample's ids and labels: about `sample` rows of 12 bytes.
+    if sample is not None:
+        total = known.count()
+        if total > sample:
+            place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+            known = known.filter(place < sample / total)
+        # The sample's ids and labels: about `sample` rows of 12 bytes.
+        known = F.broadcast(known)
+    else:  # one plan at any size: what a small table takes tells what a large one will
+        known = known.hint("merge")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(known), "doc_id")
+    rows = own.join(known, "doc_id")
     return featurised(rows, "doc_id", "text", "y").select("doc_id", "y", "ids")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "quality", sample: int = SAMPLE) -> dict | None:
+    """The model of the labelled rows: counts of all, descent on the sample."""
+    args = (docs, labels, id_col, text_col, label_col)
+    return train_model(materialize(labelled(*args, sample=sample)), labelled(*args, sample=None))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from calibrix.llm import (byte_bpe, decontaminate, host_rules, license_scan, line_dedup, near_dedup, quality_classifier,
                           substring_dedup, suffix_dedup, token_count)
-from calibrix.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,7 +115,7 @@ def op5(spark, sf_dir):
 @register("op6_quality_classifier")
 def op6(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality_classifier.train_model(materialize(quality_classifier.labelled(docs, labels)))
+    model = quality_classifier.learn(docs, labels)
     return quality_classifier.score(docs, model).select(
         "doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
 

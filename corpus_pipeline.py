@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrix.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_classifier
-from calibrix.session import ensure_checkpoint_dir, materialize
+from calibrix.session import ensure_checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from the labels of these documents, held-out rows aside; without labels of
     both classes every document stays."""
     labels = _table(spark, sf_dir, "labels")
-    model = quality_classifier.train_model(materialize(quality_classifier.labelled(docs, labels)))
+    model = quality_classifier.learn(docs, labels)
     scored = quality_classifier.score(_rows(docs), model, keep=("row",))
     return scored.filter("predicted = 1").select("row.*")
 

@@ -81,3 +81,17 @@ def test_no_labels(spark, nasty, empty):
     one = spark.createDataFrame([(3, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert q.train_model(q.labelled(nasty, one)) is None
     assert q.train_model(q.labelled(empty, one)) is None
+
+
+def test_ratios_come_from_all_labelled_rows(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    texts, count = dict(r[:2] for r in rows), np.zeros((2, q.DIMENSIONS))
+    for i, good, _ in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            raw = texts[i].encode()
+            count[good][q.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]] += 1
+    want = q.log_ratio(count[1], count[0])
+    assert np.allclose(q.learn(docs, known, sample=150)["ratio"], want)
+    assert not np.allclose(q.train_model(q.labelled(docs, known, sample=150))["ratio"], want)
