@@ -61,15 +61,16 @@ def measure(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     owner = owner_of(first)
     inside = np.concatenate([[0], np.cumsum(_START[buf], dtype=np.int64)])
     chars = np.bincount(owner, inside[ends] - inside[starts], n).astype(np.int64)
-    # Lines that hold a word, less the distinct ones among them.
+    # Lines that hold a word, less the distinct ones among them (by all 64 bits of the hash).
     ls, le, _ = word_bounds(buf, off, _LINE)
     worded = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
     ls, le = ls[worded], le[worded]
     lo = np.searchsorted(off, ls, "right") - 1
-    keys = np.sort(mix(span_hash(buf, ls, le) ^ mix(lo.astype(np.uint64))) & np.uint64((1 << 40) - 1)
-                   | lo.astype(np.uint64) << np.uint64(40))
-    distinct = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    dup = np.bincount(lo, minlength=n) - np.bincount((distinct >> np.uint64(40)).astype(np.int64), minlength=n)
+    keys = span_hash(buf, ls, le)
+    order = np.lexsort((keys, lo))
+    keys = keys[order]
+    again = (keys[1:] == keys[:-1]) & (lo[1:] == lo[:-1])  # lo is in order already
+    dup = np.bincount(lo[1:][again], minlength=n)
     # Words under a window that stands at least twice.
     m = len(starts) - WINDOW + 1
     repeat = np.zeros(n, np.int64)

@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from calibrix.llm import host_rules, license_scan
+from calibrix.llm.text import mix, span_hash
 from tests.llm.conftest import NASTY, SCHEMA
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,3 +101,15 @@ def test_bad_host_drops_its_documents(spark):
     got = {x.doc_id: x for x in host_rules.host_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].host_failed and not got[i].kept for i in range(400))
     assert all(got[i].kept == (t == good) for i, t, _, s in rows if s != "bad")
+
+
+def test_dup_lines_use_the_whole_hash():
+    """Two different lines whose hashes agree in their low 40 bits."""
+    raw = b"3174483\n2192500"
+    buf = np.frombuffer(raw, np.uint8)
+    h = mix(span_hash(buf, np.array([0, 8]), np.array([7, 15])) ^ mix(np.zeros(1, np.uint64)))
+    assert h[0] != h[1] and (h[0] ^ h[1]) % np.uint64(1 << 40) == 0
+    texts = [raw, b"", raw + b"\n" + raw, b"3174483"]
+    off = np.cumsum([0, *map(len, texts)])
+    dup = host_rules.measure(np.frombuffer(b"".join(texts), np.uint8), off)[3]
+    assert dup.tolist() == [0, 0, 2, 0]
