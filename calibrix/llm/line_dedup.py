@@ -3,9 +3,9 @@
 DataFrame functions only. Each line's key (stripped, A-Z lower-cased) becomes
 two 64-bit hashes; the hash rows are range-partitioned by (hash, document,
 position) and sorted so inside the partitions, which spreads even a line of
-every document over many tasks, and written once. Streaming them in that order
-gives each hash's first occurrence and its number of documents (tasks combine
-before the exchange). What comes back for a document is its run-length
+every document over many tasks, and written once. Each hash's first occurrence
+and number of documents are grouped sums over them (tasks combine before the
+exchange); they do not rely on the order. What comes back for a document is its run-length
 compressed keep bitmap, not text: runs of (lines kept, lines dropped).
 
 Cases: a null or empty text is one empty line; an empty key is never dropped;
