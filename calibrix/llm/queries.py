@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrix.llm import (byte_bpe, decontaminate, host_rules, license_scan, line_dedup, near_dedup, quality_classifier,
-                          substring_dedup, suffix_dedup, token_count)
+from calibrix.llm import (byte_bpe, chat_repair, decontaminate, host_rules, license_scan, line_dedup, mixing, near_dedup,
+                          quality_classifier, spelling, substring_dedup, suffix_dedup, token_count)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,3 +189,19 @@ FROM n JOIN r ON r.node = n.doc_id GROUP BY doc_id
 def op10(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op11_chat_repair")
+def op11(spark, sf_dir):
+    rows = chat_repair.damaged(table(spark, sf_dir, "conversations"))
+    return chat_repair.repair(rows, copies_col="copies")
+
+
+@register("op12_source_mix")
+def op12(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op13_spelling_forms")
+def op13(spark, sf_dir):
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
