@@ -2,13 +2,14 @@
 
 Each export is one batch: sheet ``Sheet1``, two header rows, then one row per
 injection with a fixed column layout (``calibrix.schema.LAYOUTS``). Files are
-read with ``binaryFile`` (Spark spreads them over tasks) and parsed inside the
-task by ``mapInPandas`` with the standard library's zip and XML readers. A
-workbook holds at most ~1M rows, so one file per task step is bounded; the
-row's position in the sheet becomes ``RowIndex`` (acquisition order is data).
-The batch key is a 64-bit hash of the file's path. ``write_runs`` parses each
-file once into a stored run table. Workers need this package (installed or
-shipped with the job), as the parser runs in their Python.
+read with ``binaryFile`` (Spark spreads them over tasks) or by the data source
+of ``workbook_source``. A task pulls the sheet part through an event parser and
+passes its rows on in chunks of ``CHUNK_ROWS``, so its memory is the compressed
+file, the shared strings (one buffer with offsets) and a chunk, whatever the
+sheet's length. The row's position in the sheet becomes ``RowIndex``
+(acquisition order is data). The batch key is a 64-bit hash of the file's path.
+``write_runs`` parses each file once into a stored run table. Workers need this
+package (installed or shipped with the job), as the parser runs in their Python.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import io
 import posixpath
 import re
 import zipfile
+from array import array
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +33,10 @@ from pyspark.sql import types as T
 from calibrix.schema import HEADER_ROWS, LAYOUTS, RUN_COLUMNS, RUNS_SCHEMA, layout_schema
 
 SHEET = "Sheet1"  # fixed value: the sheet the exports use
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+CHUNK_ROWS = 10_000
+_READ = 1 << 18  # bytes of a part that the parser is fed at once
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_NS = {"m": _MAIN,
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 _CELL = re.compile(r"([A-Z]+)(\d+)")
@@ -59,61 +67,155 @@ def _sheet_path(z: zipfile.ZipFile, sheet: str) -> str:
     raise ValueError(f"no part for sheet {sheet!r}")
 
 
-def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+class SharedStrings:
+    """The workbook's string table: one buffer and the strings' ends."""
+
+    def __init__(self):
+        self.data, self.ends = bytearray(), array("Q")
+
+    def append(self, text: str) -> None:
+        self.data += text.encode("utf-8", "surrogatepass")
+        self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < len(self.ends):
+            raise IndexError(f"no shared string {i}")
+        return self.data[self.ends[i - 1] if i else 0:self.ends[i]].decode("utf-8", "surrogatepass")
+
+
+def _fed(z: zipfile.ZipFile, part: str, start: Callable, end: Callable, text: Callable) -> Iterator[None]:
+    """Feed a part to the handlers, stopping after each piece of it."""
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    with z.open(part) as stream:
+        while piece := stream.read(_READ):
+            parser.Parse(piece, False)
+            yield
+    parser.Parse(b"", True)
+    yield
+
+
+def _shared_strings(z: zipfile.ZipFile) -> SharedStrings:
+    out, now, inside = SharedStrings(), [], False
     if "xl/sharedStrings.xml" not in z.namelist():
-        return []
-    root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t"))
-            for si in root.iterfind("m:si", _NS)]
+        return out
 
+    def start(name, _):
+        nonlocal inside
+        inside = name == f"{_MAIN} t"
 
-def parse_workbook(content: bytes, n_cols: int, sheet: str = SHEET) -> list[list]:
-    """Rows of raw cell values (str / float / bool / None) after the header rows.
+    def end(name):
+        nonlocal inside
+        inside = False
+        if name == f"{_MAIN} si":
+            out.append("".join(now))
+            now.clear()
+
+    def text(data):
+        if inside:
+            now.append(data)
+
+    for _ in _fed(z, "xl/sharedStrings.xml", start, end, text):
+        pass
+    return out
+
+
+class _SheetEvents:
+    """Handlers that turn a sheet part's events into (row number, width, raw
+    cells); finished rows wait in ``rows``."""
+
+    ROW, CELL, VALUE, TEXT = (f"{_MAIN} {t}" for t in ("row", "c", "v", "t"))
+
+    def __init__(self, n_cols: int, strings: SharedStrings):
+        self.n_cols, self.strings, self.rows = n_cols, strings, []
+        self.number, self.pos, self.wide, self.values = 0, -1, 0, []
+        self.kind, self.col, self.buf, self.reading, self.valued, self.columns = "n", 0, [], False, False, {}
+
+    def start(self, name, attrs):
+        if name == self.CELL:
+            self.pos += 1
+            ref = attrs.get("r")
+            self.col = self._column(ref) if ref else self.pos
+            self.kind, self.valued = attrs.get("t", "n"), False
+            self.buf.clear()
+        elif name == self.VALUE:
+            self.valued = True
+            self.reading = self.kind != "inlineStr"
+        elif name == self.TEXT:
+            self.reading = self.kind == "inlineStr"
+        elif name == self.ROW:
+            self.number = int(attrs["r"]) if "r" in attrs else self.number + 1
+            self.pos, self.wide, self.values = -1, 0, [None] * self.n_cols
+
+    def _column(self, ref: str) -> int:
+        letters = ref.rstrip("0123456789")
+        if letters not in self.columns:
+            self.columns[letters] = _col_index(_CELL.match(ref).group(1))
+        return self.columns[letters]
+
+    def text(self, data):
+        if self.reading:
+            self.buf.append(data)
+
+    def end(self, name):
+        if name in (self.VALUE, self.TEXT):
+            self.reading = False
+        elif name == self.CELL:
+            if self.kind == "inlineStr" or self.valued:
+                self.wide = max(self.wide, self.col + 1)
+                if self.col < self.n_cols:
+                    self.values[self.col] = self._value("".join(self.buf))
+        elif name == self.ROW:
+            self.rows.append((self.number, self.wide, self.values))
+
+    def _value(self, raw: str):
+        if self.kind == "inlineStr":
+            return raw
+        if raw == "":
+            return None
+        if self.kind == "s":
+            return self.strings[int(raw)]
+        if self.kind in ("str", "e"):
+            return raw
+        return raw == "1" if self.kind == "b" else float(raw)
+
+
+def iter_rows(source: bytes | io.IOBase, n_cols: int, sheet: str = SHEET) -> Iterator[list]:
+    """Rows of raw cell values (str / float / bool / None) after the header
+    rows, as they are parsed; ``source`` is a workbook's content or a seekable
+    file.
 
     The column names (the last header row) must be exactly ``n_cols`` wide and
     no value may stand beyond them; another width is another layout, whose
-    columns would be read under wrong names, so it raises ``ValueError``.
+    columns would be read under wrong names, so it raises ``ValueError``. Rows
+    must come in the order of their numbers, as the format has them.
     """
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        strings = _shared_strings(z)
-        root = ET.fromstring(z.read(_sheet_path(z, sheet)))
-    rows: dict[int, list] = {}
-    for row in root.iterfind("m:sheetData/m:row", _NS):
-        values, wide = [None] * n_cols, 0
-        r_num = int(row.get("r")) if row.get("r") else len(rows) + 1
-        for pos, c in enumerate(row.iterfind("m:c", _NS)):
-            ref = c.get("r")
-            col = _col_index(_CELL.match(ref).group(1)) if ref else pos
-            t = c.get("t", "n")
-            if t == "inlineStr" or c.find("m:v", _NS) is not None:
-                wide = max(wide, col + 1)
-            if col >= n_cols:
-                continue
-            v = c.find("m:v", _NS)
-            if t == "inlineStr":
-                values[col] = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            elif v is None or v.text is None:
-                values[col] = None
-            elif t == "s":
-                values[col] = strings[int(v.text)]
-            elif t in ("str", "e"):
-                values[col] = v.text
-            elif t == "b":
-                values[col] = v.text == "1"
-            else:
-                values[col] = float(v.text)
-        if wide > n_cols or r_num == HEADER_ROWS and wide != n_cols:
-            raise ValueError(f"row {r_num} has {wide} columns, the layout has {n_cols}")
-        rows[r_num] = values
-    if HEADER_ROWS not in rows:
-        raise ValueError(f"no column names in row {HEADER_ROWS}")
-    last = max(rows)
-    out = []
-    for r in range(HEADER_ROWS + 1, last + 1):
-        vals = rows.get(r, [None] * n_cols)
-        if any(v is not None for v in vals):
-            out.append(vals)
-    return out
+    with zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source) as z:
+        events = _SheetEvents(n_cols, _shared_strings(z))
+        last, named = 0, False
+        for _ in _fed(z, _sheet_path(z, sheet), events.start, events.end, events.text):
+            for number, wide, values in events.rows:
+                if number <= last:
+                    raise ValueError(f"row {number} comes after row {last}")
+                last = number
+                if wide > n_cols or number == HEADER_ROWS and wide != n_cols:
+                    raise ValueError(f"row {number} has {wide} columns, the layout has {n_cols}")
+                if number == HEADER_ROWS:
+                    named = True
+                elif number > HEADER_ROWS:
+                    if not named:
+                        raise ValueError(f"no column names in row {HEADER_ROWS}")
+                    if any(v is not None for v in values):
+                        yield values
+            events.rows.clear()
+        if not named:
+            raise ValueError(f"no column names in row {HEADER_ROWS}")
+
+
+def parse_workbook(content: bytes, n_cols: int, sheet: str = SHEET) -> list[list]:
+    """All rows of ``iter_rows``."""
+    return list(iter_rows(content, n_cols, sheet))
 
 
 def _convert(value, dtype: T.DataType):
@@ -161,16 +263,17 @@ def parse_files(files: DataFrame, layout: str = "A") -> DataFrame:
     def parse(batches):
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
+                stem = posixpath.splitext(posixpath.basename(p))[0]
                 try:
-                    rows = parse_workbook(bytes(content), len(names))
+                    rows = enumerate(iter_rows(bytes(content), len(names)), start=1)
+                    # One chunk of a workbook at a time leaves the task.
+                    while chunk := list(islice(rows, CHUNK_ROWS)):
+                        yield pd.DataFrame.from_records(
+                            [[*(_convert(v, f.dataType) for v, f in zip(vals, schema.fields)), p, stem, i]
+                             for i, vals in chunk],
+                            columns=[*names, "Path", "Batch", "RowIndex"])
                 except Exception as e:
                     raise ValueError(f"{p}: {e}") from e
-                stem = posixpath.splitext(posixpath.basename(p))[0]
-                # One workbook at a time leaves the task.
-                yield pd.DataFrame.from_records(
-                    [[*(_convert(v, f.dataType) for v, f in zip(vals, schema.fields)), p, stem, i]
-                     for i, vals in enumerate(rows, start=1)],
-                    columns=[*names, "Path", "Batch", "RowIndex"])
 
     return files.select("path", "content").mapInPandas(parse, out_schema)
 
@@ -209,4 +312,4 @@ def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 __all__ = ["read_workbooks", "parse_files", "to_runs", "to_batches", "write_runs", "read_runs",
-           "parse_workbook", "LAYOUTS"]
+           "iter_rows", "parse_workbook", "LAYOUTS"]

@@ -133,3 +133,30 @@ def test_stored_runs_parse_each_file_once(spark, tmp_path, monkeypatch):
     runs, batches = workbook.read_runs(spark, str(tmp_path / "out"))
     got = BatchPipeline(runs, batches).samples.collect()
     assert parsed.value == 1 and [round(r.TC_Conc_Uncorrected, 9) for r in got] == [5.0]
+
+
+def test_long_sheet_in_bounded_memory(tmp_path):
+    """A sheet of many rows is parsed as a stream: what is held at once is far
+    below its size, and the rows are those of the whole."""
+    import tracemalloc
+
+    names = [n for n, _ in LAYOUTS["A"]]
+    rows = [["Batch export"], names] + [[f"S{i}", "Sample", *([float(i)] * 24)] for i in range(20_000)]
+    write_xlsx(tmp_path / "Long.xlsx", rows)
+    content = (tmp_path / "Long.xlsx").read_bytes()
+    tracemalloc.start()
+    n = 0
+    for n, row in enumerate(workbook.iter_rows(content, 26), start=1):
+        assert row[0] == f"S{n - 1}" and row[25] == n - 1
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and held < 12 << 20 < len(content)
+
+
+def test_stream_reports_bad_sheets(tmp_path):
+    names = [n for n, _ in LAYOUTS["A"]]
+    for sheet, rows, message in (("Sheet1", [["x"]], "no column names"), ("Other", [["x"], names], "not found")):
+        write_xlsx(tmp_path / "Bad.xlsx", rows, sheet)
+        with pytest.raises(ValueError, match=message):
+            workbook.parse_workbook((tmp_path / "Bad.xlsx").read_bytes(), 26)
+
