@@ -7,19 +7,18 @@ order, file name ``<batch> Result.csv``.
 
 Spark writes a folder per batch (``batch=<batch> Result/BatchID=<id>``) holding
 the part files in acquisition order; a batch larger than one task spans several
-part files, the first of which starts with the header line.
+part files, the first of which starts with the header line. For one file per
+batch see ``result_files``.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calibrix.sources.methods import RESULT_COLUMNS
-
-BOM = "﻿"
-NA = "NA"
+from calibrix.sources.result_files import BOM, NA, result_schema, typed_batches
 
 
 def format_number(x) -> Column:
@@ -92,32 +91,19 @@ def write_results(finalized: DataFrame, out_dir: str) -> None:
          .partitionBy("batch", "BatchID").text(f"{out_dir.rstrip('/')}/method={method_id}"))
 
 
-def result_schema(method_id: int) -> T.StructType:
-    """Declared schema of one method's result file (numbers as doubles)."""
-    conc, factor, reported = RESULT_COLUMNS[method_id]
-    fields = [T.StructField("Batch", T.StringType()), T.StructField("SampleID", T.StringType()),
-              T.StructField("IS_Recovery", T.DoubleType()), T.StructField(conc, T.DoubleType())]
-    if factor is not None:
-        fields += [T.StructField(factor, T.DoubleType()), T.StructField(reported, T.DoubleType())]
-    return T.StructType(fields)
-
-
 def read_results(spark: SparkSession, path: str, method_id: int) -> DataFrame:
-    """Read result files back under the declared schema. Header lines are
-    skipped; an unquoted ``NA`` is missing, a quoted one is text. Lines are read
-    one by one: an ID with a line break in it does not come back whole."""
+    """Read result files back under the declared schema, record by record: a
+    quoted field may hold line breaks. Header lines are skipped; an unquoted
+    ``NA`` is missing, a quoted one is text. A task holds one part file."""
     schema = result_schema(method_id)
-    text = spark.read.option("recursiveFileLookup", True).text(path)
-    text = text.filter(~F.col("value").startswith(BOM) & (F.col("value") != ",".join(schema.names)))
-    field = '("(?:[^"]|"")*"|[^,]*)'
-    pattern = "^" + ",".join([field] * len(schema)) + "$"
-    cols = []
-    for i, f in enumerate(schema.fields, start=1):
-        raw = F.regexp_extract("value", pattern, i)
-        quoted = raw.startswith('"')
-        bare = F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))
-                      ).when(raw == NA, F.lit(None).cast("string")).otherwise(raw)
-        if isinstance(f.dataType, T.DoubleType):
-            bare = F.when(bare == "Inf", F.lit("Infinity")).when(bare == "-Inf", F.lit("-Infinity")).otherwise(bare)
-        cols.append(bare.cast(f.dataType).alias(f.name))
-    return text.select(*cols)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+    def parse(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    yield from typed_batches(pa.BufferReader(content.as_buffer()), schema)
+                except ValueError as e:
+                    raise ValueError(f"{name}: {e}") from e
+
+    return files.select("path", "content").mapInArrow(parse, schema)

@@ -1,25 +1,14 @@
-"""Result files: the last step of the scripts replayed from their own outputs.
-
-The method scripts' own result files (one per method, named
-``<method file name> Result.csv``) are read from the folder named by
-``CALIBRIX_GOLDEN_DIR``. Their (Batch, SampleID, IS_Recovery, concentration)
-columns go through the engine's unit step and CSV writer; the written file
-must equal the original line by line (BOM and header as text, numbers as the
-same doubles).
-"""
+"""Result files as part files of a folder per batch (byte equality with the
+scripts' own files: ``test_result_files``)."""
 
 import glob
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from calibrix.operators.results import with_units
 from calibrix.sources import results_csv
-from calibrix.sources.methods import METHODS, RESULT_COLUMNS
-
-GOLDEN = os.environ.get("CALIBRIX_GOLDEN_DIR", "")
-FILES = {m[0]: os.path.join(GOLDEN, f"{m[1]} Result.csv") for m in METHODS}
+from calibrix.sources.methods import METHODS
 
 
 def final_rows(spark, method_id, bid, label, ids, conc=1.5):
@@ -47,7 +36,7 @@ def test_writes_leave_other_results_alone(spark, tmp_path):
     assert [(r[1], r[3]) for r in read_back(spark, out, 0)] == [("a3", 2.0), ("other folder", 1.5), ("c1", 1.5)]
 
 
-@pytest.mark.parametrize("method_id", sorted(FILES))
+@pytest.mark.parametrize("method_id", [m[0] for m in METHODS])
 def test_text_comes_back_unchanged(spark, tmp_path, method_id):
     ids = [" a\"b,c ", "NA", None, "", "plain", "Ünï", '"', "a b", "tab\t"]
     out = str(tmp_path / "out")
@@ -59,39 +48,6 @@ def test_text_comes_back_unchanged(spark, tmp_path, method_id):
     assert lines[1].startswith('"x, y"," a""b,c ",100,1.5') and '"NA"' in lines[2] and ",NA,100" in lines[3]
 
 
-@pytest.mark.parametrize("method_id", sorted(FILES))
-def test_golden_tail(spark, tmp_path, method_id):
-    path = FILES[method_id]
-    if not GOLDEN or not os.path.exists(path):
-        pytest.skip("set CALIBRIX_GOLDEN_DIR to the folder of the method result files")
-    m = [x for x in METHODS if x[0] == method_id][0]
-    conc = RESULT_COLUMNS[method_id][0]
-    golden = results_csv.read_results(spark, path, method_id)
-    df = golden.select(
-        F.lit(1).cast("long").alias("BatchID"),
-        F.monotonically_increasing_id().alias("RowIndex"),
-        F.lit(method_id).alias("method_id"), F.lit(m[6]).alias("unit_mode"),
-        F.lit(m[4]).alias("extract_vol"), F.lit(m[5]).cast("double").alias("dilution_fac"),
-        F.col("Batch").alias("batch_label"), "Batch", "SampleID", "IS_Recovery",
-        F.col(conc).alias("Concentration")).coalesce(1)
-    res = with_units(df)
-    out = str(tmp_path / "out")
-    results_csv.write_results(res.coalesce(1), out)
-    written = glob.glob(f"{out}/method={method_id}/batch=*/BatchID=*/*.txt")
-    assert len(written) == 1
-    got = open(written[0], encoding="utf-8").read().splitlines()
-    exp = open(path, encoding="utf-8").read().splitlines()
-    assert got[0] == exp[0]  # BOM + header
-    assert len(got) == len(exp)
-    for g, e in zip(got[1:], exp[1:]):
-        gf, ef = g.split(","), e.split(",")
-        assert gf[:2] == ef[:2]
-        # Same double; the text may differ where the original writer fell
-        # back from the shortest form to 17 significant digits.
-        assert [float(x) for x in gf[2:]] == [float(x) for x in ef[2:]]
-
-
-
 def test_format_number(spark):
     df = spark.createDataFrame([(3.0,), (105.0,), (36.99415872286471,), (None,),
                                 (float("inf"),), (1e-05,), (-2.5,)], "x double")
