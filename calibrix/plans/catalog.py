@@ -609,3 +609,54 @@ FROM grid g LEFT JOIN sol s ON g.BatchID = s.BatchID AND g.j = s.j""",
     _ORDER_CTE + "," + _TREND_CTE))
 def q_recovery_trend(spark, sf_dir):
     return trend.recovery_trend(quantify.uncorrected_recovery(tables(spark, sf_dir)[0]))
+
+
+_CURVE_CTE = """
+cells AS (
+  SELECT BatchID, CAST(1 AS BIGINT) AS lo, m AS hi,
+         greatest(1, CAST(floor(m * (0.75e0 * 0.2e0)) AS BIGINT)) AS most FROM st
+  UNION ALL
+  SELECT BatchID, CASE WHEN h.k = 0 THEN lo ELSE (lo + hi) // 2 + 1 END AS lo,
+         CASE WHEN h.k = 0 THEN (lo + hi) // 2 ELSE hi END AS hi, most
+  FROM cells, (VALUES (0), (1)) AS h(k) WHERE hi - lo >= most),
+cuts AS (SELECT c.BatchID, (p.x + n.x) / 2 AS v
+         FROM cells c JOIN ranked p ON p.BatchID = c.BatchID AND p.r = c.hi
+                      JOIN ranked n ON n.BatchID = c.BatchID AND n.r = c.hi + 1
+         WHERE hi - lo < most),
+mu AS (SELECT BatchID, xmin, xmax,
+              0.005e0 * greatest(xmax - xmin, greatest(abs(xmin), abs(xmax)) * 1e-3 + 1e-30) AS mu FROM st),
+vert AS (SELECT BatchID, v, CAST(row_number() OVER (PARTITION BY BatchID ORDER BY v) AS INTEGER) AS j
+         FROM (SELECT BatchID, v FROM cuts UNION ALL SELECT BatchID, xmin - mu FROM mu
+               UNION ALL SELECT BatchID, xmax + mu FROM mu) AS u),
+vdist AS (SELECT t.BatchID, t.j, t.v, st.q, p.x, p.y, abs(p.x - t.v) AS d,
+                 row_number() OVER (PARTITION BY t.BatchID, t.j ORDER BY abs(p.x - t.v), p.x) AS rk
+          FROM vert t JOIN st ON t.BatchID = st.BatchID JOIN pts p ON t.BatchID = p.BatchID),
+vh AS (SELECT BatchID, j, max(d) AS h FROM vdist WHERE rk <= q GROUP BY BatchID, j),
+vu AS (SELECT t.BatchID, t.j, t.y, h.h, (t.x - t.v) / h.h AS u
+       FROM vdist t JOIN vh h ON t.BatchID = h.BatchID AND t.j = h.j WHERE h.h > 0 AND t.rk <= t.q),
+vw AS (SELECT *, CASE WHEN abs(u) < 1.0 THEN pow(1.0 - abs(u) * abs(u) * abs(u), 3) ELSE 0.0 END AS w FROM vu),
+vmom AS (SELECT BatchID, j, max(h) AS h, sum(w) AS S0, sum(w * u) AS S1, sum(w * u * u) AS S2,
+                sum(w * u * u * u) AS S3, sum(w * u * u * u * u) AS S4,
+                sum(w * y) AS T0, sum(w * u * y) AS T1, sum(w * u * u * y) AS T2 FROM vw GROUP BY BatchID, j),
+vdet AS (SELECT *, S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2) AS det FROM vmom),
+vfit AS (SELECT t.BatchID, t.j, t.v,
+                (T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2)) / det AS g,
+                (S0 * (T1 * S4 - S3 * T2) - T0 * (S1 * S4 - S3 * S2) + S2 * (S1 * T2 - T1 * S2)) / det / h AS d
+         FROM vert t LEFT JOIN (SELECT * FROM vdet WHERE S0 > 0 AND det > 1e-10 * S0 * S0 * S0) f
+              ON t.BatchID = f.BatchID AND t.j = f.j),
+iv AS (SELECT BatchID, v AS v0, g AS g0, d AS d0, lead(v) OVER w AS v1, lead(g) OVER w AS g1, lead(d) OVER w AS d1
+       FROM vfit WINDOW w AS (PARTITION BY BatchID ORDER BY j)),
+cz AS (SELECT g.BatchID, g.j, g.v, iv.*  EXCLUDE (BatchID), (g.v - v0) / (v1 - v0) AS t
+       FROM grid g JOIN iv ON g.BatchID = iv.BatchID AND g.v > v0 AND g.v <= v1)
+"""
+
+
+@register("recovery_curve", S.with_base("""
+SELECT BatchID, CAST(j + 1 AS BIGINT) AS grid_index, v AS "Order",
+       (1 - t) * (1 - t) * (1 + 2 * t) * g0 + t * t * (3 - 2 * t) * g1
+       + (t * (1 - t) * (1 - t) * d0 - t * t * (1 - t) * d1) * (v1 - v0) AS IS_Recovery_Curve
+FROM cz""", _ORDER_CTE + "," + _TREND_CTE + ",ranked AS (SELECT BatchID, x, "
+    "row_number() OVER (PARTITION BY BatchID ORDER BY x) AS r FROM pts)," + _CURVE_CTE)
+    .replace("WITH ", "WITH RECURSIVE ", 1))
+def q_recovery_curve(spark, sf_dir):
+    return trend.recovery_curve(quantify.uncorrected_recovery(tables(spark, sf_dir)[0]))
