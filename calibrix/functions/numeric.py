@@ -9,7 +9,7 @@ every NaN into NULL where it is created. After that all logic is NULL logic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -87,18 +87,63 @@ def accuracy_pct(measured, target) -> Column:
     return nan_null(F.abs(ieee_div(m - t, t) * 100 - 100))
 
 
+# 2^27 + 1 splits a double into two halves whose products are exact.
+_SPLIT = 134217729.0
+# From here on every double is a whole number.
+_WHOLE = float(1 << 52)
+
+
+def _product_error(a: Column, b: Column, product: Column) -> Column:
+    """a * b - product without a rounding error (Dekker's exact product)."""
+    def halves(x):
+        high = F.lit(_SPLIT) * x - (F.lit(_SPLIT) * x - x)
+        return high, x - high
+
+    ah, al = halves(a)
+    bh, bl = halves(b)
+    return ((ah * bh - product) + ah * bl + al * bh) + al * bl
+
+
+def _nearest_whole(p: Column, error: Column) -> Column:
+    """The whole number nearest to p + error, ties to even; ``error`` is what p
+    lost in rounding, so it only matters where p is halfway."""
+    return (F.when(F.abs(p) - F.floor(F.abs(p)) == 0.5, F.when(error > 0, F.ceil(p).cast("double"))
+                   .when(error < 0, F.floor(p).cast("double")).otherwise(F.rint(p)))
+            .otherwise(F.rint(p)))
+
+
 def round_half_even(x, digits: int = 0) -> Column:
-    """R's round(): ties to even (Spark's round() rounds ties up)."""
-    return F.bround(_c(x), digits)
+    """R's round(): to the nearer of the two neighbouring decimals by the exact
+    (binary) value of x, ties to even. 2.675 lies below its tie and gives 2.67;
+    ``bround`` goes by the shortest decimal text and gives 2.68."""
+    x = _c(x)
+    scale = F.lit(10.0 ** digits)
+    p = x * scale
+    rounded = _nearest_whole(p, _product_error(x, scale, p)) / scale
+    return F.when(F.abs(p) < _WHOLE, rounded).otherwise(x)
 
 
-def signif(x, digits: int) -> Column:
-    """R's signif(x, digits): round to ``digits`` significant digits, ties to even.
+def with_signif(df: DataFrame, values: dict[str, tuple[str, int]]) -> DataFrame:
+    """``df`` with R's signif(x, digits) of columns x: name -> (x, digits). Rounds
+    to so many significant digits by the exact value of x, ties to even; 0 stays
+    0, NULL and infinities pass through.
 
-    0 stays 0, NULL and infinities pass through.
+    The parts are columns of their own, step by step: as one expression each
+    would hold copies of all before it.
     """
-    x = _c(x)
-    k = F.floor(F.log10(F.abs(x))) - F.lit(digits - 1)
-    scale = F.pow(F.lit(10.0), -k)
-    rounded = F.bround(x * scale, 0) / scale
-    return F.when(x == 0, F.lit(0.0)).when(is_infinite(x), x).otherwise(rounded)
+    part = {n: tuple(f"_signif_{i}_{c}" for c in "kudpqb") for i, n in enumerate(values)}
+    steps = [lambda x, d, k, *_: {k: F.floor(F.log10(F.abs(x))) - F.lit(d - 1)},
+             lambda x, d, k, u, w, *_: {u: F.pow(F.lit(10.0), -F.col(k)), w: F.pow(F.lit(10.0), F.col(k))},
+             lambda x, d, k, u, w, p, q, b: {p: F.col(x) * F.col(u), q: F.col(x) / F.col(w)},
+             lambda x, d, k, u, w, p, q, b: {b: F.col(q) * F.col(w)}]
+    out = df
+    for step in steps:
+        out = out.withColumns({c: e for n, (x, d) in values.items() for c, e in step(x, d, *part[n]).items()})
+    for n, (x, _) in values.items():
+        k, u, w, p, q, b = map(F.col, part[n])
+        small = _nearest_whole(p, _product_error(F.col(x), u, p)) / u
+        # What the quotient lost: the sign of x - q * 10^k, found exactly.
+        large = _nearest_whole(q, (F.col(x) - b) - _product_error(q, w, b)) * w
+        out = out.withColumn(n, F.when(F.col(x) == 0, F.lit(0.0)).when(is_infinite(x), F.col(x))
+                             .when(k > 0, large).otherwise(small))
+    return out.drop(*(c for cs in part.values() for c in cs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrix.functions.numeric import round_half_even, signif
+from calibrix.functions.numeric import round_half_even, with_signif
 
 # Significant digits printed for r^2 and for the mean recovery.
 R2_DIGITS, RECOVERY_DIGITS = 4, 2
@@ -64,10 +64,9 @@ def result_report(finalized: DataFrame) -> DataFrame:
 
 def fit_report(summary: DataFrame, means: DataFrame) -> DataFrame:
     """Per batch: r^2 of each line to 4 significant digits, mean recovery to 2."""
-    s = summary.join(means.select("BatchID", "mean_is_recovery"), "BatchID", "left")
-    return s.select(
-        "BatchID",
-        signif("r_squared", R2_DIGITS).alias("r_squared"),
-        signif("r_squared_1", R2_DIGITS).alias("r_squared_set1"),
-        signif("r_squared_2", R2_DIGITS).alias("r_squared_set2"),
-        signif("mean_is_recovery", RECOVERY_DIGITS).alias("mean_is_recovery"))
+    s = summary.join(means.select("BatchID", "mean_is_recovery"), "BatchID", "left").select(
+        "BatchID", F.col("r_squared").alias("_r0"), F.col("r_squared_1").alias("_r1"), F.col("r_squared_2").alias("_r2"),
+        F.col("mean_is_recovery").alias("_mean"))
+    return with_signif(s, {
+        "r_squared": ("_r0", R2_DIGITS), "r_squared_set1": ("_r1", R2_DIGITS), "r_squared_set2": ("_r2", R2_DIGITS),
+        "mean_is_recovery": ("_mean", RECOVERY_DIGITS)}).drop("_r0", "_r1", "_r2", "_mean")

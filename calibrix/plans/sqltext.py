@@ -70,10 +70,17 @@ def zero_rule(v: str) -> str:
 
 
 def bround(x: str, d: int) -> str:
-    """Half-to-even on the shortest decimal form of the double (Spark's bround)."""
-    v = f"CAST({x} AS DOUBLE)"
-    return (f"(CASE WHEN isinf({v}) OR abs({v}) >= 1e15 THEN {v} ELSE CAST(round_even("
-            f"CAST(CAST({v} AS VARCHAR) AS DECIMAL(38, 18)), {d}) AS DOUBLE) END)")
+    """Nearest decimal by the exact value of the double, ties to even. A tie of
+    the scaled value p is decided by what p lost: v * 10^d - p, from v in two
+    halves whose products are exact."""
+    s = f"1e{d}"
+    high = "(134217729e0 * v - (134217729e0 * v - v))"
+    lost = f"(({high} * {s} - v * {s}) + (v - {high}) * {s})"
+    p = f"(v * {s})"
+    return (f"list_transform([CAST({x} AS DOUBLE)], lambda v: CASE WHEN abs({p}) >= 4503599627370496e0 THEN v "
+            f"WHEN abs({p} - trunc({p})) = 0.5e0 THEN (CASE WHEN {lost} > 0 THEN ceil({p}) "
+            f"WHEN {lost} < 0 THEN floor({p}) ELSE round_even({p}, 0) END) / {s} "
+            f"ELSE round({p}) / {s} END)[1]")
 
 
 SETS_BY_ACCURACY = """CASE WHEN Accuracy_Pct >= 110.0 OR Accuracy_Pct <= 90.0 THEN 1
