@@ -19,6 +19,8 @@ CAL, SAMPLE = "Cal", "Sample"
 SET1, SET2 = 1, 2
 # The accuracy window (percent) that separates the two sets.
 ACC_HIGH, ACC_LOW = 110.0, 90.0
+# Fixed value: the linear model's tolerance for a collinear column.
+RANK_TOL = 1e-7
 
 
 def calibrators(runs: DataFrame, batches: DataFrame) -> DataFrame:
@@ -61,17 +63,22 @@ def line_fit_result(prefix: str, out: str) -> list[Column]:
     """slope, intercept, r_squared from the moments of ``line_fit_aggs``.
 
     * no usable pair or a non-finite one: everything NULL (the model fails);
-    * one point or constant x: slope NULL, intercept = mean(y), r^2 0
-      (NULL when y is constant too) -- the coefficient is not estimable;
+    * one point, or constant or nearly constant x: slope NULL, intercept =
+      mean(y), r^2 0 (NULL when y is constant too) -- the coefficient is not
+      estimable. The model's pivoted QR leaves x out where its norm, swept of the
+      mean, is below ``RANK_TOL`` of its norm; with n points these are
+      sqrt(n vx) and sqrt(n (vx + mx^2));
     * constant y with varying x: slope 0, r^2 NULL (0/0).
     """
     n, bad = F.col(f"{prefix}n"), F.col(f"{prefix}nonfinite")
     vx, vy, cxy = F.col(f"{prefix}vx"), F.col(f"{prefix}vy"), F.col(f"{prefix}cxy")
     usable = (n > 0) & (bad == 0)
-    slope = F.when(usable & (vx > 0), cxy / vx)
-    intercept = F.when(usable, F.col(f"{prefix}my") - F.coalesce(slope, F.lit(0.0)) * F.col(f"{prefix}mx"))
+    mx = F.col(f"{prefix}mx")
+    varies = (vx > 0) & (vx >= RANK_TOL**2 * (vx + mx * mx))
+    slope = F.when(usable & varies, cxy / vx)
+    intercept = F.when(usable, F.col(f"{prefix}my") - F.coalesce(slope, F.lit(0.0)) * mx)
     r2 = F.when(usable & (vy > 0),
-                F.when(vx > 0, cxy * cxy / (vx * vy)).otherwise(F.lit(0.0)))
+                F.when(varies, cxy * cxy / (vx * vy)).otherwise(F.lit(0.0)))
     return [nan_null(slope).alias(f"slope{out}"), nan_null(intercept).alias(f"intercept{out}"),
             nan_null(r2).alias(f"r_squared{out}"), n.alias(f"n_fit{out}")]
 

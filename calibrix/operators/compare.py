@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.functions.numeric import ieee_div, nan_null
+from calibrix.functions.sequence import sequence_within
+from calibrix.session import materialize
 
 KEYS = ("BatchID", "SampleID")
 
@@ -50,12 +52,16 @@ def full_join_by_sample(left: DataFrame, right: DataFrame,
     For tables supplied separately (e.g. vendor results exported on their own).
     The n-th row of a key meets the n-th row of the same key on the other side
     (in the order of ``order``, a column of both, or of the rows' values), so k
-    missing or repeated IDs give k rows, never k * k. Numbering sorts the rows
-    of one sample ID, not of a batch.
+    missing or repeated IDs give k rows, never k * k. All missing IDs of a batch
+    are one key: its rows are ranged by the order over many tasks, numbered
+    inside each range and moved up by the ranges before (``sequence_within``),
+    so no task numbers a key alone. Rows equal in every column stay together.
     """
     def numbered(df: DataFrame) -> DataFrame:
         by = [order] if order else sorted(c for c in df.columns if c not in keys) or list(keys)
-        return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+        ranged = df.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
+        # Written once: the ranges are then the same for all that reads them.
+        return sequence_within(materialize(ranged), keys, by, "_nth", [F.col("_range")])
 
     l_ = numbered(left).alias("_l")
     r_ = numbered(right).alias("_r")

@@ -47,10 +47,11 @@ def fit_moments(x: str, y: str, p: str, where: str | None = None) -> str:
 
 def fit_result(p: str, out: str) -> str:
     usable = f"({p}n > 0 AND {p}nonfinite = 0)"
-    slope = f"(CASE WHEN {usable} AND {p}vx > 0 THEN {p}cxy / {p}vx END)"
+    varies = f"({p}vx > 0 AND {p}vx >= 1e-14 * ({p}vx + {p}mx * {p}mx))"
+    slope = f"(CASE WHEN {usable} AND {varies} THEN {p}cxy / {p}vx END)"
     intercept = f"(CASE WHEN {usable} THEN {p}my - coalesce({slope}, 0.0) * {p}mx END)"
     r2 = (f"(CASE WHEN {usable} AND {p}vy > 0 THEN "
-          f"(CASE WHEN {p}vx > 0 THEN {p}cxy * {p}cxy / ({p}vx * {p}vy) ELSE 0.0 END) END)")
+          f"(CASE WHEN {varies} THEN {p}cxy * {p}cxy / ({p}vx * {p}vy) ELSE 0.0 END) END)")
     return ",\n  ".join([f"{nan_null(slope)} AS slope{out}",
                          f"{nan_null(intercept)} AS intercept{out}",
                          f"{nan_null(r2)} AS r_squared{out}",

@@ -81,3 +81,21 @@ def test_duplicates(spark):
                                           (1, 11, None, "Sample", None, 1.0, 1.0, None)])
     got = {(r.SampleID, r.n) for r in gates.duplicate_samples(runs).collect()}
     assert got == {("S1", 2), (None, 2)}
+
+
+@pytest.mark.parametrize("spread, fits", [(1e-9, False), (0.9e-7, False), (3e-7, True), (1e-3, True), (0.0, False)])
+def test_nearly_constant_concentrations_refuse_the_slope(spark, spread, fits):
+    """The linear model leaves x out below a relative spread of 1e-7 (norm of
+    x about its mean against its norm)."""
+    rows = [(1, i + 1, f"C{i}", "Cal", 50.0 * (1 + spread * z), 1000.0 * (2 + i), 1000.0, None)
+            for i, z in enumerate([-1.0, 1.0, -1.0, 1.0])]
+    runs = runs_df(spark, rows + [(1, 9, "S1", "Sample", None, 500.0, 1000.0, 1.0)])
+    p = BatchPipeline(runs, batches_df(spark, {1: 1}))
+    s = p.summary.collect()[0]
+    st = gates.batch_status(p.summary, gates.sample_counts(runs)).collect()[0]
+    assert (s.slope is not None) == fits
+    if fits:
+        assert st.status == "ok" and s.r_squared > 0
+    else:
+        assert st.status == "degenerate_fit" and s.intercept == pytest.approx(3.5) and s.r_squared == 0.0
+        assert p.samples.collect()[0].TC_Conc_Uncorrected is None
