@@ -95,6 +95,12 @@ def fit_calibration(cal: DataFrame) -> DataFrame:
                       "n_calibrators")
 
 
+def batch_lines(runs: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row per batch: its parameters and the fit over all its calibrators."""
+    return batches.select("BatchID", "intstd_conc", "conc_digits").join(
+        fit_calibration(calibrators(runs, batches)), "BatchID", "left")
+
+
 FIT0_COLUMNS = ("slope", "intercept", "r_squared", "n_fit", "n_nonfinite", "mean_is_response",
                 "n_calibrators")
 

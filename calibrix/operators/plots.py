@@ -10,42 +10,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrix.functions.numeric import accuracy_pct, ieee_div, inverse_predict
 from calibrix.functions.sequence import rank_positions
-from calibrix.operators.calibration import SET1, SET2
-from calibrix.operators.quantify import SET_LABEL
+from calibrix.operators.calibration import (CAL, SAMPLE, SET1, SET2, assign_cal_set, assign_cal_set_by_conc,
+                                            samples)
+from calibrix.operators.quantify import SET_LABEL, batch_means, route_samples, uncorrected
+from calibrix.session import materialize
 
 LOW_END_POINTS = 4  # fixed value: calibrators shown in the low-end plot
 
 
-def calibration_points(scored: DataFrame, q: DataFrame) -> DataFrame:
-    """Samples (at their back-calculated ratio) and calibrators, with the line."""
-    smp = q.select("BatchID", "RowIndex", F.lit("Sample").alias("Category"),
-                   F.col("Conc_Ratio_Uncorrected").alias("Conc_Ratio"), "Response_Ratio",
-                   "intercept", "slope")
-    cal = scored.select("BatchID", "RowIndex", F.lit("Calibration").alias("Category"),
-                        "Conc_Ratio", "Response_Ratio", "intercept", "slope")
-    return smp.unionByName(cal)
+def calibration_points(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Samples (at their back-calculated ratio) and calibrators, with the line.
+    ``lines``: ``calibration.batch_lines``, which both types meet in one join."""
+    kind = F.when(F.col("Type") == SAMPLE, "Sample").when(F.col("Type") == CAL, "Calibration")
+    rows = runs.filter(F.col("Type").isin(SAMPLE, CAL)).withColumn(
+        "Response_Ratio", ieee_div("TC_Response", "IS_Response")).join(lines, "BatchID", "left")
+    ratio = F.when(F.col("Type") == SAMPLE, F.col("Conc_Ratio_Uncorrected")).otherwise(ieee_div("TC_Conc", "intstd_conc"))
+    return uncorrected(rows).select("BatchID", "RowIndex", kind.alias("Category"), ratio.alias("Conc_Ratio"),
+                                    "Response_Ratio", "intercept", "slope")
 
 
-def calibration_points_by_set(scored: DataFrame, q: DataFrame, summary: DataFrame) -> DataFrame:
+def calibration_points_by_set(runs: DataFrame, summary: DataFrame, split_at: float | None = None) -> DataFrame:
     """Per set: its samples (back-calculated before the zero rule), its
-    calibrators, and the set's line."""
-    coef = summary.select("BatchID", "intercept_1", "slope_1", "intercept_2", "slope_2")
-    s = F.col("cal_set")
+    calibrators, and the set's line. Both types meet the summary in one join;
+    a calibrator's set follows from its batch's fit, as in ``batch_fits``."""
+    own = summary.select("BatchID", "intstd_conc", "intercept", "slope", "selection_value",
+                         "intercept_1", "slope_1", "intercept_2", "slope_2")
+    rows = runs.filter(F.col("Type").isin(SAMPLE, CAL)).withColumn(
+        "Response_Ratio", ieee_div("TC_Response", "IS_Response")).join(own, "BatchID", "left")
+    if split_at is None:
+        measured = inverse_predict("Response_Ratio", "intercept", "slope", "intstd_conc")
+        rows = assign_cal_set(rows.withColumn("_acc", accuracy_pct(measured, "TC_Conc")), "_acc")
+    else:
+        rows = assign_cal_set_by_conc(rows, split_at)
+    is_sample, s = F.col("Type") == SAMPLE, F.col("cal_set")
+    routed = route_samples(rows.withColumnRenamed("cal_set", "_own_set")).withColumn(
+        "cal_set", F.when(is_sample, s).otherwise(F.col("_own_set"))).filter(s.isNotNull())
 
     def pick(name):
         return F.when(s == SET1, F.col(f"{name}_1")).when(s == SET2, F.col(f"{name}_2"))
 
-    label = F.when(s == SET1, F.lit(SET_LABEL[SET1])).when(s == SET2, F.lit(SET_LABEL[SET2]))
-    smp = q.filter(s.isNotNull()).select(
-        "BatchID", "RowIndex", label.alias("Set"), F.lit("Sample").alias("Category"),
-        F.col("Measured_Conc_Ratio_Corrected").alias("Conc_Ratio"), "Response_Ratio",
+    back = ieee_div(inverse_predict("Response_Ratio", pick("intercept"), pick("slope"), "intstd_conc"), "intstd_conc")
+    return routed.select(
+        "BatchID", "RowIndex", F.when(s == SET1, F.lit(SET_LABEL[SET1])).otherwise(F.lit(SET_LABEL[SET2])).alias("Set"),
+        F.when(is_sample, "Sample").otherwise("Calibration").alias("Category"),
+        F.when(is_sample, back).otherwise(ieee_div("TC_Conc", "intstd_conc")).alias("Conc_Ratio"), "Response_Ratio",
         pick("intercept").alias("intercept"), pick("slope").alias("slope"))
-    cal = scored.filter(s.isNotNull()).join(coef, "BatchID", "left").select(
-        "BatchID", "RowIndex", label.alias("Set"), F.lit("Calibration").alias("Category"),
-        "Conc_Ratio", "Response_Ratio", pick("intercept").alias("intercept"),
-        pick("slope").alias("slope"))
-    return smp.unionByName(cal)
 
 
 def low_end(cal: DataFrame, fit: DataFrame, n: int = LOW_END_POINTS) -> DataFrame:
@@ -67,12 +78,23 @@ def with_sample_order(q: DataFrame) -> DataFrame:
     return rank_positions(q, ["BatchID"], "RowIndex", "Order")
 
 
-def recovery_by_order(q_ordered: DataFrame, means: DataFrame) -> DataFrame:
-    return q_ordered.join(means.select("BatchID", "mean_is_recovery"), "BatchID", "left").select(
+def ordered_samples(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Samples with their position (numbered on the export's rows, before
+    anything is joined) and uncorrected results, written once: the rows of the
+    order plots and their batch means read it."""
+    rows = with_sample_order(samples(runs).select(
+        "BatchID", "RowIndex", "SampleID", "TC_Response", "IS_Response", "Response_Ratio"))
+    return materialize(uncorrected(rows.join(lines, "BatchID", "left")).select(
+        "BatchID", "SampleID", "Order", "IS_Recovery", "Measured_TC_Conc", "TC_Conc_Uncorrected"))
+
+
+def recovery_by_order(ordered: DataFrame) -> DataFrame:
+    """``ordered``: ``ordered_samples``."""
+    return ordered.join(batch_means(ordered).select("BatchID", "mean_is_recovery"), "BatchID", "left").select(
         "BatchID", "SampleID", "Order", "IS_Recovery", "mean_is_recovery")
 
 
-def conc_by_order(q_ordered: DataFrame, means: DataFrame) -> DataFrame:
-    return q_ordered.join(means.select("BatchID", "mean_tc_conc"), "BatchID", "left").select(
+def conc_by_order(ordered: DataFrame) -> DataFrame:
+    return ordered.join(batch_means(ordered).select("BatchID", "mean_tc_conc"), "BatchID", "left").select(
         "BatchID", "SampleID", "Order",
         F.col("TC_Conc_Uncorrected").alias("Measured_TC_Conc"), "mean_tc_conc")

@@ -33,6 +33,17 @@ def route_samples(df: DataFrame, threshold: str = "selection_value") -> DataFram
     return df.withColumn("cal_set", F.when(r <= t, F.lit(SET1)).when(r > t, F.lit(SET2)))
 
 
+def uncorrected(q: DataFrame) -> DataFrame:
+    """Concentration, ratio and recovery over the whole calibration of rows that
+    carry their batch's fit, before (Measured_*) and after the zero rule."""
+    return (q.withColumn("Measured_TC_Conc",
+                         inverse_predict("Response_Ratio", "intercept", "slope", "intstd_conc"))
+            .withColumn("Measured_Conc_Ratio", ieee_div("Measured_TC_Conc", "intstd_conc"))
+            .withColumn("IS_Recovery", recovery("IS_Response", "mean_is_response"))
+            .withColumn("TC_Conc_Uncorrected", zero_rule("Measured_TC_Conc"))
+            .withColumn("Conc_Ratio_Uncorrected", zero_rule("Measured_Conc_Ratio")))
+
+
 def quantify_samples(smp: DataFrame, summary: DataFrame) -> DataFrame:
     """Every sample with its uncorrected and corrected results.
 
@@ -42,13 +53,7 @@ def quantify_samples(smp: DataFrame, summary: DataFrame) -> DataFrame:
     Corrected (the sample's set): *_Corrected columns; Set is NULL for a sample
     routed to neither set, and all its corrected values are NULL.
     """
-    q = smp.join(summary, "BatchID", "left")
-    q = (q.withColumn("Measured_TC_Conc",
-                      inverse_predict("Response_Ratio", "intercept", "slope", "intstd_conc"))
-         .withColumn("Measured_Conc_Ratio", ieee_div("Measured_TC_Conc", "intstd_conc"))
-         .withColumn("IS_Recovery", recovery("IS_Response", "mean_is_response"))
-         .withColumn("TC_Conc_Uncorrected", zero_rule("Measured_TC_Conc"))
-         .withColumn("Conc_Ratio_Uncorrected", zero_rule("Measured_Conc_Ratio")))
+    q = uncorrected(smp.join(summary, "BatchID", "left"))
     q = route_samples(q)
 
     def by_set(col1: str, col2: str):

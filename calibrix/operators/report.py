@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrix.functions.numeric import round_half_even, with_signif
+from calibrix.functions.numeric import round_half_even, strict_mean, with_signif
+from calibrix.operators.quantify import recovery
 
 # Significant digits printed for r^2 and for the mean recovery.
 R2_DIGITS, RECOVERY_DIGITS = 4, 2
@@ -62,11 +63,18 @@ def result_report(finalized: DataFrame) -> DataFrame:
         round_half_even("Reported", 2).alias("Reported"))
 
 
-def fit_report(summary: DataFrame, means: DataFrame) -> DataFrame:
-    """Per batch: r^2 of each line to 4 significant digits, mean recovery to 2."""
-    s = summary.join(means.select("BatchID", "mean_is_recovery"), "BatchID", "left").select(
-        "BatchID", F.col("r_squared").alias("_r0"), F.col("r_squared_1").alias("_r1"), F.col("r_squared_2").alias("_r2"),
-        F.col("mean_is_recovery").alias("_mean"))
+def fit_report(summary: DataFrame, smp: DataFrame) -> DataFrame:
+    """Per batch: r^2 of each line to 4 significant digits, mean recovery to 2.
+
+    The samples meet the summary once and the mean's aggregate carries its
+    columns; a batch without samples keeps its row."""
+    rows = summary.select("BatchID", "mean_is_response", "r_squared", "r_squared_1", "r_squared_2").join(
+        smp.select("BatchID", "IS_Response", F.lit(True).alias("_sample")), "BatchID", "left")
+    rows = rows.withColumn("IS_Recovery", recovery("IS_Response", "mean_is_response"))
+    s = rows.groupBy("BatchID").agg(
+        *(F.any_value(c).alias(f"_{c}") for c in ("r_squared", "r_squared_1", "r_squared_2")),  # constant per batch
+        strict_mean("IS_Recovery", F.col("_sample").isNotNull()).alias("_mean"))
     return with_signif(s, {
-        "r_squared": ("_r0", R2_DIGITS), "r_squared_set1": ("_r1", R2_DIGITS), "r_squared_set2": ("_r2", R2_DIGITS),
-        "mean_is_recovery": ("_mean", RECOVERY_DIGITS)}).drop("_r0", "_r1", "_r2", "_mean")
+        "r_squared": ("_r_squared", R2_DIGITS), "r_squared_set1": ("_r_squared_1", R2_DIGITS),
+        "r_squared_set2": ("_r_squared_2", R2_DIGITS), "mean_is_recovery": ("_mean", RECOVERY_DIGITS)}).drop(
+        "_r_squared", "_r_squared_1", "_r_squared_2", "_mean")

@@ -440,16 +440,14 @@ def q_sample_order(spark, sf_dir):
     'SELECT o.BatchID, o.SampleID, o."Order", o.IS_Recovery, b.mean_is_recovery '
     'FROM ord o LEFT JOIN bm b ON o.BatchID = b.BatchID', _ORDER_CTE))
 def q_recovery_by_order(spark, sf_dir):
-    p = pipeline(spark, sf_dir)
-    return plots.recovery_by_order(plots.with_sample_order(p.samples), p.batch_means())
+    return plots.recovery_by_order(pipeline(spark, sf_dir).ordered_samples)
 
 
 @register("conc_by_order", S.with_base(
     'SELECT o.BatchID, o.SampleID, o."Order", o.TC_Conc_Uncorrected AS Measured_TC_Conc, '
     'b.mean_tc_conc FROM ord o LEFT JOIN bm b ON o.BatchID = b.BatchID', _ORDER_CTE))
 def q_conc_by_order(spark, sf_dir):
-    p = pipeline(spark, sf_dir)
-    return plots.conc_by_order(plots.with_sample_order(p.samples), p.batch_means())
+    return plots.conc_by_order(pipeline(spark, sf_dir).ordered_samples)
 
 
 @register("cal_low_end", S.with_base("""
@@ -469,8 +467,8 @@ UNION ALL
 SELECT BatchID, RowIndex, 'Calibration' AS Category, Conc_Ratio, Response_Ratio, intercept, slope
 FROM scored"""))
 def q_plot_points(spark, sf_dir):
-    p = pipeline(spark, sf_dir)
-    return plots.calibration_points(p.scored_calibrators, p.samples)
+    r, b = tables(spark, sf_dir)
+    return plots.calibration_points(r, cal_ops.batch_lines(r, b))
 
 
 @register("plot_points_by_set", S.with_base("""
@@ -487,7 +485,7 @@ SELECT c.BatchID, c.RowIndex, CASE WHEN c.cal_set = 1 THEN 'Set 1' ELSE 'Set 2'
 FROM scored c LEFT JOIN sets s ON c.BatchID = s.BatchID WHERE c.cal_set IS NOT NULL"""))
 def q_plot_points_by_set(spark, sf_dir):
     p = pipeline(spark, sf_dir)
-    return plots.calibration_points_by_set(p.scored_calibrators, p.samples, p.summary)
+    return plots.calibration_points_by_set(p.runs, p.summary, p.split_at)
 
 
 # --- report tables -------------------------------------------------------------
@@ -507,7 +505,7 @@ SELECT s.BatchID, {_sql_signif('s.r_squared', 4)} AS r_squared,
 FROM summary s LEFT JOIN bm b ON s.BatchID = b.BatchID""", _ORDER_CTE))
 def q_fit_report(spark, sf_dir):
     p = pipeline(spark, sf_dir)
-    return report.fit_report(p.summary, p.batch_means())
+    return report.fit_report(p.summary, cal_ops.samples(p.runs))
 
 
 def _sql_conc_round(x: str) -> str:

@@ -13,8 +13,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from calibrix.operators import compare, quantify, results
-from calibrix.operators.calibration import batch_fits, samples
+from calibrix.operators import compare, plots, quantify, results
+from calibrix.operators.calibration import batch_fits, batch_lines, samples
 from calibrix.session import split_hot_batches
 
 
@@ -60,3 +60,9 @@ class BatchPipeline:
 
     def batch_means(self) -> DataFrame:
         return quantify.batch_means(self.samples)
+
+    @cached_property
+    def ordered_samples(self) -> DataFrame:
+        """Samples by position with uncorrected results, written once for the
+        order plots (``plots.recovery_by_order``, ``plots.conc_by_order``)."""
+        return plots.ordered_samples(self.runs, batch_lines(self.runs, self.batches))
