@@ -1,32 +1,33 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set holds its distinct word shingles (64-bit hashes). Documents
-of equal sets form a class, so exact copies cost one grouped minimum. Of each
-class ``HASHES`` MinHash values are banded (``BANDS`` x ``ROWS``; a pair at the
-threshold 0.8 shares no band with probability 3e-6), and candidates meet in two
-rounds:
+of equal sets form a class, so exact copies cost one grouped minimum; a class
+has an 8-byte id from then on. Of each class ``HASHES`` MinHash values are banded
+(``BANDS`` x ``ROWS``; a pair at the threshold 0.8 shares no band with probability
+3e-6), and candidates meet in two rounds:
 
 1. in every band bucket, each member against the bucket's first class; then,
    where members of a bucket are still in different components, against the
    bucket's class with the most links (``HUBS`` times);
 2. in buckets that are still open, the members outside the first class's
-   component against all members of other components, in blocks. Buckets whose
-   first classes are in one component are taken together, so a member is sent
-   once and not once a bucket.
+   component against all members of other components, in blocks: first by their
+   signatures, which names the members with a plausible partner, then these by
+   their full sets. Buckets whose first classes are in one component are taken
+   together, so a member is sent once and not once a bucket.
 
 A comparison reads the signatures batch by batch and drops the pair once the
 posterior probability of reaching the threshold is under ``MISS``; survivors
 are confirmed on their full sets, rebuilt from the whole texts. In round 2 the
-sets meet inside the block, and a member stops at its first link to a
-component: what leaves a block is at most one link for each member and
-component, not the pairs. So a bucket of n copies
+sets meet inside the block, whose members and bytes are bounded, and a member
+stops at its first link to a component: what leaves a block is at most one link
+for each member and component, not the pairs. So a bucket of n copies
 that are alike costs n comparisons, and every pair of a bucket is either in one
 component or compared. Components are minimum labels.
 
 Cases: null, empty and word-less texts have an empty set and are linked with
-nothing; a text shorter than a shingle is one shingle; rows may repeat and ids
-may be null (a null id never names a component that has another); extra columns
-are ignored.
+nothing; a text shorter than a shingle is one shingle; a very long text is one
+row of its task and one set of a block; rows may repeat and ids may be null (a
+null id never names a component that has another); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.llm.components import components, merge
+from calibrix.llm.scratch import Scratch
 from calibrix.llm.text import batch_limits, lowered, mix, ngram_hash, owner_of, pieces, span_hash, word_bounds
-from calibrix.session import materialize
 
 WORDS = 5
 PERCENT = 80
@@ -52,8 +53,9 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 # Members of a bucket that one block of round 2 holds, of those asking and of
-# those asked.
+# those asked, and about the bytes of their sets.
 CHUNK = 2048
+BLOCK_BYTES = 8 << 20
 # Passes of round 1 against the most linked class of open buckets.
 HUBS = 2
 
@@ -165,10 +167,20 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint16).reshape(-1, HASHES)
 
 
+def class_table(sets: DataFrame) -> DataFrame:
+    """(id, c, first, rep_k, n, sig) per class; its first document is the row of
+    id ``first`` and text hash ``rep_k``."""
+    found = sets.filter("c is not null").groupBy("c").agg(
+        F.min("doc_id").alias("first"), F.coalesce(F.min_by("k", "doc_id"), F.max("k")).alias("rep_k"),
+        F.max("n").alias("n"), F.max("sig").alias("sig"))
+    # The id holds from when the table is written.
+    return found.select(F.monotonically_increasing_id().alias("id"), "c", "first", "rep_k", "n", "sig")
+
+
 def bayes_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the distinct candidate pairs that survive."""
-    left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
     def run(batches):
         for rows in batches:
@@ -178,14 +190,14 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
                                  col("na").to_numpy(), col("nb").to_numpy(), percent)
                 yield rows.select(["a", "b"]).take(pa.array(live))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(c, set) of the classes in ``wanted`` (c), from their first document's
-    whole text; written once."""
-    first = (wanted.join(classes.select("c", "first"), "c")
-             .select(F.col("first").alias("_id"), F.col("c").alias("_c")))
+    """(id, set) of the classes in ``wanted`` (id), from their first document's
+    whole text."""
+    first = wanted.join(classes, "id").select(F.col("id").alias("_class"), "c", F.col("first").alias("_id"),
+                                              F.col("rep_k").alias("_k"))
 
     def rebuild(batches):
         for rows, buf, off in pieces(batches, "text", 2 << 20):
@@ -194,15 +206,17 @@ def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int
             if not len(full):
                 continue
             dig = digests(g, np.append(first[:-1][full], len(g)))
-            want = rows.column(0).to_pylist()
-            got = [(want[i], g[first[i]:first[i + 1]].tobytes()) for i, d in zip(full, dig, strict=True)
+            owner, want = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            got = [(owner[i], g[first[i]:first[i + 1]].tobytes()) for i, d in zip(full, dig, strict=True)
                    if d.tobytes() == want[i]]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], ["c", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+                    zip(*got, strict=True), (pa.int64(), pa.binary()), strict=True)], ["id", "set"])
 
-    found = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"])).select(F.col("_c").alias("c"), "text")
-    # Rows that repeat an id and text give the set twice; one stays.
-    return materialize(found.mapInArrow(rebuild, "c binary, set binary").dropDuplicates(["c"]))
+    # Rows that repeat an id and text stand for one of them.
+    one = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (docs["k"] == first["_k"])).select(
+        F.col("_class").alias("id"), "c", "text").dropDuplicates(["id"])
+    return one.mapInArrow(rebuild, "id bigint, set binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,90 +225,114 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def meet(batches):
         for rows in batches:
             keep = []
-            for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(rows.column(2), rows.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = (pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a")
-              .join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b"))
-    return joined.select("a", "b", "sa", "sb").mapInArrow(meet, "a binary, b binary")
+    joined = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+              .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
+    return joined.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, c, leader, n_members) of band buckets with two classes or more."""
+    """(key, id, leader, n_members) of band buckets with two classes or more."""
     size = 2 * ROWS  # bytes of a band
-    rows = classes.select("c", "first", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(
-        "c", "first", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
-    leaders = (rows.groupBy("key").agg(F.min(F.struct("first", "c")).alias("leader"), F.count("*").alias("n_members"))
-               .filter("n_members > 1").select("key", F.col("leader.c").alias("leader"), "n_members"))
-    return rows.drop("first").join(leaders, "key")
+    rows = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(
+        "id", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
+    leaders = (rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n_members"))
+               .filter("n_members > 1"))
+    return rows.join(leaders, "key")
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, c, root, lead, apart) of the buckets of three or more in which some
+    """(key, id, root, lead, apart) of the buckets of three or more in which some
     member is apart: not in ``lead``, the first class's component."""
-    root = labels.select(F.col("node").alias("c"), "root")
+    root = labels.select(F.col("node").alias("id"), "root")
     lead = labels.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
-    rows = (members.filter("n_members > 2").join(root, "c", "left").join(lead, "leader", "left")
-            .withColumns({"root": F.coalesce("root", "c"), "lead": F.coalesce("lead", "leader")})
-            .withColumn("apart", F.col("root") != F.col("lead")))
-    rows = materialize(rows.select("key", "c", "root", "lead", "apart"))
+    rows = (members.filter("n_members > 2").join(root, "id", "left").join(lead, "leader", "left")
+            .withColumns({"root": F.coalesce("root", "id"), "lead": F.coalesce("lead", "leader")}))
+    rows = rows.select("key", "id", "root", "lead", (F.col("root") != F.col("lead")).alias("apart"))
     return rows.join(rows.filter("apart").select("key").distinct(), "key", "left_semi")
 
 
 def hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of the members of open buckets with their bucket's most linked class."""
-    degree = (links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("degree")))
-    known = rows.join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hubs = known.groupBy("key").agg(F.max(F.struct("degree", "c", "root")).alias("hub"))
+    degree = (links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree")))
+    known = rows.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = known.groupBy("key").agg(F.max(F.struct("degree", "id", "root")).alias("hub"))
     pairs = rows.join(hubs, "key").filter(F.col("root") != F.col("hub.root"))
-    return pairs.select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
-
-
-def rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Round 2: confirmed links (a, b) across components inside open buckets.
-
-    The members of the open buckets under one leading component are dealt out
-    as a grid of blocks, by the members that ask (those apart) and those asked,
-    so no task holds them all; a member is sent more than once only where there
-    are over ``CHUNK`` of the other kind."""
-    rows = materialize(rows.select("lead", "c", "root", "apart").distinct())
-    size = rows.groupBy("lead").agg(F.count("*").alias("n_all"), F.count_if("apart").alias("n_apart"))
-    rows = rows.join(size, "lead").withColumns({"gi": F.ceil(F.col("n_apart") / CHUNK).cast("int"),
-                                                "gj": F.ceil(F.col("n_all") / CHUNK).cast("int")})
+    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def dealt(rows: DataFrame, weight: str, chunk: int, limit: int) -> DataFrame:
+    """The members (lead, id, root, apart, ``weight``) under one lead as a grid of
+    blocks (i, j), by those that ask (apart) and those asked: about ``chunk``
+    members and ``limit`` bytes of each kind to a block. A member is sent more than
+    once only where there is more than one block of the other kind."""
+    bytes_, apart = F.col(weight), F.col("apart")
+    parts = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / limit), F.lit(1)).cast("int")
+    grid = rows.groupBy("lead").agg(
+        parts(F.count_if(apart), F.sum(F.when(apart, bytes_).otherwise(0))).alias("gi"),
+        parts(F.count("*"), F.sum(bytes_)).alias("gj"))
+    rows = rows.join(grid, "lead")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
-    cols = ["lead", "i", "j", "c", "root", "apart"]
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    cols = ["lead", "i", "j", "id", "root", "apart"]
     asking = rows.filter("apart").withColumn("i", own("gi")).withColumn("j", every("gj")).select(*cols)
     asked = rows.withColumn("apart", F.lit(False)).withColumn("j", own("gj")).withColumn("i", every("gi")).select(*cols)
-    dealt = asking.unionByName(asked).join(classes.select("c", "n", "sig"), "c").join(sets, "c")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, all_ = pdf[pdf.apart], pdf[~pdf.apart]
+    return asking.unionByName(asked)
+
+
+def _partners(block: pd.DataFrame, percent: int):
+    """(row asking, rows asked of other components that signatures leave, the
+    likeliest first) of a block."""
+    ask, asked = block[block.apart], block[~block.apart]
+    if len(ask) and len(asked):
+        sig, n = _matrix(asked.sig), asked.n.to_numpy()
+        root = asked.root.to_numpy()
+        for s, m, r, at in zip(_matrix(ask.sig), ask.n, ask.root, ask.index, strict=True):
+            live = np.flatnonzero(root != r)
+            live = live[plausible(sig[live], np.broadcast_to(s, (len(live), HASHES)), n[live], np.full(len(live), m), percent)]
+            if len(live):
+                yield at, asked.index.to_numpy()[live[np.argsort(-(sig[live] == s).sum(axis=1), kind="stable")]]
+
+
+def rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
+    """Round 2: confirmed links (a, b) across components inside open buckets."""
+    signed = classes.select("id", "n", "sig")
+
+    def name(block: pd.DataFrame) -> pd.DataFrame:
+        found = [block.id[[at, *others]] for at, others in _partners(block, percent)]
+        ids = pd.unique(pd.concat(found)) if found else []
+        return pd.DataFrame({"lead": [block["lead"].iloc[0]] * len(ids), "id": ids}).astype("int64")
+
+    def link(block: pd.DataFrame) -> pd.DataFrame:
+        held = block["set"].map(lambda x: np.frombuffer(x, np.uint64))
         out = []
-        if len(ask) and len(all_):
-            sig, n = _matrix(all_.sig), all_.n.to_numpy()
-            roots, root = np.unique(all_.root.to_numpy(), return_inverse=True)
-            held = [np.frombuffer(x, np.uint64) for x in all_.set]
-            c = all_.c.to_numpy()
-            for s, m, r, x, mine in zip(_matrix(ask.sig), ask.n, ask.root, ask.c, ask.set, strict=True):
-                live = np.flatnonzero(roots[root] != r)
-                live = live[plausible(sig[live], np.broadcast_to(s, (len(live), HASHES)), n[live],
-                                      np.full(len(live), m), percent)]
-                mine, linked = np.frombuffer(mine, np.uint64), set()
-                for y in live[np.argsort(-(sig[live] == s).sum(axis=1), kind="stable")]:
-                    if root[y] in linked:
-                        continue
-                    at = np.searchsorted(mine, held[y])
-                    both = int((mine[np.minimum(at, len(mine) - 1)] == held[y]).sum())
-                    if 100 * both >= percent * (len(mine) + len(held[y]) - both):
-                        linked.add(root[y])
-                        out.append((min(x, c[y]), max(x, c[y])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return dealt.groupBy("lead", "i", "j").applyInPandas(block, "a binary, b binary").distinct()
+        for at, others in _partners(block, percent):
+            mine, linked = held[at], set()
+            for other in others:
+                root = block.root[other]
+                if root in linked:
+                    continue
+                place = np.searchsorted(mine, held[other])
+                both = int((mine[np.minimum(place, len(mine) - 1)] == held[other]).sum())
+                if 100 * both >= percent * (len(mine) + len(held[other]) - both):
+                    linked.add(root)
+                    out.append(sorted((block.id[at], block.id[other])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    members = tmp.put(rows.select("lead", "id", "root", "apart").distinct().join(classes.select("id", "n"), "id")
+                      .withColumn("bytes", F.lit(8) * F.col("n")).withColumn("signature", F.lit(2 * HASHES)))
+    likely = tmp.put(dealt(members, "signature", CHUNK, BLOCK_BYTES).join(signed, "id").groupBy("lead", "i", "j")
+                     .applyInPandas(name, "lead bigint, id bigint").distinct())
+    blocks = dealt(members.join(likely, ["lead", "id"], "left_semi"), "bytes", CHUNK, BLOCK_BYTES)
+    out = tmp.put(blocks.join(signed, "id").join(sets, "id").groupBy("lead", "i", "j")
+                  .applyInPandas(link, "a bigint, b bigint").distinct())
+    tmp.drop(members, likely)
+    return out
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -308,31 +346,35 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
                text_col: str = "text") -> DataFrame:
     """(doc_id, k, n_shingles, component_id, kept) per input row; component_id
     is the smallest id reachable over links of similarity >= percent / 100."""
-    own = keyed(docs, id_col, text_col)
-    sets = materialize(sets_of(own, words))
-    classes = materialize(sets.filter("c is not null").groupBy("c").agg(
-        F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig")))
-    members = materialize(buckets(classes))
-    full = full_sets(members.select("c").distinct(), own, classes, words)
+    own, tmp = keyed(docs, id_col, text_col), Scratch(docs.sparkSession)
+    sets = tmp.put(sets_of(own, words))
+    classes = tmp.put(class_table(sets))
+    members = tmp.put(buckets(classes))
+    full = tmp.put(full_sets(members.select("id").distinct(), own, classes, words))
 
     def verified(pairs):
-        return materialize(confirm(bayes_filter(pairs, classes, percent), full, percent))
+        return tmp.put(confirm(bayes_filter(pairs, classes, percent), full, percent))
 
-    links = verified(members.filter("c != leader").select(
-        F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct())
-    labels = components(links)
+    links = verified(members.filter("id != leader").select(
+        F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    labels = components(links, tmp)
     for _ in range(HUBS):
-        more = verified(hub_pairs(open_buckets(members, labels), links))
+        rows = tmp.put(open_buckets(members, labels))
+        more = verified(hub_pairs(rows, links))
+        tmp.drop(rows)
         if not more.limit(1).count():
             break
-        links, labels = links.union(more), merge(labels, more)
-    rest = materialize(rest_links(open_buckets(members, labels), classes, full, percent))
-    if rest.limit(1).count():
-        labels = merge(labels, rest)
-    roots = (classes.join(labels.withColumnRenamed("node", "c"), "c", "left")
-             .select("c", "first", F.coalesce("root", "c").alias("root")))
+        links, labels = links.union(more), merge(labels, more, tmp)
+    rows = tmp.put(open_buckets(members, labels))
+    tmp.drop(members)
+    if rows.limit(1).count():
+        labels = merge(labels, rest_links(rows, classes, full, percent, tmp), tmp)
+    tmp.drop(rows, full)
+    roots = (classes.select("id", "c", "first").join(labels.select(F.col("node").alias("id"), "root"), "id", "left")
+             .select("c", "first", F.coalesce("root", "id").alias("root")))
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = roots.join(smallest, "root").select("c", "component_id")
+    by_class = tmp.put(roots.join(smallest, "root").select("c", "component_id"))
+    tmp.drop(classes, labels)
     out = sets.select("doc_id", "k", F.col("n").alias("n_shingles"), "c").join(by_class, "c", "left")
     out = out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "k", "n_shingles", "component_id",
