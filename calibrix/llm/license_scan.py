@@ -7,6 +7,9 @@ once. At each identifier tag the raw text that follows is parsed as a licence
 expression (``and``, ``or``, ``with``, parentheses, ``+``) by shunting-yard
 and evaluated.
 
+The notices are names of licences and sentences of their bodies; a label that
+``FREEDOM`` does not know counts ``UNKNOWN_FREEDOM``.
+
 Cases: a null or empty text has no word, no place, empty labels and score 0;
 places may overlap and all count; repeated rows give repeated results; extra
 columns are ignored.
@@ -44,6 +47,25 @@ MORE_PHRASES = {
     "cc0": "cc0",
     "public domain": "public-domain",
     "all rights reserved": "proprietary",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "boost software license": "bsl",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
+    "european union public licence": "eupl",
+    "microsoft public license": "ms-pl",
+    "open font license": "ofl",
+    "open database license": "odbl",
+    # Bodies that stand without the licence's name.
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "you may not use this file except in compliance with the license": "apache",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gpl",
+    "this is free and unencumbered software released into the public domain": "public-domain",
+    "this source code form is subject to the terms of the mozilla public license": "mpl",
 }
 TAG = "spdx license identifier"
 # How freely a text under a licence may be used, 0 to 1 (unknown ids: 0.5).
@@ -51,6 +73,7 @@ FREEDOM = {
     "mit": 1.0, "apache": 0.95, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0,
     "cc-by": 0.9, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2,
     "cc-by-sa": 0.4, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "proprietary": 0.0,
+    "bsl": 1.0, "zlib": 1.0, "artistic": 0.6, "eupl": 0.5, "ms-pl": 0.6, "ofl": 0.8, "odbl": 0.5,
 }
 UNKNOWN_FREEDOM = 0.5
 
@@ -58,7 +81,9 @@ UNKNOWN_FREEDOM = 0.5
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256))
-_TAG_AT = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
+# The tag stands as words: not inside or at the end of longer ones.
+_TAG_AT = re.compile(rb"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier"
+                     rb"(?![0-9a-z\x80-\xff])[ \t]*:?[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.:\-]*\+?)")
 _PREC = {"or": 1, "and": 2, "with": 3}
 
@@ -171,7 +196,7 @@ def scan_text(raw: bytes, auto, base: dict[str, str]) -> tuple:
             base_labels.add(label)
         labels.add(label)
     labels.discard(None)
-    freedom = [FREEDOM[x] for x in labels]
+    freedom = [FREEDOM.get(x, UNKNOWN_FREEDOM) for x in labels]
     expressions = []
     if tagged:
         for m in _TAG_AT.finditer(raw):

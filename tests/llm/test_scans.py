@@ -48,6 +48,91 @@ def test_license_scan(spark):
         assert 0 <= x.score <= 1 and set(x.base_labels.split(",")) - {""} <= set(x.labels.split(","))
 
 
+TAG = re.compile(r"(?<!\w)spdx\W+license\W+identifier(?!\w)[ \t]*:?[ \t]*([^\r\n]*)", re.I | re.A)
+
+
+def brute_labels(text):
+    """Labels by plain search of every phrase, and of single identifiers at tags."""
+    line = " " + " ".join(WORD.findall(lower(text))) + " "
+    every = {**license_scan.MORE_PHRASES, **license_scan.BASE_PHRASES}
+    labels = {label for p, label in every.items() if f" {p} " in line}
+    names = [license_scan.label_of(m[1].split()[0]) for m in TAG.finditer(text) if m[1].split()]
+    freedom = [license_scan.FREEDOM.get(x, 0.5) for x in [*labels, *names]]
+    return ",".join(sorted({*labels, *names})), min(freedom, default=0.0)
+
+
+def test_own_labels_and_score(spark):
+    """Notices, licence bodies and tags, planted in prose, by plain search."""
+    r = random.Random(6)
+    phrases = [*license_scan.MORE_PHRASES, *license_scan.BASE_PHRASES]
+    shown = lambda p: "".join(r.choice([c, c.upper()]) if c != " " else r.choice([" ", ", ", "\n", "-"]) for c in p)
+    texts = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+             "xspdx-license-identifier: MIT\nSPDX-License-Identifier: ISC", "spdx-license-identifierx: MIT\nspdx license identifier BSL-1.0",
+             "SPDX-License-Identifier: Some-Own-1.0"]
+    for _ in range(150):
+        parts = [r.choice(["some", "words", "licence", "the", "mit", "gnu", "by"]) for _ in range(30)]
+        for _ in range(r.randint(0, 3)):
+            parts.insert(r.randrange(31), shown(r.choice(phrases)))
+        if r.random() < 0.2:
+            parts.append("\nSPDX-License-Identifier: " + r.choice(["MIT", "GPL-3.0-only", "Own-2", "CC-BY-SA-4.0"]) + "\n")
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan.license_scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (brute_labels(t)[0], pytest.approx(brute_labels(t)[1])), t
+    assert got[0][0] == "mit" and got[1][0] == "isc" and got[2][0] == "bsl-1.0"
+
+
+def test_labels_of_the_caller(spark):
+    df = spark.createDataFrame([(1, "our house rules and the apache license"), (2, "nothing")], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in license_scan.license_scan(df, more={"house rules": "house"}).collect()}
+    assert got[1].labels == "apache,house" and got[1].score == 0.5 and got[1].n_base == 1 and got[2].labels == ""
+    own = {x.doc_id: x for x in license_scan.license_scan(df, base={"house rules": "house"}, more={}).collect()}
+    assert own[1].base_labels == own[1].labels == "house" and own[1].n_base == 1
+
+
+def evaluated(tokens):
+    """Expression value by recursive descent (with, and, or: rising looseness)."""
+    at = 0
+
+    def atom():
+        nonlocal at
+        at += 1
+        if tokens[at - 1] == "(":
+            out = level(0)
+            at += 1
+            return out
+        return license_scan.FREEDOM.get(license_scan.label_of(tokens[at - 1]), 0.5)
+
+    def level(n):
+        nonlocal at
+        if n == 3:
+            return atom()
+        out = level(n + 1)
+        while at < len(tokens) and tokens[at] == ("or", "and", "with")[n]:
+            at += 1
+            right = level(n + 1)
+            out = (max(out, right), min(out, right), out + (1 - out) / 2)[n]
+        return out
+
+    return level(0)
+
+
+def test_random_expressions_by_descent():
+    r = random.Random(8)
+
+    def expression(depth):
+        if depth == 0 or r.random() < 0.3:
+            return [r.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "CC-BY-NC-4.0", "Own", "MPL-2.0+"])]
+        out = [*expression(depth - 1), r.choice(["and", "or", "with"]), *expression(depth - 1)]
+        return ["(", *out, ")"] if r.random() < 0.5 else out
+
+    for _ in range(400):
+        tokens = expression(4)
+        value, _, _ = license_scan.evaluate(license_scan.parse_expression(" ".join(tokens)))
+        assert value == pytest.approx(evaluated(tokens)), tokens
+
+
 def test_license_nasty(nasty, empty):
     rows = license_scan.license_scan(nasty).collect()
     want = Counter((i, *brute_scan(t)) for i, t, _, _ in NASTY)
