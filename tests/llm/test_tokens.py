@@ -69,3 +69,21 @@ def test_counts(spark, nasty, empty):
     got = Counter((x.doc_id, x.n_tokens) for x in token_count.token_counts(nasty, path).collect())
     assert got == Counter((i, len(reference.encode(t or "", add_special_tokens=False).ids)) for i, t, _, _ in NASTY)
     assert token_count.token_counts(empty, path).count() == 0
+
+
+def test_lower_case_is_the_librarys():
+    """All characters: what Python's own data lacks is in NEWER."""
+    from tokenizers import normalizers
+    lower = normalizers.Lowercase().normalize_str
+    missing = {c: ord(low) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000
+               and (low := lower(chr(c))) != chr(c).lower() and len(low) == 1}
+    assert missing.items() <= token_count.NEWER.items()
+
+
+def test_counts_of_new_capitals(spark):
+    path = P.path("word_bpe_49k.json")
+    reference = Tokenizer.from_file(path)
+    texts = [f"a{chr(c)}b {chr(c)} c{chr(c)}{chr(c)}" for c in token_count.NEWER]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for x in token_count.token_counts(df, path).collect():
+        assert x.n_tokens == len(reference.encode(texts[x.doc_id], add_special_tokens=False).ids), texts[x.doc_id]
