@@ -26,7 +26,7 @@ def overlaps(doc, item, window=13, share=0.8):
     for s in range(-len(x) + 1, len(d)):
         same = [0 <= s + j < len(d) and d[s + j] == x[j] for j in range(len(x))]
         best = max(best, *(sum(same[j:j + w]) for j in range(len(x) - w + 1)))
-    return best if best >= math.ceil(share * w - 1e-9) else 0
+    return best if best >= (w if len(x) < 8 else math.ceil(share * w - 1e-9)) else 0
 
 
 def brute(rows, items):
@@ -76,6 +76,37 @@ def test_masks_miss_no_window_with_two_substitutions():
         assert any(not any(o + p in lost for p in m) for m in decontaminate.MASKS for o in range(13 - m[-1]))
 
 
+def test_short_items(spark):
+    """Items of 4 to 12 words with each allowed number of replaced words, at all
+    places: found; those of under 8 words only unchanged."""
+    import itertools
+    rows, items = [], []
+    for n in range(3, 13):
+        words = [f"item{n}word{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        for lost in (c for k in range(4) for c in itertools.combinations(range(n), k)):
+            if len(lost) < 3 or sum(lost) % 7 == 0:
+                rows.append((len(rows), " ".join(["before", *("x" if j in lost else w for j, w in enumerate(words)), "after"])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = got(decontaminate.decontaminate(docs, bench))
+    assert found == brute(rows, items)
+    exact = {i for (i, hit, _) in found if hit}
+    assert rows[0][0] not in exact and len(exact) > 200  # three words are not searched
+
+
+def test_result_columns_replace_those_of_the_documents(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "other"), (2, "other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "'mine' AS found_items", "doc_id", "'old' AS most_matched", "text", "7 AS h1", "8 AS row")
+    bench = spark.createDataFrame([(5, rows[0][1]), (6, "never there at all in any of them")], "item_id bigint, text string")
+    for words in (decontaminate.BLOCK_WORDS, 10):
+        out = decontaminate.with_overlaps(docs, bench, block_words=words)
+        assert out.columns == ["doc_id", "text", "h1", "row", "found_items", "most_matched"]
+        assert sorted((x.doc_id, tuple(x.found_items), x.most_matched, x.h1) for x in out.collect()) == [
+            (1, (5,), 10, 7), (2, (), 0, 7), (2, (), 0, 7)]
+
+
 def test_decontaminate_nasty(spark, nasty, empty):
     bench = spark.createDataFrame([(1, "ALPHA beta, gamma delta epsilon zeta eta theta"), (2, "lorem ipsum " * 10)],
                                   "item_id bigint, text string")
