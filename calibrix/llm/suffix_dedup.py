@@ -9,8 +9,9 @@ input. Texts are packed into pieces of a few MB, written once. Then:
    windows have equal anchors, so only segments of one anchor can match. A
    segment is at most 168 bytes long and travels as two hashes and its place.
 2. Equal segments. Among segments with the same bytes all but the earliest are
-   removed whole (first inside each piece, then over all pieces, so a passage
-   of every document sends one row a piece).
+   removed whole: first inside ``GROUP`` pieces, whose copies become notes of
+   their pieces there and then, then over all. A passage of every document so
+   sends its anchor's task one record of 50 bytes for each group of pieces.
 3. Different segments of one anchor (edges of passages, near copies) are cut
    from their pieces and brought together in blocks. Each block gets a
    run-compressed Burrows-Wheeler index with sampled run ends; all its segments
@@ -21,7 +22,7 @@ input. Texts are packed into pieces of a few MB, written once. Then:
 4. The marked spans return to their pieces, and each text is cut.
 
 Cases: null and empty texts have no bytes; a null id comes before all others;
-rows of the same id and text are one document, indexed once and cut alike (the
+rows of the same id and text are one document, indexed once and cut alike; a very long text is a piece of its own (the
 order of rows of one id with different texts follows a hash of the text); matches never cross
 documents; extra columns are ignored.
 """
@@ -41,6 +42,8 @@ from calibrix.session import materialize
 REACH = 100
 ANCHOR = 32
 PIECE = 2 << 20
+# Pieces whose equal segments are settled together before any exchange.
+GROUP = 8
 # Different segments of one anchor above which it is not gathered in a block.
 HOT = 20_000
 # Segment bytes of one index, and anchors that one task of step 2 holds.
@@ -187,35 +190,62 @@ def segments(buf: np.ndarray, off: np.ndarray, reach: int) -> tuple[np.ndarray,
 
 
 def anchor_rows(packed: DataFrame, reach: int, tasks: int) -> DataFrame:
-    """(task, piece, anchors): step 1, with equal segments of a piece settled.
-    A settled copy is marked by a negative length and only passes through."""
+    """(task, piece, rows, settled): step 1, with equal segments of ``GROUP``
+    pieces settled. Only the earliest of them goes to its anchor's task; the
+    copies are notes already, dealt by piece, so a passage of every document
+    sends an anchor's task one record for each group of pieces."""
+
+    def found(p: Piece) -> np.ndarray:
+        h, text, at, windows, loop = segments(p.buf, p.off, reach)
+        x = np.empty(len(h), ANCHORS)
+        x["h"], x["row"], x["len"] = h, text, windows + reach - 1
+        x["s"] = span_hash(p.buf, at, at + windows + reach - 1, 5)
+        x["some"], x["id"], x["key"] = p.some[text], p.ids[text], p.keys[text]
+        x["start"], x["loop"] = at - p.off[text], loop
+        return x
+
+    def sent(pieces_: list[int], blocks: list[np.ndarray]):
+        """Rows of a group of pieces."""
+        x = np.concatenate(blocks)
+        owner = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+        copy = np.zeros(len(x), bool)
+        copy[_copies(x)] = True
+        out = []
+        for i, piece in enumerate(pieces_):
+            mine = x[(owner == i) & copy]
+            if len(mine):
+                y = np.zeros(len(mine), NOTES)
+                for n in ("h", "row", "start", "len"):
+                    y[n] = mine[n]
+                out.append((piece % tasks, piece, _pack(y), True))
+            mine = x[(owner == i) & ~copy]
+            task = (mix(mine["h"]) % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
+            out += [(t, piece, _pack(mine[order[cuts[t]:cuts[t + 1]]]), False) for t in np.flatnonzero(np.diff(cuts)).tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()),
+                                                strict=True)], ["task", "piece", "rows", "settled"])
 
     def run(batches):
+        pieces_, blocks = [], []
         for row in _rows(batches):
             p = Piece(row)
-            h, text, at, windows, loop = segments(p.buf, p.off, reach)
-            x = np.empty(len(h), ANCHORS)
-            x["h"], x["row"], x["len"] = h, text, windows + reach - 1
-            x["s"] = span_hash(p.buf, at, at + windows + reach - 1, 5)
-            x["some"], x["id"], x["key"] = p.some[text], p.ids[text], p.keys[text]
-            x["start"], x["loop"] = at - p.off[text], loop
-            x["len"][_copies(x)] *= -1
-            task = (mix(x["h"]) % np.uint64(tasks)).astype(np.int64)
-            order = np.argsort(task, kind="stable")
-            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            if len(full):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()), pa.array([p.piece] * len(full), pa.int64()),
-                     pa.array([_pack(x[order[cuts[t]:cuts[t + 1]]]) for t in full], pa.binary())],
-                    ["task", "piece", "rows"])
+            pieces_.append(p.piece)
+            blocks.append(found(p))
+            if len(blocks) == GROUP or sum(b.nbytes for b in blocks) > GROUP * PIECE:
+                yield from sent(pieces_, blocks)
+                pieces_, blocks = [], []
+        if blocks:
+            yield from sent(pieces_, blocks)
 
-    return packed.mapInArrow(run, "task bigint, piece bigint, rows binary")
+    return packed.mapInArrow(run, "task bigint, piece bigint, rows binary, settled boolean")
 
 
 def _copies(x: np.ndarray) -> np.ndarray:
-    """Indexes of the segments equal to an earlier one; rows of one place (a
-    repeated document) count as that place."""
+    """Indexes of the segments equal to an earlier one (both hashes agree); rows
+    of one place (a repeated document) count as that place."""
     g = mix(x["h"] ^ mix(x["s"]))
     order = np.argsort(g)
     s = g[order]
@@ -227,9 +257,9 @@ def _copies(x: np.ndarray) -> np.ndarray:
     some = order[twin]
     if not len(some):
         return some
-    some = some[_place_order(x[some], g[some])]
-    y, gy = x[some], g[some]
-    new = np.concatenate([[True], gy[1:] != gy[:-1]])
+    some = some[_place_order(x[some], g[some], x["h"][some], x["s"][some])]
+    y = x[some]
+    new = np.concatenate([[True], (y["h"][1:] != y["h"][:-1]) | (y["s"][1:] != y["s"][:-1])])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]  # the earliest of each group
     same = np.ones(len(y), bool)
     for n, _ in PLACE:
@@ -252,15 +282,18 @@ def settle(anchors: DataFrame, tasks: int, hot: int) -> DataFrame:
     def run(batches):
         piece, blobs = [], []
         for row in _rows(batches):
+            if row["settled"]:  # notes of their piece already
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["piece"]], pa.int64()), pa.array([row["rows"]], pa.binary()),
+                     pa.array([False]), pa.array([False])], ["piece", "notes", "wants", "hot"])
+                continue
             blobs.append(_unpack(row["rows"], ANCHORS))
             piece.append(np.full(len(blobs[-1]), row["piece"]))
         if not blobs:
             return
         x, piece = np.concatenate(blobs), np.concatenate(piece)
-        gone = x["len"] < 0
-        x["len"] = np.abs(x["len"])
-        live = np.flatnonzero(~gone)
-        gone[live[_copies(x[live])]] = True
+        gone = np.zeros(len(x), bool)
+        gone[_copies(x)] = True
         kind = np.where(gone, 0, -1).astype(np.int8)
         left = np.flatnonzero(~gone)
         by = left[np.argsort(x["h"][left])]

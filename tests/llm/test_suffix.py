@@ -136,3 +136,34 @@ def test_repeated_rows_are_one_document(spark, monkeypatch, hot):
     twins = [(5, alone), (5, alone)]
     df = spark.createDataFrame([(i, t, None, None) for i, t in twins], SCHEMA).repartition(2)
     assert [x.n_removed for x in suffix_dedup.suffix_dedup(df, hot=hot).collect()] == [0, 0]
+
+
+def test_a_passage_of_many_documents_sends_few_records(spark, monkeypatch):
+    """A third of the rows share a passage: each group of pieces sends its
+    segments to their anchors' tasks once, the copies go as notes of their pieces."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(30))
+    texts = [" ".join([word(), *([passage] if i % 3 == 0 else [word() for _ in range(30)]), word()]) for i in range(600)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    packed = suffix_dedup.pack(df, "doc_id", "text").persist()
+    tasks = 16
+    rows = suffix_dedup.anchor_rows(packed, 100, tasks).collect()
+    seen, groups = Counter(), -(-packed.count() // suffix_dedup.GROUP) + packed.rdd.getNumPartitions()
+    for x in rows:
+        if not x.settled:
+            for s in suffix_dedup._unpack(x.rows, suffix_dedup.ANCHORS):
+                seen[s["h"], s["s"]] += 1
+    assert max(seen.values()) <= groups < 40 < 200
+    settled = [suffix_dedup._unpack(x.rows, suffix_dedup.NOTES) for x in rows if x.settled]
+    assert sum(map(len, settled)) > 200 and {x.task for x in rows if x.settled} <= set(range(tasks))
+    packed.unpersist()
+    assert got(suffix_dedup.suffix_dedup(df)) == brute(list(enumerate(texts)), 100)
+
+
+def test_copies_compare_both_hashes():
+    x = np.zeros(4, suffix_dedup.ANCHORS)
+    x["h"], x["s"], x["id"] = [7, 7, 9, 7], [1, 1, 1, 2], [3, 1, 0, 2]
+    x["some"] = 1
+    assert suffix_dedup._copies(x).tolist() == [0]  # equal to the second, which is earlier
