@@ -89,19 +89,29 @@ def op4(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_WS, _H, _W = r"[\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]", r"[^\x20\x09-\x0D]"
+# A sentence: words of a line up to one that ends in . ! or ?, with the white space before it.
+_SENTENCE = rf"{_WS}*(?:{_W}*[^\x20\x09-\x0D.!?]{_H}+)*{_W}+"
 _OP5_SQL = rf"""
-WITH l AS (SELECT doc_id, i, ls[i] AS line, len(ls) AS n,
-                  translate(array_to_string(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'), ' '), '{_UP}', '{_LOW}') AS key,
-                  len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS words
-           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
-                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-m AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0,
-             words >= {substring_dedup.MIN_WORDS}
-             AND row_number() OVER (PARTITION BY key, words >= {substring_dedup.MIN_WORDS} ORDER BY doc_id, i) > 1 AS gone FROM l)
-SELECT doc_id, any_value(n)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256,
-       coalesce(string_agg(pos0::BIGINT || '-' || (pos0 + strlen(line))::BIGINT, ',' ORDER BY i) FILTER (WHERE gone), '') AS removed
-FROM m GROUP BY doc_id
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SENTENCE}') AS ss FROM documents),
+s AS (SELECT doc_id, j, ss[j] AS x, regexp_extract_all(ss[j], '{_W}+') AS ws,
+             j = len(ss) OR regexp_matches(ss[j + 1], '^{_WS}*\x0A') AS closed
+      FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS j FROM t)),
+n AS (SELECT *, coalesce(sum((closed OR len(ws) >= {substring_dedup.SHORT_WORDS})::INT)
+                         OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS u FROM s),
+g AS (SELECT doc_id, u, string_agg(x, '' ORDER BY j) AS x, sum(len(ws)) AS words,
+             translate(string_agg(array_to_string(ws, ' '), ' ' ORDER BY j), '{_UP}', '{_LOW}') AS key FROM n GROUP BY doc_id, u),
+f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, u) > 1 AS again,
+             coalesce(sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM g),
+i AS (SELECT *, u - row_number() OVER (PARTITION BY doc_id, again ORDER BY u) AS island FROM f),
+m AS (SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, again, island) >= {substring_dedup.MIN_WORDS} AS gone FROM i),
+r AS (SELECT doc_id, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed
+      FROM (SELECT doc_id, min(a) AS lo, max(a + strlen(x)) AS hi FROM m WHERE gone GROUP BY doc_id, island) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_units, count_if(gone) AS n_removed,
+             coalesce(string_agg(x, '' ORDER BY u) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '') || regexp_extract(t.t, '{_WS}*$')) AS kept_sha256, coalesce(removed, '') AS removed
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id LEFT JOIN r ON t.doc_id = r.doc_id
 """
 
 
@@ -109,7 +119,7 @@ FROM m GROUP BY doc_id
 def op5(spark, sf_dir):
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed"))
+        "doc_id", "n_units", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed"))
 
 
 @register("op6_quality_classifier")

@@ -1,7 +1,9 @@
 """Line, substring and near dedup against brute force."""
 
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 from calibrix.llm import line_dedup, near_dedup, substring_dedup
@@ -79,43 +81,72 @@ def test_line_dedup_nasty(nasty, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def cut_units(text, short=4):
+    """(start, end, words) of each unit, in bytes; scanned word by word."""
+    out, before, at = [], 0, 0
+    for line in text.encode().split(b"\n"):
+        found = [(at + m.start(), at + m.end(), m.group().decode()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)]
+        unit, sentence = [], 0
+        for n, (_, end, word) in enumerate(found):
+            unit.append(lower(word))
+            sentence += 1
+            if n == len(found) - 1 or word[-1] in ".!?" and sentence >= short:
+                out.append((before, end, tuple(unit)))
+                before, unit = end, []
+            if word[-1] in ".!?":
+                sentence = 0
+        at += len(line) + 1
+    return out
+
+
 def brute_units(rows, min_words):
-    first = {}
     places = defaultdict(list)
     for i, t in rows:
-        at = 0
-        for x in (t or "").split("\n"):
-            if len(words(x)) >= min_words:
-                places[tuple(words(lower(x)))].append((i is not None, i, t, at))
-            at += len(x.encode()) + 1
-    for k, v in places.items():
-        first[k] = min(v, key=lambda p: (p[0], p[1] or 0, p[2], p[3]))
+        for u, (_, _, w) in enumerate(cut_units(t or "")):
+            places[w].append((i is not None, i or 0, t, u))
+    first = {k: min(v) for k, v in places.items()}
     out = []
     for i, t in rows:
-        kept, spans, at = [], [], 0
-        for x in (t or "").split("\n"):
-            k = tuple(words(lower(x)))
-            end = at + len(x.encode())
-            if len(k) >= min_words and first[k] != (i is not None, i, t, at):
-                spans.append((at, end))
-            else:
-                kept.append(x)
-            at = end + 1
-        out.append((i, "\n".join(kept), (t or "").count("\n") + 1, tuple(spans)))
+        units, raw = cut_units(t or ""), (t or "").encode()
+        again = [first[w] != (i is not None, i or 0, t, u) for u, (_, _, w) in enumerate(units)]
+        spans, n = [], 0
+        for flag, run in itertools.groupby(range(len(units)), key=lambda u: again[u]):
+            run = list(run)
+            if flag and sum(len(units[u][2]) for u in run) >= min_words:
+                spans.append((units[run[0]][0], units[run[-1]][1]))
+                n += len(run)
+        kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)], strict=True))
+        out.append((i, kept.decode(), len(units), n, tuple(spans)))
     return Counter(out)
 
 
 def got_units(df):
-    return Counter((x.doc_id, bytes(x.kept).decode(), x.n_lines, tuple((s.start, s.end) for s in x.removed))
+    return Counter((x.doc_id, bytes(x.kept).decode(), x.n_units, x.n_removed, tuple((s.start, s.end) for s in x.removed))
                    for x in df.collect())
 
 
 def test_substring_dedup(spark):
     r = random.Random(4)
-    pool = ["one two three", "One  two\tTHREE ", "one two", "three two one", "é two three", "", "a b c d", "one two three four"]
-    texts = ["\n".join(r.choices(pool, k=r.randint(0, 5))) for _ in range(60)]
-    assert got_units(substring_dedup.substring_dedup(frame(spark, texts), min_words=3)) == brute_units(
-        list(enumerate(texts)), 3)
+    pool = ["one two three", "One  two\tTHREE ", "one two", "three two one.", "é two three! ", "", "a b c d", "one two three four",
+            "No. Yes. No? it goes on", " and ends here. ", "...", "a.b c.", "\r"]
+    texts = [r.choice(["\n", " ", "\n\n"]).join(r.choices(pool, k=r.randint(0, 8))) for _ in range(120)]
+    for n in (1, 5, 9):
+        assert got_units(substring_dedup.substring_dedup(frame(spark, texts), min_words=n)) == brute_units(
+            list(enumerate(texts)), n)
+
+
+def test_substring_passage_inside_lines(spark):
+    """A passage of sentences that other texts hold in the middle of a line goes
+    from its first boundary on; a short sentence that repeats alone stays."""
+    passage = " ".join(f"the {w} was seen by some of them there." for w in ("first", "second", "third", "fourth", "fifth", "sixth"))
+    texts = [f"host {i} begins like this {passage} and number {i} ends so. Yes it is so. Nothing else {i}." for i in range(4)]
+    got = {x.doc_id: x for x in substring_dedup.substring_dedup(frame(spark, texts)).collect()}
+    assert got[0].n_removed == 0 and bytes(got[0].kept).decode() == texts[0]
+    for i in (1, 2, 3):
+        kept = bytes(got[i].kept).decode()
+        assert kept == f"host {i} begins like this the first was seen by some of them there." + texts[i][texts[i].index(" and number"):]
+        (span,) = got[i].removed
+        assert texts[i].encode()[:span.start] + texts[i].encode()[span.end:] == bytes(got[i].kept)
 
 
 def test_substring_nasty(nasty, empty):
@@ -195,6 +226,33 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     assert got_near(near_dedup.near_dedup(frame(spark, texts), words=2)) == brute_near(list(enumerate(texts)), 2)
 
 
+def test_near_dedup_in_blocks_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1000)  # about two sets
+    monkeypatch.setattr(near_dedup, "HUBS", 0)
+    texts = near_texts()
+    assert got_near(near_dedup.near_dedup(frame(spark, texts), words=2)) == brute_near(list(enumerate(texts)), 2)
+
+
+def test_full_sets_join_one_text_a_class(spark):
+    """Rows of one id (null above all) meet the classes by their text too."""
+    rows = [(None, f"a{i} b{i} c{i} d{i}") for i in range(200)] + [(None, "a1 b1 c1 d1")] * 5
+    own = near_dedup.keyed(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    classes = near_dedup.class_table(near_dedup.sets_of(own, 2)).persist()
+    sets = near_dedup.full_sets(classes.select("id"), own, classes, 2)
+    got = [r.id for r in sets.collect()]
+    assert len(got) == len(set(got)) == 200
+    classes.unpersist()
+
+
+def test_near_dedup_leaves_few_tables(spark):
+    """What later tables replace is deleted."""
+    import glob
+    before = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/scratch-*/*"))
+    near_dedup.near_dedup(frame(spark, near_texts()), words=2).count()
+    left = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/scratch-*/*")) - before
+    assert 0 < len(left) <= 6
+
+
 def test_near_dedup_nasty(nasty, empty):
     assert got_near(near_dedup.near_dedup(nasty, words=2)) == brute_near([r[:2] for r in NASTY], 2)
     assert near_dedup.near_dedup(empty).count() == 0
