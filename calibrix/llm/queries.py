@@ -201,7 +201,102 @@ def op10(spark, sf_dir):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
-@register("op11_chat_repair")
+# CRC-32: table of 256 entries by the reflected polynomial, then a byte a step.
+_CRC_TABLE = """
+tab AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+               lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc)"""
+
+
+def _crc_state(start: str, hexed: str) -> str:
+    """State after the bytes of ``hexed`` (hexadecimal digits, two a byte)."""
+    octets = f"list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::BIGINT)"
+    return f"list_reduce(list_prepend({start}, {octets}), lambda c, b: xor(c // 256, crc[(xor(c, b) % 256) + 1]))"
+
+
+# Row by row: at most two insertions, then one edit; the least cost and audit of
+# every state stay. A state is written as its cost in eight digits and its audit.
+_OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS x FROM conversations),
+h AS (SELECT r.*, xor({_crc_state('4294967295', 'x')}, 4294967295) % 20 AS h FROM r, tab),
+dmg AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             substr(role, 1, 1) AS c FROM dmg),
+f0 AS (SELECT *, NOT regexp_matches(text, '{_W}') AS blank,
+              row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+              substr(rtrim(text, {_STRIP}), -1) NOT IN ('.', '!', '?') AS open_end,
+              lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au') AS odd FROM o),
+f AS (SELECT *, blank OR seen AS gone, NOT blank AND NOT seen AND open_end AS cut FROM f0),
+e AS (SELECT conv_id, i, 'D' AS letter, NULL AS reads, 2 AS cost FROM f
+      UNION ALL SELECT conv_id, i, 'K', c, 5 * cut::INT FROM f WHERE NOT gone AND c IN ('s', 'u', 'a')
+      UNION ALL SELECT conv_id, i, 'R', w.c, 1 + 5 * cut::INT FROM f, (VALUES ('u'), ('a')) AS w(c) WHERE NOT gone),
+step(q, reads, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(q, k, q2) AS (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (0, 1, 2), (1, 1, 2), (2, 1, 3), (3, 1, 2),
+                         (0, 2, 3), (1, 2, 3), (2, 2, 2), (3, 2, 3)),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, '00000000' AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+       UNION ALL
+       SELECT conv_id, i, q, min(best) AS best FROM (
+         SELECT dp.conv_id, e.i, coalesce(step.q2, ins.q2) AS q,
+                printf('%08d', left(best, 8)::INT + 5 * k + cost) || substr(best, 9) || repeat('I', k) || letter AS best
+         FROM dp JOIN ins ON ins.q = dp.q JOIN e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1
+              LEFT JOIN step ON step.q = ins.q2 AND step.reads = e.reads
+         WHERE e.reads IS NULL OR step.q2 IS NOT NULL) GROUP BY conv_id, i, q),
+done AS (SELECT dp.conv_id, min(printf('%08d', left(best, 8)::INT + 5 * k) || substr(best, 9) || repeat('I', k)) AS best
+         FROM dp JOIN ins ON ins.q = dp.q LEFT JOIN (SELECT conv_id, max(i) AS n FROM o GROUP BY conv_id) z
+              ON z.conv_id IS NOT DISTINCT FROM dp.conv_id
+         WHERE dp.i = coalesce(z.n, 0) AND ins.q2 IN (0, 3) GROUP BY dp.conv_id),
+a AS (SELECT conv_id, left(best, 8)::BIGINT AS cost, substr(best, 9) AS audit FROM done),
+l AS (SELECT conv_id, p, substr(audit, p, 1) AS letter, length(replace(left(audit, p), 'I', '')) AS i,
+             length(replace(left(audit, p), 'D', '')) AS place
+      FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM a)),
+m AS (SELECT l.conv_id, p, letter, place, o.role, o.text,
+             bool_or(letter = 'K' AND o.c = 's') OVER (PARTITION BY l.conv_id) AS leads
+      FROM l LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM l.conv_id AND o.i = l.i WHERE letter <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - leads::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                 || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired
+      FROM m GROUP BY conv_id),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+             count_if(seen AND NOT blank) AS duplicate, count_if(cut) AS truncated, count_if(odd) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+# Words one code point apart agree after one deletion: of both at one place
+# (replaced), or of the longer one (inserted, deleted).
+_OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, hex(encode(coalesce(doc_id::VARCHAR, '') || ':')) AS x,
+             translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents),
+p AS (SELECT r, t, {_crc_state('4294967295', 'x')} AS start FROM d, tab),
+w AS (SELECT r, start, run, hex(encode(run)) AS x, count(*) AS n
+      FROM (SELECT r, start, unnest(regexp_extract_all(t, '[a-z\x{{C0}}-\x{{FF}}]{{6,}}')) AS run FROM p) GROUP BY r, start, run),
+c AS (SELECT run, n, xor({_crc_state('start', 'x')}, 4294967295) AS h FROM w, tab),
+v AS (SELECT word, sum(n)::BIGINT AS n
+      FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                        ELSE run END AS word, n FROM c)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, n, length(word) AS m, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.m = b.m AND a.word <> b.word
+         UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.less
+         UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.less),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'other': other}}) AS top FROM near GROUP BY word),
+k AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 5 * v.n THEN top.other END AS form,
+             CASE WHEN -top.less >= 5 * v.n THEN -top.less END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk AS (SELECT word, word AS at, form AS next FROM k
+         UNION ALL SELECT walk.word, k.word, k.form FROM walk JOIN k ON k.word = walk.next)
+SELECT k.word, form, walk.at AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM k JOIN walk ON walk.word = k.word AND walk.next IS NULL
+"""
+
+
+@register("op11_chat_repair", _OP11_SQL)
 def op11(spark, sf_dir):
     rows = chat_repair.damaged(table(spark, sf_dir, "conversations"))
     return chat_repair.repair(rows, copies_col="copies")
@@ -212,6 +307,6 @@ def op12(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@register("op13_spelling_forms")
+@register("op13_spelling_forms", _OP13_SQL)
 def op13(spark, sf_dir):
     return spelling.spelling_forms(table(spark, sf_dir, "documents"))
