@@ -95,3 +95,48 @@ def test_ratios_come_from_all_labelled_rows(spark):
     want = q.log_ratio(count[1], count[0])
     assert np.allclose(q.learn(docs, known, sample=150)["ratio"], want)
     assert not np.allclose(q.train_model(q.labelled(docs, known, sample=150))["ratio"], want)
+
+
+def dual_optimum(x, y, upper, steps=60_000):
+    """Dual of the balanced hinge loss by projected gradient on the dense Gram
+    matrix (with the intercept as a feature of its own)."""
+    x = np.column_stack([x, np.ones(len(y))])
+    k = (y[:, None] * x) @ (y[:, None] * x).T
+    rate, alpha = 1 / np.linalg.eigvalsh(k).max(), np.zeros(len(y))
+    for _ in range(steps):
+        alpha = np.clip(alpha - rate * (k @ alpha - 1), 0, upper)
+    w = (alpha * y) @ x
+    return w[:-1], w[-1], alpha.sum() - alpha @ k @ alpha / 2
+
+
+def test_descent_reaches_the_optimum():
+    """Weights, intercept and duality gap against a dense solver."""
+    r = np.random.default_rng(4)
+    y = np.where(np.arange(60) % 5 == 0, -1, 1)
+    rows = [np.unique(r.integers(0, 25, 9)) for _ in y]
+    ids, first = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    ratio = r.normal(size=25)
+    dense = np.zeros((len(y), 25))
+    for i, at in enumerate(rows):
+        dense[i, at] = ratio[at] / np.linalg.norm(ratio[at])
+    upper = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+    w, b, dual = dual_optimum(dense, y, upper)
+    weights, bias = q.descend(ids, first, y, ratio, epochs=3000)
+    assert np.allclose(weights, w * ratio, atol=0.02) and abs(bias - b) < 0.02
+    plain = weights / ratio
+    primal = (plain @ plain + bias**2) / 2 + (upper * np.maximum(0, 1 - y * (dense @ plain + bias))).sum()
+    assert 0 <= primal - dual + 1e-6 < 0.01 * dual
+
+
+def test_scores_by_plain_sums(spark):
+    rows, labels = corpus(160)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model = q.learn(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = {x.doc_id: x for x in q.score(docs, model).collect()}
+    for i, text, _, _ in rows:
+        raw = text.encode()
+        ids = q.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+        norm = max(sum(model["ratio"][f] ** 2 for f in ids), 1e-12) ** 0.5
+        z = model["slope"] * (sum(model["weights"][f] for f in ids) / norm + model["bias"]) + model["offset"]
+        want = 1 / (1 + np.exp(-z))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (got[i].score >= 0.3)
