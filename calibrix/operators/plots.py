@@ -2,7 +2,9 @@
 
 Calibration scatter with its line, the low end of the calibration, recovery
 and concentration by acquisition order with the batch mean, and the two
-calibration sets. Positions come from ``rank_positions`` (bounded tasks).
+calibration sets. Positions come from ``rank_positions`` (bounded tasks). What has one row a
+batch is written before the rows join it: only a join that reads both sides from
+an exchange is split where one batch is hot.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def calibration_points(runs: DataFrame, lines: DataFrame) -> DataFrame:
     ``lines``: ``calibration.batch_lines``, which both types meet in one join."""
     kind = F.when(F.col("Type") == SAMPLE, "Sample").when(F.col("Type") == CAL, "Calibration")
     rows = runs.filter(F.col("Type").isin(SAMPLE, CAL)).withColumn(
-        "Response_Ratio", ieee_div("TC_Response", "IS_Response")).join(lines, "BatchID", "left")
+        "Response_Ratio", ieee_div("TC_Response", "IS_Response")).join(materialize(lines), "BatchID", "left")
     ratio = F.when(F.col("Type") == SAMPLE, F.col("Conc_Ratio_Uncorrected")).otherwise(ieee_div("TC_Conc", "intstd_conc"))
     return uncorrected(rows).select("BatchID", "RowIndex", kind.alias("Category"), ratio.alias("Conc_Ratio"),
                                     "Response_Ratio", "intercept", "slope")
@@ -38,7 +40,7 @@ def calibration_points_by_set(runs: DataFrame, summary: DataFrame, split_at: flo
     own = summary.select("BatchID", "intstd_conc", "intercept", "slope", "selection_value",
                          "intercept_1", "slope_1", "intercept_2", "slope_2")
     rows = runs.filter(F.col("Type").isin(SAMPLE, CAL)).withColumn(
-        "Response_Ratio", ieee_div("TC_Response", "IS_Response")).join(own, "BatchID", "left")
+        "Response_Ratio", ieee_div("TC_Response", "IS_Response")).join(materialize(own), "BatchID", "left")
     if split_at is None:
         measured = inverse_predict("Response_Ratio", "intercept", "slope", "intstd_conc")
         rows = assign_cal_set(rows.withColumn("_acc", accuracy_pct(measured, "TC_Conc")), "_acc")
@@ -84,17 +86,19 @@ def ordered_samples(runs: DataFrame, lines: DataFrame) -> DataFrame:
     order plots and their batch means read it."""
     rows = with_sample_order(samples(runs).select(
         "BatchID", "RowIndex", "SampleID", "TC_Response", "IS_Response", "Response_Ratio"))
-    return materialize(uncorrected(rows.join(lines, "BatchID", "left")).select(
+    return materialize(uncorrected(rows.join(materialize(lines), "BatchID", "left")).select(
         "BatchID", "SampleID", "Order", "IS_Recovery", "Measured_TC_Conc", "TC_Conc_Uncorrected"))
 
 
 def recovery_by_order(ordered: DataFrame) -> DataFrame:
     """``ordered``: ``ordered_samples``."""
-    return ordered.join(batch_means(ordered).select("BatchID", "mean_is_recovery"), "BatchID", "left").select(
+    means = materialize(batch_means(ordered).select("BatchID", "mean_is_recovery"))
+    return ordered.join(means, "BatchID", "left").select(
         "BatchID", "SampleID", "Order", "IS_Recovery", "mean_is_recovery")
 
 
 def conc_by_order(ordered: DataFrame) -> DataFrame:
-    return ordered.join(batch_means(ordered).select("BatchID", "mean_tc_conc"), "BatchID", "left").select(
+    means = materialize(batch_means(ordered).select("BatchID", "mean_tc_conc"))
+    return ordered.join(means, "BatchID", "left").select(
         "BatchID", "SampleID", "Order",
         F.col("TC_Conc_Uncorrected").alias("Measured_TC_Conc"), "mean_tc_conc")

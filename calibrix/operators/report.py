@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calibrix.functions.numeric import round_half_even, strict_mean, with_signif
 from calibrix.operators.quantify import recovery
+from calibrix.session import materialize
 
 # Significant digits printed for r^2 and for the mean recovery.
 R2_DIGITS, RECOVERY_DIGITS = 4, 2
@@ -66,14 +67,15 @@ def result_report(finalized: DataFrame) -> DataFrame:
 def fit_report(summary: DataFrame, smp: DataFrame) -> DataFrame:
     """Per batch: r^2 of each line to 4 significant digits, mean recovery to 2.
 
-    The samples meet the summary once and the mean's aggregate carries its
-    columns; a batch without samples keeps its row."""
-    rows = summary.select("BatchID", "mean_is_response", "r_squared", "r_squared_1", "r_squared_2").join(
-        smp.select("BatchID", "IS_Response", F.lit(True).alias("_sample")), "BatchID", "left")
-    rows = rows.withColumn("IS_Recovery", recovery("IS_Response", "mean_is_response"))
-    s = rows.groupBy("BatchID").agg(
-        *(F.any_value(c).alias(f"_{c}") for c in ("r_squared", "r_squared_1", "r_squared_2")),  # constant per batch
-        strict_mean("IS_Recovery", F.col("_sample").isNotNull()).alias("_mean"))
+    The summary is written first, so that the join of the samples splits a hot
+    batch (an inner one: only its outer side could be split otherwise); a batch
+    without samples keeps its row."""
+    lines = materialize(summary.select("BatchID", "mean_is_response", *(
+        F.col(c).alias(f"_{c}") for c in ("r_squared", "r_squared_1", "r_squared_2"))))
+    rows = smp.select("BatchID", "IS_Response").join(lines.select("BatchID", "mean_is_response"), "BatchID")
+    means = rows.withColumn("IS_Recovery", recovery("IS_Response", "mean_is_response")).groupBy("BatchID").agg(
+        strict_mean("IS_Recovery").alias("_mean"))
+    s = lines.drop("mean_is_response").join(means, "BatchID", "left")
     return with_signif(s, {
         "r_squared": ("_r_squared", R2_DIGITS), "r_squared_set1": ("_r_squared_1", R2_DIGITS),
         "r_squared_set2": ("_r_squared_2", R2_DIGITS), "mean_is_recovery": ("_mean", RECOVERY_DIGITS)}).drop(

@@ -67,8 +67,32 @@ def test_hot_batch_is_split(spark, skewed, make):
 
 
 def test_hot_batch_is_split_in_the_trend(spark, skewed):
-    BatchPipeline(*skewed)  # sets what the session leaves unset
     smp = skewed[0].filter("Type = 'Sample'").select(
         "BatchID", "RowIndex", (F.lit(100.0) + F.hash("RowIndex") % 7).alias("IS_Recovery"))
     rows, split = split_joins(recovery_trend(smp))
     assert split > 0 and len(rows) == BATCHES * 80
+
+
+@pytest.mark.parametrize("report", ["recovery_by_order", "plot_points", "fit_report"])
+def test_reports_of_a_hot_batch(spark, skewed, report):
+    """The joins of the order plots and reports split it; values stay the same."""
+    from calibrix.operators import calibration, plots
+    from calibrix.operators.report import fit_report
+
+    def build():
+        runs, batches = skewed
+        p = BatchPipeline(runs, batches)
+        if report == "recovery_by_order":
+            return plots.recovery_by_order(p.ordered_samples)
+        if report == "plot_points":
+            return plots.calibration_points(runs, calibration.batch_lines(runs, batches))
+        return fit_report(p.summary, calibration.samples(runs))
+
+    rows, split = split_joins(build())
+    assert split > 0
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        plain, none = split_joins(build())
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    assert none == 0 and near(rows, plain)
