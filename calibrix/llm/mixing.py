@@ -206,7 +206,9 @@ def select(rows: DataFrame, quota: DataFrame, bucket: int = BUCKET) -> DataFrame
         {c: F.coalesce(c, F.lit(0)) for c in ("n", "whole", "extra")})
     some = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     plain = known.filter(~some).withColumn("more", F.when(F.col("extra") > 0, F.col("copies")).otherwise(0))
-    parted = known.filter(some).withColumn("bucket", F.pmod("h", F.ceil(F.col("n") / bucket).cast("long")))
+    # Dealt by bucket: left as the join deals them, all documents of a size would meet in one task.
+    parted = known.filter(some).withColumn("bucket", F.pmod("h", F.ceil(F.col("n") / bucket).cast("long"))).repartition(
+        "place", "size", "bucket")
     earlier = Window.partitionBy("place", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy("place", "size", "bucket").agg(F.sum("copies").alias("held")).select(
         "place", "size", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
