@@ -12,14 +12,12 @@ operator defines; an empty table gives an empty result of the same columns.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrix.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_classifier
-from calibrix.session import ensure_checkpoint_dir
+from calibrix.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,11 +100,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = _table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over the documents of ``sf_dir``; a stage's table goes once
+    the next one's is written."""
+    docs, tmp = _table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES:
+        done = tmp.put(stage(spark, docs, sf_dir))
+        tmp.drop(docs)
+        docs = done
     return docs
