@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 
 from calibrix.llm.components import components, merge
 from calibrix.llm.scratch import Scratch
-from calibrix.llm.text import batch_limits, lowered, mix, ngram_hash, owner_of, pieces, span_hash, word_bounds
+from calibrix.llm.text import (batch_limits, lowered, mix, ngram_hash, owner_of, pieces, ranges, span_hash,
+                               word_bounds)
 
 WORDS = 5
 PERCENT = 80
@@ -285,43 +286,68 @@ def dealt(rows: DataFrame, weight: str, chunk: int, limit: int) -> DataFrame:
     return asking.unionByName(asked)
 
 
-def _partners(block: pd.DataFrame, percent: int):
-    """(row asking, rows asked of other components that signatures leave, the
-    likeliest first) of a block."""
-    ask, asked = block[block.apart], block[~block.apart]
-    if len(ask) and len(asked):
-        sig, n = _matrix(asked.sig), asked.n.to_numpy()
-        root = asked.root.to_numpy()
-        for s, m, r, at in zip(_matrix(ask.sig), ask.n, ask.root, ask.index, strict=True):
-            live = np.flatnonzero(root != r)
-            live = live[plausible(sig[live], np.broadcast_to(s, (len(live), HASHES)), n[live], np.full(len(live), m), percent)]
+# Members that an asking one is compared with at once.
+_SLICE = 256
+
+
+def _named(sig: np.ndarray, n: np.ndarray, root: np.ndarray, ask: np.ndarray, asked: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a block have a partner of another component that the
+    signatures leave. Once all asked ones are known to, one partner will do."""
+    known = np.zeros(len(n), bool)
+    for i in ask:
+        others = asked[root[asked] != root[i]]
+        while len(others):
+            some, others = (others, others[:0]) if not known[asked].all() else (others[:_SLICE], others[_SLICE:])
+            live = some[plausible(sig[some], np.broadcast_to(sig[i], (len(some), HASHES)), n[some],
+                                  np.full(len(some), n[i]), percent)]
             if len(live):
-                yield at, asked.index.to_numpy()[live[np.argsort(-(sig[live] == s).sum(axis=1), kind="stable")]]
+                known[live] = known[i] = True
+                break
+    return known
+
+
+def _linked(sig: np.ndarray, n: np.ndarray, root: np.ndarray, ask: np.ndarray, asked: np.ndarray, held: list[np.ndarray],
+            percent: int) -> list[tuple[int, int]]:
+    """(asking, asked) members of a block whose sets reach the threshold, one of
+    each other component: signatures first, then shared shingles by postings."""
+    hashes = np.concatenate([held[i] for i in asked])
+    owner = np.repeat(np.arange(len(asked)), [len(held[i]) for i in asked])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    out = []
+    for i in ask:
+        live = np.flatnonzero(root[asked] != root[i])
+        some = asked[live]
+        live = live[plausible(sig[some], np.broadcast_to(sig[i], (len(some), HASHES)), n[some],
+                              np.full(len(some), n[i]), percent)]
+        if len(live):
+            lo = np.searchsorted(hashes, held[i], "left")
+            at = ranges(lo, np.searchsorted(hashes, held[i], "right") - lo)
+            both = np.bincount(owner[at], minlength=len(asked))[live]
+            live = live[100 * both >= percent * (len(held[i]) + n[asked[live]] - both)]
+            _, first = np.unique(root[asked[live]], return_index=True)
+            out += [(int(i), int(asked[x])) for x in live[first]]
+    return out
 
 
 def rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """Round 2: confirmed links (a, b) across components inside open buckets."""
     signed = classes.select("id", "n", "sig")
 
+    def parts(block: pd.DataFrame):
+        apart = block.apart.to_numpy()
+        return (_matrix(block.sig), block.n.to_numpy(), block.root.to_numpy(), np.flatnonzero(apart), np.flatnonzero(~apart))
+
     def name(block: pd.DataFrame) -> pd.DataFrame:
-        found = [block.id[[at, *others]] for at, others in _partners(block, percent)]
-        ids = pd.unique(pd.concat(found)) if found else []
-        return pd.DataFrame({"lead": [block["lead"].iloc[0]] * len(ids), "id": ids}).astype("int64")
+        ids = np.unique(block.id.to_numpy()[_named(*parts(block), percent)])
+        return pd.DataFrame({"lead": np.full(len(ids), block["lead"].iloc[0]), "id": ids})
 
     def link(block: pd.DataFrame) -> pd.DataFrame:
-        held = block["set"].map(lambda x: np.frombuffer(x, np.uint64))
+        sig, n, root, ask, asked = parts(block)
         out = []
-        for at, others in _partners(block, percent):
-            mine, linked = held[at], set()
-            for other in others:
-                root = block.root[other]
-                if root in linked:
-                    continue
-                place = np.searchsorted(mine, held[other])
-                both = int((mine[np.minimum(place, len(mine) - 1)] == held[other]).sum())
-                if 100 * both >= percent * (len(mine) + len(held[other]) - both):
-                    linked.add(root)
-                    out.append(sorted((block.id[at], block.id[other])))
+        if len(ask) and len(asked):
+            held, ids = [np.frombuffer(x, np.uint64) for x in block["set"]], block.id.to_numpy()
+            out = [sorted((ids[i], ids[j])) for i, j in _linked(sig, n, root, ask, asked, held, percent)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     members = tmp.put(rows.select("lead", "id", "root", "apart").distinct().join(classes.select("id", "n"), "id")
