@@ -101,7 +101,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
         known = got["stopped"]
         if not got["weight"] or got["left"] is None:
             break
-        share = F.lit(int(got["left"])) * F.col("weight") / F.lit(int(got["weight"]))
+        # A literal below 2^31 is an int, and so would be its product.
+        share = F.lit(int(got["left"])).cast("long") * F.col("weight") / F.lit(int(got["weight"]))
         stopped = stopped | (share > F.col("limit"))
     target = F.lit(0.0) if share is None else F.when(stopped, F.col("limit").cast("double")).otherwise(share)
     return rows.select("source", "words", "place", target.cast("double").alias("target"))

@@ -64,6 +64,15 @@ def test_targets_and_sums(spark, seed):
         assert abs(taken[s] - goal[s]) <= (2 if few else 0.5 + 1e-9)
 
 
+@pytest.mark.parametrize("total", [10**6, 5 * 10**8, 2**31 - 4, 2**31, 10**13])
+def test_targets_of_any_size(spark, total):
+    """Words times a weight may pass 2^31 where the words do not."""
+    words = {"a": total // 2, "b": total // 4, "c": total - total // 2 - total // 4}
+    goal = brute_targets(words)
+    got = mixing.targets(spark.createDataFrame(list(words.items()), "source string, words bigint")).collect()
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(goal)
+
+
 def test_reruns_agree(spark):
     docs = texts(3)
     def run(order, n):
