@@ -69,10 +69,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     Lines found in at least ``min_docs`` documents are dropped everywhere, or
     all but the first occurrence with ``keep_first``. ``docs`` is ``keyed``.
     The join of the hash rows with the frequent hashes has one row a hash on
-    one side, so a hot hash is split as a skewed key."""
+    one side, so a hot hash is split as a skewed key. It merges at every size:
+    Spark sizes the rows by their documents, however many lines these have."""
     rows = materialize(hash_rows(docs, min_key))
     frequent = occurrences(rows).filter(F.col("n_docs") >= min_docs)
-    dropped = rows.join(frequent.drop("n_docs"), ["h1", "h2"])
+    dropped = rows.join(frequent.drop("n_docs").hint("merge"), ["h1", "h2"])
     if keep_first:
         dropped = dropped.filter(F.struct("doc_id", "k", "pos") != F.col("first"))
     return compress(dropped.select("doc_id", "k", "pos"))

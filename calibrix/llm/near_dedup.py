@@ -238,13 +238,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, leader, n_members) of band buckets with two classes or more."""
+    """(key, id, leader, n_members) of band buckets with two classes or more.
+
+    Merged by key at every size: Spark sizes the ``BANDS`` rows of a class as less
+    than one row of ``classes``, and would send millions of them to every task."""
     size = 2 * ROWS  # bytes of a band
     rows = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(
         "id", F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("key"))
     leaders = (rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n_members"))
                .filter("n_members > 1"))
-    return rows.join(leaders, "key")
+    return rows.join(leaders.hint("merge"), "key")
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from calibrix.llm import line_dedup, near_dedup, substring_dedup
+from calibrix.llm import components, line_dedup, near_dedup, substring_dedup
+from calibrix.llm.scratch import Scratch
 from tests.llm.conftest import NASTY, SCHEMA
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -264,3 +265,35 @@ def test_bayes_keeps_pairs_at_the_threshold():
         assert 0 < least < 0.8 * n
     assert hashlib.sha256(near_dedup._A.tobytes()).hexdigest()  # fixed coefficients, the same in every task
     assert len(set(near_dedup._A.tolist())) == near_dedup.HASHES
+
+
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    """Bands of a class and lines of a document are many rows that Spark sizes as one."""
+    def stored(df, name):  # only files have a size before they are read
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    docs = stored(spark.createDataFrame([(i, f"same words in all of these texts {i % 3}\na line\nown {i}") for i in range(40)],
+                                        "doc_id bigint, text string"), "docs")
+    classes = stored(near_dedup.class_table(near_dedup.sets_of(near_dedup.keyed(docs, "doc_id", "text"), 5)), "classes")
+    for df in (near_dedup.buckets(classes), line_dedup.keep_bitmaps(line_dedup.keyed(docs, "doc_id", "text"))):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() >= 40
+
+
+def test_components_are_not_broadcast(spark, tmp_path):
+    plans = []
+
+    class Seen(Scratch):
+        def put(self, df):
+            out = super().put(df)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+
+    tmp = Seen(spark)
+    edges = tmp.put(spark.range(1, 60).selectExpr("0L as a", "id as b"))
+    labels = components.components(edges, tmp)
+    more = tmp.put(spark.createDataFrame([(7, 100), (200, 201)], "a bigint, b bigint"))
+    got = {r["node"]: r["root"] for r in components.merge(labels, more, tmp).collect()}
+    assert got == {**dict.fromkeys([*range(60), 100], 0), 200: 200, 201: 200}
+    assert not any("BroadcastExchange" in p for p in plans)
